@@ -6,10 +6,13 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word, as every operator here counts it: a run of anything but space and the bytes 9 to 13.
 #: On UTF-8 bytes this is exactly what bytes.split() without arguments yields.
@@ -62,3 +65,43 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bytes of an Arrow batch that a Python operator takes at once; one longer row is a batch of its own.
+CHUNK = 4 << 20
+
+
+def chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes, one row at least, so that long texts do not multiply a worker's memory."""
+    step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        piece = batch.slice(at, step)
+        if piece.num_rows > 1 and piece.nbytes > 2 * most:
+            half = piece.num_rows // 2
+            yield from chunks(piece.slice(0, half), most)
+            yield from chunks(piece.slice(half), most)
+        else:
+            yield piece
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType) -> DataFrame:
+    """f applied to slices of df's Arrow batches; it returns columns by name (lists or arrays), or None for no rows."""
+    spark_schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(spark_schema)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for piece in chunks(batch):
+                if (out := f(piece)) is not None:
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
+
+    return df.mapInArrow(batches, spark_schema)
+
+
+def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The UTF-8 bytes of a text column; empty for null."""
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()

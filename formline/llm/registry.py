@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from formline.llm import op1_quality as op1
+from formline.llm import op4_secrets as op4
 from formline.llm import op7_sharding as op7
+from formline.llm import op8_transport as op8
 from formline.llm import op9_mixing as op9
 
 
 def queries() -> dict:
-    return {"op7_sharding": op7.op7_sharding, "op9_mixing": op9.op9_mixing, "pipeline": corpus_pipeline.run}
+    return {"op1_quality": op1.op1_quality, "op4_secrets": op4.op4_secrets, "op8_transport": op8.op8_transport, "op7_sharding": op7.op7_sharding, "op9_mixing": op9.op9_mixing, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
