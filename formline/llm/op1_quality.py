@@ -2,7 +2,7 @@
 
 Rules look at statistics of one whole text and vote good (+1), bad (-1) or abstain (0). The votes are a vector of few values, so the
 corpus enters the estimate as counts of vote patterns: at most 3 ** len(RULES) rows come to the driver, whatever the input's size.
-The label model takes rules as independent given the class; per rule and class it has a probability of each vote. The
+The label model takes rules as independent given the class; per rule and class it has the probability of each vote, given that the rule votes. The
 posterior probability of "good", not a list of tests that must all pass, decides.
 """
 
@@ -22,6 +22,7 @@ from formline.llm.common import arrow_map, documents, materialize, texts, type_o
 LEAST_WORDS, MOST_REPEATED = 50, 50
 KEEP_AT = 0.5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: Statistics of a text; the first five are those of the base test.
 _LONG = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines", "n_distinct", "n_chars")
 
 
@@ -65,14 +66,13 @@ def _vote(good: Column, bad: Column) -> Column:
 
 #: Votes on the statistics: good, bad, else abstain.
 RULES: dict[str, Callable[[], Column]] = {
-    "length": lambda: _vote(F.col("s_n_words") >= 100, F.col("s_n_words") < 50),
-    "repeats": lambda: _vote(_share("n_repeat_words", "n_words") < 0.2, _share("n_repeat_words", "n_words") > 0.5),
-    "lines": lambda: _vote((F.col("s_n_lines") > 3) & (_share("n_dup_lines", "n_lines") < 0.05), _share("n_dup_lines", "n_lines") > 0.3),
+    "repeats": lambda: _vote(_share("n_repeat_words", "n_words") < 0.2, _share("n_repeat_words", "n_words") > 0.4),
+    "lines": lambda: _vote(_share("n_dup_lines", "n_lines") < 0.2, (F.col("s_n_dup_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3)),
     "symbols": lambda: _vote(_share("n_symbols", "n_words") < 0.02, _share("n_symbols", "n_words") > 0.1),
-    "capitals": lambda: _vote(_share("n_upper", "n_letters") < 0.15, _share("n_upper", "n_letters") > 0.4),
-    "letters": lambda: _vote(_share("n_letters", "word_chars") > 0.9, _share("n_letters", "word_chars") < 0.75),
-    "word_length": lambda: _vote(_share("word_chars", "n_words").between(3.0, 9.0), ~_share("word_chars", "n_words").between(2.0, 15.0)),
-    "variety": lambda: _vote((F.col("s_n_words") >= 50) & (F.col("s_n_distinct") > 4 * F.sqrt("s_n_words")), (F.col("s_n_words") >= 50) & (F.col("s_n_distinct") < F.sqrt("s_n_words"))),
+    "letters": lambda: _vote(_share("n_letters", "word_chars") > 0.93, _share("n_letters", "word_chars") < 0.9),
+    "capitals": lambda: _vote(_share("n_upper", "n_letters") < 0.1, _share("n_upper", "n_letters") > 0.3),
+    "word_length": lambda: _vote(_share("word_chars", "n_words").between(3.0, 8.0), ~_share("word_chars", "n_words").between(2.5, 12.0)),
+    "variety": lambda: _vote((F.col("s_n_words") >= 50) & (F.col("s_n_distinct") > 3 * F.sqrt("s_n_words")), (F.col("s_n_words") >= 50) & (F.col("s_n_distinct") < 2 * F.sqrt("s_n_words"))),
 }
 
 
@@ -95,14 +95,15 @@ def _votes() -> list[Column]:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-    Gives the share of good texts and the probabilities [class, rule, vote] with classes bad, good and votes -1, 0, 1. It starts from
-    the majority of votes and stops when the log-likelihood gains less than 1e-9 of itself. Without rows: even odds.
+    Gives the share of good texts and the probabilities [class, rule, vote] with classes bad, good and votes bad, good, given that the rule
+    votes; abstaining tells nothing. It starts from
+    the view that one vote for bad outweighs those for good, and stops when the log-likelihood gains less than 1e-9 of itself. Without rows: even odds.
     """
     n_rules = patterns.shape[1]
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    hot = np.stack([patterns == v for v in (-1, 1)], axis=2).astype(float)
     if not len(patterns):
-        return 0.5, np.full((2, n_rules, 3), 1 / 3)
-    good = 1 / (1 + np.exp(-(patterns.sum(axis=1) + 0.5)))
+        return 0.5, np.full((2, n_rules, 2), 0.5)
+    good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
     last = -np.inf
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
@@ -135,7 +136,7 @@ def judged(stats: DataFrame, model: tuple[float, np.ndarray], keep_at: float = K
     df = stats.select("*", *_votes())
     for r, name in enumerate(RULES):
         gain = np.log(p[1, r] / p[0, r])
-        log_odds = log_odds + F.element_at(F.array(*[F.lit(float(x)) for x in gain]), F.col(f"v_{name}"))
+        log_odds = log_odds + F.element_at(F.array(*[F.lit(float(x)) for x in (gain[0], 0, gain[1])]), F.col(f"v_{name}"))
     failed = (F.col("s_n_words") < LEAST_WORDS) | (100 * F.col("s_n_repeat_words") > MOST_REPEATED * F.col("s_n_words"))
     df = df.withColumns({"base_failed": failed, "p_good": 1 / (1 + F.exp(-log_odds))})
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at)).drop(*[f"v_{x}" for x in RULES])
