@@ -27,12 +27,12 @@ _LONG = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LETTERS = _UPPER + _UPPER.lower()
+_LETTERS = _UPPER + _UPPER.lower() + b"0123456789"
 _ABOVE_ASCII = bytes(range(128, 256))
 
 
 def statistics(raw: bytes) -> tuple[int, ...]:
-    """The _LONG statistics of one text, over the whole of it. Letters are those of ASCII and all code points above it, capitals those of ASCII."""
+    """The _LONG statistics of one text, over the whole of it. Letters are letters and digits of ASCII and all code points above it, capitals those of ASCII."""
     words = raw.split()
     text = raw.decode()
     n = len(words)
