@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from formline.llm import op1_quality as op1
+from formline.llm import op10_substrings as op10
 from formline.llm import op2_pieces as op2
 from formline.llm import op3_tokens as op3
 from formline.llm import op4_secrets as op4
@@ -15,7 +16,7 @@ from formline.llm import op9_mixing as op9
 
 
 def queries() -> dict:
-    return {"op1_quality": op1.op1_quality, "op2_pieces": op2.op2_pieces, "op3_tokens": op3.op3_tokens, "op5_jaccard": op5.op5_jaccard, "op6_classifier": op6.op6_classifier, "op4_secrets": op4.op4_secrets, "op8_transport": op8.op8_transport, "op7_sharding": op7.op7_sharding, "op9_mixing": op9.op9_mixing, "pipeline": corpus_pipeline.run}
+    return {"op1_quality": op1.op1_quality, "op2_pieces": op2.op2_pieces, "op3_tokens": op3.op3_tokens, "op5_jaccard": op5.op5_jaccard, "op6_classifier": op6.op6_classifier, "op4_secrets": op4.op4_secrets, "op8_transport": op8.op8_transport, "op7_sharding": op7.op7_sharding, "op9_mixing": op9.op9_mixing, "op10_substrings": op10.op10_substrings, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
