@@ -130,13 +130,3 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == _ORDER.index(kind))).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
 
-
-def _sql_spans(kind: str, pattern: str, least: int = 0, most: int = 1 << 30, group: int = 0) -> str:
-    p = pattern.replace("'", "''")
-    return f"""
-  SELECT n, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e, {_ORDER.index(kind)} AS k FROM (
-    SELECT n, m, v, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
-      SELECT n, unnest(regexp_extract_all(text, '{p}', 0)) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS v,
-             unnest(string_split_regex(text, '{p}')[:len(regexp_extract_all(text, '{p}', 0))]) AS g, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) AS i
-      FROM d WHERE regexp_matches(text, '{p}'))
-    WINDOW w AS (PARTITION BY n ORDER BY i)) WHERE length(v) BETWEEN {least} AND {most}"""

@@ -1,23 +1,39 @@
-"""Queries of the llm subpackage by name."""
+"""Queries of the llm subpackage by name, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 import corpus_pipeline
-from formline.llm import op1_quality as op1
-from formline.llm import op10_substrings as op10
-from formline.llm import op2_pieces as op2
-from formline.llm import op3_tokens as op3
-from formline.llm import op4_secrets as op4
-from formline.llm import op5_jaccard as op5
-from formline.llm import op6_classifier as op6
-from formline.llm import op7_sharding as op7
-from formline.llm import op8_transport as op8
-from formline.llm import op9_mixing as op9
+from formline.llm import (
+    op1_quality,
+    op2_pieces,
+    op3_tokens,
+    op4_secrets,
+    op5_jaccard,
+    op6_classifier,
+    op7_sharding,
+    op8_transport,
+    op9_mixing,
+    op10_substrings,
+    oracles,
+)
 
 
 def queries() -> dict:
-    return {"op1_quality": op1.op1_quality, "op2_pieces": op2.op2_pieces, "op3_tokens": op3.op3_tokens, "op5_jaccard": op5.op5_jaccard, "op6_classifier": op6.op6_classifier, "op4_secrets": op4.op4_secrets, "op8_transport": op8.op8_transport, "op7_sharding": op7.op7_sharding, "op9_mixing": op9.op9_mixing, "op10_substrings": op10.op10_substrings, "pipeline": corpus_pipeline.run}
+    found = [
+        op1_quality.op1_quality,
+        op2_pieces.op2_pieces,
+        op3_tokens.op3_tokens,
+        op4_secrets.op4_secrets,
+        op5_jaccard.op5_jaccard,
+        op6_classifier.op6_classifier,
+        op7_sharding.op7_sharding,
+        op8_transport.op8_transport,
+        op9_mixing.op9_mixing,
+        op10_substrings.op10_substrings,
+    ]
+    return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op9_mixing": op9.ORACLE}
+    out = {"op5_jaccard": oracles.JACCARD, "op9_mixing": op9_mixing.ORACLE, "op10_substrings": oracles.SUBSTRINGS}
+    return {**out, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
