@@ -77,7 +77,7 @@ class FmIndex:
         step = 1
         while step < self.DEPTH:
             after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
+            after[: max(0, n - step)] = rank[step:] + 1
             _, rank = np.unique(rank * (n + int(text.max(initial=0)) + 2) + after, return_inverse=True)
             step *= 2
         self.suffixes = np.argsort(rank, kind="stable")
@@ -215,11 +215,11 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mine = keyed.join(of_text, (F.col("doc_id") == F.col("r_id")) & (F.col("t") == F.col("r_t")), "left")
 
     def contents(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for doc, raw, found in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("runs").to_pylist(), strict=True):
+        for i, (doc, raw, found) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("runs").to_pylist(), strict=True)):
             if found:
                 w = word_hashes(raw.split()).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]
                 for r in found:
-                    yield doc, r["h"], r["first"], w[r["first"] : r["first"] + r["n"] + WINDOW - 1].tobytes()
+                    yield i, doc, r["h"], r["first"], w[r["first"] : r["first"] + r["n"] + WINDOW - 1].tobytes()
 
     def once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct contents of a task with their smallest document."""
@@ -233,7 +233,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         for batch in it:
             for piece in chunks(batch):
-                for doc, h, _, content in contents(piece):
+                for _, doc, h, _, content in contents(piece):
                     if least.setdefault((h, content), doc) > doc:
                         least[h, content] = doc
                 if len(least) > 300_000:
@@ -243,7 +243,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def places(batch: pa.RecordBatch) -> dict:
         rows = list(contents(batch))
-        return {"id": [r[0] for r in rows], "h": [r[1] for r in rows], "first": [r[2] for r in rows], "c": [xxhash.xxh3_64_intdigest(r[3]) - (1 << 63) for r in rows]}
+        t = batch.column("t").take(pa.array([r[0] for r in rows], pa.int64()))
+        return {"id": [r[1] for r in rows], "t": t, "h": [r[2] for r in rows], "first": [r[3] for r in rows], "c": [xxhash.xxh3_64_intdigest(r[4]) - (1 << 63) for r in rows]}
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.groupby(["h", "content"], as_index=False)["doc"].min()
@@ -256,13 +257,13 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = first_documents(words, pdf["doc"].to_numpy(np.int64))
         return pd.DataFrame({"s_h": pdf["h"], "s_c": [xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in pdf["content"]], "docs": [x.tolist() for x in found]})
 
-    use = ["doc_id", "text", "runs"]
+    use = ["doc_id", "text", "t", "runs"]
     answers = mine.select(*use).mapInArrow(once, "shard int, h long, content binary, doc long").groupBy("shard").applyInPandas(search, "s_h long, s_c long, docs array<long>")
-    at = arrow_map(mine.select(*use), places, "id long, h long, first int, c long")
+    at = arrow_map(mine.select(*use), places, "id long, t long, h long, first int, c long")
     hits = at.join(answers, (F.col("h") == F.col("s_h")) & (F.col("c") == F.col("s_c")))
     starts = F.filter(F.transform("docs", lambda x, i: F.when(x < F.col("id"), F.col("first") + i)), lambda x: x.isNotNull())
-    hits = hits.select("id", starts.alias("starts")).where(F.size("starts") > 0).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    partial = hits.join(firsts, F.col("id") == F.col("m")).select(F.col("id").alias("r_id"), F.col("t").alias("r_t"), F.lit(False).alias("whole"), "starts")
+    hits = hits.select("id", "t", starts.alias("starts")).where(F.size("starts") > 0).groupBy(F.col("id").alias("r_id"), F.col("t").alias("r_t")).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    partial = hits.select("r_id", "r_t", F.lit(False).alias("whole"), "starts")
     copies = keys.join(firsts, "t").where("id > m").select(F.col("id").alias("r_id"), F.col("t").alias("r_t"), F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts")).distinct()
     return keyed, partial.unionByName(copies)
 
