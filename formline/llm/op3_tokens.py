@@ -9,7 +9,10 @@ Texts are tokenised twice, for the counts and for the files, and are shuffled on
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +26,13 @@ from formline.llm.common import arrow_map, chunks, documents, materialize, texts
 
 BLOCK = 1 << 18
 END_ID = 2
-#: Words whose ids a worker remembers. When they are full it forgets them all; results do not depend on it.
-REMEMBERED = 250_000
+#: Words and parts of words whose ids a worker remembers. When they are full it forgets them all; results do not depend on it.
+REMEMBERED = 400_000
+#: Words of these characters (ASCII and Latin-1 letters) alone fall into the tokenizer's own parts by the pattern below once they are in lower case; all
+#: other words, and those that may hold a special token, go to it whole.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 _state: dict = {}
 
@@ -36,7 +44,7 @@ def tokenizer_file() -> str:
 
 
 class WordTokenizer:
-    """The ids of a text, word by word. For tokenizers that never join or compare what white space separates, as word_bpe_49k."""
+    """The ids of a text, word by word. For tokenizers that split on white space and then as _PARTS says, as word_bpe_49k does; a look at the file's own rules confirms it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,7 +52,30 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        rules = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in rules["normalizer"]["normalizers"]]
+        if kinds != ["NFC", "Replace", "Lowercase"] or rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _RULE:
+            raise ValueError(f"{path} does not split texts as this class does")
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words not met before. The library encodes each new part once; a word's ids are those of its parts."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        parts, known = {}, self.parts
+        for w in words:
+            x = w.decode()
+            parts[w] = _PARTS.findall(x.lower()) if _PLAIN.fullmatch(x) and "<|" not in x else [x]
+        fresh = list({x for found in parts.values() for x in found if x not in known})
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            for x, e in zip(some, found, strict=True):
+                ids = e.ids
+                known[x] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, found in parts.items():
+            self.known[w] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
 
     def ids(self, raw: list[bytes], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text and its end id."""
@@ -52,11 +83,9 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        fresh = list({w for x in words for w in x if w not in known})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        fresh = set().union(*words).difference(known)
+        if fresh:
+            self._learn(list(fresh))
         return [b"".join(map(known.__getitem__, x)) + end for x in words]
 
 
