@@ -15,6 +15,7 @@ Characters without a piece become their UTF-8 bytes' pieces, so decoding gives e
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -29,7 +30,7 @@ from formline.llm.common import CHUNK, arrow_map, documents, type_of
 SAMPLES = 2
 THETA = 1.0
 #: Lattice nodes that a worker keeps; beyond them it starts anew. Results do not depend on it.
-NODES = 1_500_000
+NODES = 2_500_000
 #: A set of ways through a word that holds less than this share of its mass cannot be told from rounding and counts as empty.
 LEAST_MASS = 1e-12
 _CUT = re.compile(r" *[^ \n]+| +|\n")
@@ -106,7 +107,10 @@ class Vocabulary:
 
 
 class Lattices:
-    """Word lattices in flat arrays: nodes are numbered through, an edge's `cum` is its node plus the cumulated probability."""
+    """Word lattices in flat arrays with room to grow: nodes are numbered through; of an edge there are the cumulated probability, the length and number of its piece and the log of its probability."""
+
+    _NODE = {"low": np.int32, "is_end": np.bool_}  # a node's first edge
+    _EDGE = {"cum": np.float64, "length": np.uint8, "piece": np.int32, "logp": np.float64}
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -114,11 +118,19 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.nodes = 0
-        self.start = np.zeros(0, np.int64)  # a word's first node
-        self.cum, self.to, self.piece, self.logp = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
-        self.low = np.zeros(0, np.int64)  # a node's first edge
-        self.is_end = np.zeros(0, bool)
+        self.nodes = self.edges = 0
+        self.start: list[int] = []  # a word's first node
+        for name, kind in (self._NODE | self._EDGE).items():
+            setattr(self, name, np.zeros(0, kind))
+
+    def _append(self, used: int, parts: dict[str, np.ndarray]) -> None:
+        for name, more in parts.items():
+            old = getattr(self, name)
+            if used + len(more) > len(old):
+                wider = np.zeros(max(2 * len(old), used + len(more)), old.dtype)
+                wider[:used] = old[:used]
+                setattr(self, name, old := wider)
+            old[used : used + len(more)] = more
 
     def add(self, words: list[str]) -> None:
         """Lattices of new words, all at once: edges by a walk of the vocabulary's trie from every place, masses level by level from the words' ends."""
@@ -173,24 +185,23 @@ class Lattices:
             mass[of[begins]] = top + np.log(total)
         logp = np.minimum(weights + mass[to_node] - mass[node], 0.0)
         likely = np.lexsort((-logp, node))  # a node's likeliest edge first
-        ids, to_node, logp = ids[likely], to_node[likely], logp[likely]
+        ids, length, logp = ids[likely], length[likely], logp[likely]
         begins = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1])
         sizes_of = np.diff(np.append(begins, len(node)))
         total = np.cumsum(np.exp(logp))
         share = total - np.repeat(total[begins] - np.exp(logp[begins]), sizes_of)
-        share = np.clip(share, 0.0, 1.0)
+        share = np.clip(share, 0.0, np.nextafter(1.0, 0.0))  # only a node's last edge reaches 1
         share[begins + sizes_of - 1] = 1.0
         ends = np.zeros(n + len(words), bool)
         ends[np.cumsum(sizes + 1) - 1] = True
-        base, edges = self.nodes, len(self.cum)
         low = np.full(n + len(words), -1)
-        low[node[begins]] = edges + begins
+        low[node[begins]] = self.edges + begins
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        starts = base + np.cumsum(sizes + 1) - (sizes + 1)
-        for name, more in (("start", starts), ("cum", base + node + share), ("to", base + to_node), ("piece", ids), ("logp", logp), ("low", low), ("is_end", ends)):
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, more.astype(old.dtype)]))
+        self.start += (self.nodes + np.cumsum(sizes + 1) - (sizes + 1)).tolist()
+        self._append(self.nodes, {"low": low, "is_end": ends})
+        self._append(self.edges, {"cum": share, "length": length, "piece": ids, "logp": logp})
         self.nodes += n + len(words)
+        self.edges += len(ids)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -229,7 +240,7 @@ def _draw(lat: Lattices, first: np.ndarray, idx: np.ndarray, seed: np.ndarray, s
     node, steps, step = first[idx].copy(), [], 0
     live = idx
     while len(live):
-        x, e = node + _uniform(seed[live], sample, step, place[live]), lat.low[node]
+        x, e = _uniform(seed[live], sample, step, place[live]), lat.low[node]
         late = np.flatnonzero(lat.cum[e] <= x)
         while len(late):
             e[late] += 1
@@ -237,7 +248,7 @@ def _draw(lat: Lattices, first: np.ndarray, idx: np.ndarray, seed: np.ndarray, s
         steps.append((live, e))
         out.count[live] += 1
         out.logp[live] += lat.logp[e]
-        node = lat.to[e]
+        node = node + lat.length[e]
         go = ~lat.is_end[node]
         live, node, step = live[go], node[go], step + 1
     return steps
@@ -249,7 +260,7 @@ def _otherwise(lat: Lattices, node: int, taken: list[tuple], uniform) -> tuple |
     left = list(taken)
     while not lat.is_end[node]:
         lo = int(lat.low[node])
-        hi = lo + int(np.searchsorted(lat.cum[lo : lo + lat.v.longest], node + 1)) + 1
+        hi = lo + int(np.argmax(lat.cum[lo : lo + lat.v.longest] >= 1)) + 1
         p = np.exp(lat.logp[lo:hi]).tolist()
         for x in left:
             rest = math.exp(float(lat.logp[list(x[len(way) :])].sum()))
@@ -267,7 +278,7 @@ def _otherwise(lat: Lattices, node: int, taken: list[tuple], uniform) -> tuple |
                 break
         way.append(e)
         left = [x for x in left if x[len(way) - 1] == e]
-        node = int(lat.to[e])
+        node += int(lat.length[e])
     return tuple(way)
 
 
@@ -285,11 +296,11 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int = SAM
     words = [_CUT.findall(f" {x}") if x else [] for x in texts]
     if lat.nodes > NODES:
         lat.clear()
-    lat.add(list(dict.fromkeys(w for x in words for w in x if w not in lat.number)))
+    lat.add(list(dict.fromkeys(itertools.filterfalse(lat.number.__contains__, itertools.chain.from_iterable(words)))))
     sizes = np.array([len(x) for x in words], np.int64)
     n, ends = int(sizes.sum()), np.cumsum(sizes)
     begins = ends - sizes
-    first = lat.start[np.fromiter((lat.number[w] for x in words for w in x), np.int64, n)]
+    first = np.array(lat.start, np.int64)[np.fromiter(map(lat.number.__getitem__, itertools.chain.from_iterable(words)), np.int64, n)]
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(n) - begins[doc]
     seed = _mix(keys.astype(np.uint64))
