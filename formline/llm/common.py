@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import tempfile
@@ -49,12 +50,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Delete the tables that materialize() has written in this process. For callers that have stored every result built on them."""
-    for path in [p for p in _made if p not in set(keep)]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _made.remove(path)
+@contextlib.contextmanager
+def scratch_tables(into: list[str]) -> Iterator[None]:
+    """Adds the paths of tables that materialize() writes meanwhile to a list."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        into += _made[before:]
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete tables that materialize() has written in this process, all or some. For callers that have stored every result built on them."""
+    for path in list(_made if paths is None else paths):
+        if path in _made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _made.remove(path)
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
