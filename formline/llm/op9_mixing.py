@@ -3,7 +3,7 @@
 Every row gets a hash-random key. Within a source, rows stand in key order, cut into 4,096 key ranges; sums
 per (source, range) give each range's offset by a prefix sum over at most 4,096 rows a source. Only the one range of a
 source in which its budget ends needs an exact running sum over its rows; all others are wholly in or wholly out.
-So a source that holds a third of all rows is never gathered, and the text is never shuffled.
+So a source that holds a third of all rows is never gathered; the text is not shuffled unless there are more than BROADCAST_SOURCES sources.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = 7
+#: Sources whose budgets are broadcast at most, a row of some 100 bytes each; beyond, rows meet them by a shuffled join.
+BROADCAST_SOURCES = 100_000
 _HEX_DIGITS = 3  # 16 ** 3 key ranges
 
 
@@ -70,7 +72,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     # the range in which the rest ends: the last one that starts at or below it
     ends = ends.where(F.col("before") <= F.col("rest")).groupBy("s.source", "source_size", "target", "epochs", "rest").agg(F.max("_m_range").alias("_m_end"), F.max("before").alias("_m_before"))
     ends = ends.select(F.col("source").alias("_m_source"), "source_size", "target", "epochs", F.col("rest").alias("_m_rest"), "_m_end", "_m_before")
-    rows = base.join(ends, F.col("source").eqNullSafe(F.col("_m_source")))
+    ends = materialize(ends, "op9-budgets")
+    few = ends.count() <= BROADCAST_SOURCES
+    rows = base.join(F.broadcast(ends) if few else ends, F.col("source").eqNullSafe(F.col("_m_source")))
     cut = rows.where(F.col("_m_range") == F.col("_m_end"))
     whole = rows.where(F.col("_m_range") != F.col("_m_end")).withColumn("_m_last", F.when(F.col("_m_range") < F.col("_m_end"), F.col("size")).otherwise(0))
     order = Window.partitionBy("_m_source").orderBy("_m_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
