@@ -12,7 +12,7 @@
    below, or if everything below is connected already. Leaf pairs that are left are compared exactly.
 4. Links between classes give components; every document gets that of its class.
 
-Pairs are neither emitted nor shipped: a block travels once for each block of its group whose sizes fit.
+No pairs of classes travel: a block's sets do, once for each block of its group whose sizes fit.
 """
 
 from __future__ import annotations
@@ -34,8 +34,12 @@ PERCENT = 80
 #: Counters of hashed words, whatever the corpus; 4 bytes each.
 COUNTERS = 1 << 20
 #: Shingles of a block: it closes with the class that reaches them.
-BLOCK = 1 << 18
+BLOCK = 1 << 21
 BITMAP, FANOUT = 1024, 8
+#: Tree level whose node pairs are compared by one matrix product: FANOUT ** DENSE classes a side.
+DENSE = 2
+#: Bytes of a shingle hash that travel: the high ones.
+_HASH_BYTES = 6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -65,6 +69,10 @@ def shingles(raw: bytes) -> np.ndarray:
     return np.unique(_rolled(w)) if len(w) else w
 
 
+def fingerprint(h: np.ndarray, salt: int) -> int:
+    return int(_mix(h + np.uint64(salt)).sum().view(np.int64)) if len(h) else 0
+
+
 def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     """How often the words of each hash bucket occur in all texts: one table of fixed size a task, summed part by part before it comes to the driver."""
     parts = 64
@@ -118,7 +126,7 @@ def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     rarest = np.minimum(rarest, seen[k : k + len(all_h)])
                 h, at = np.unique(all_h, return_index=True)
                 n = len(h)
-                f1, f2 = (int(_mix(h + np.uint64(s)).sum().view(np.int64)) for s in (1, 2))
+                f1, f2 = fingerprint(h, 1), fingerprint(h, 2)
                 # rarity by powers of two, then the hash: equal shingles have equal words and so equal places in the order
                 level = np.log2(rarest[at].astype(np.float64) + 1).astype(np.int64)
                 prefix = h[np.lexsort((h, level))[: prefix_length(n)]].view(np.int64)
@@ -129,27 +137,28 @@ def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, n long, f1 long, f2 long, prefix array<long>")
 
 
-def chains(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that are neighbours in size among those with a common prefix shingle, if their sizes allow a link.
+def chains(sketch: DataFrame) -> DataFrame:
+    """(a, b): fingerprints f1 of sets that are neighbours in size among those with a common prefix shingle, if their sizes allow a link.
 
-    Rows come sorted and are read as a stream, so a shingle of any number of classes takes the memory of one row.
+    Rows come sorted and are read as a stream, so a shingle of any number of sets takes the memory of one row; copies of a set are
+    neighbours and fall away.
     """
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in it:
-            t, n, c = (batch.column(x).to_numpy() for x in ("t", "n", "c"))
+            t, n, c = (batch.column(x).to_numpy() for x in ("t", "n", "f1"))
             if last is not None:
                 t, n, c = (np.concatenate([[x], y]) for x, y in zip(last, (t, n, c), strict=True))
             if not len(t):
                 continue
             last = (t[-1], n[-1], c[-1])
-            link = (t[1:] == t[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+            link = (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
             pairs = np.unique(np.stack([c[:-1][link], c[1:][link]], axis=1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    rows = classes.select(F.explode("prefix").alias("t"), "n", F.col("c"))
-    return rows.repartition("t").sortWithinPartitions("t", "n", "c").mapInArrow(f, "a long, b long").distinct()
+    rows = sketch.select(F.explode("prefix").alias("t"), F.col("n").cast("int").alias("n"), "f1")
+    return rows.repartition("t").sortWithinPartitions("t", "n", "f1").mapInArrow(f, "a long, b long").distinct()
 
 
 class Tree:
@@ -198,51 +207,105 @@ def _possible(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> np.
     return enough & (100 * high_a >= PERCENT * low_b) & (100 * high_b >= PERCENT * low_a)
 
 
+class _Dense:
+    """Exact overlaps of all pairs of two nodes' sets at once, by a product of 0/1 matrices over the shingles of one node."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.universe, back = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        ends = np.cumsum(sizes)
+        self.ids = [back[e - n : e].astype(np.int32) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def renumber(self, universe: np.ndarray) -> None:
+        """ids as places in another universe; what it lacks is left out."""
+        at = np.minimum(np.searchsorted(universe, self.universe), max(len(universe) - 1, 0))
+        place = np.where(universe[at] == self.universe, at, -1).astype(np.int32) if len(universe) else np.full(len(self.universe), -1, np.int32)
+        self.ids = [p[p >= 0] for p in (place[i] for i in self.ids)]
+
+
+def _rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
+
+
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that connect what is linked: pairs (i, j) of sets_a and sets_b (of sets_a alone if there is no sets_b, i < j), a spanning forest of all links.
 
-    Both lists have to be in order of size. Levels are walked from the top, both trees in step.
+    Both lists have to be in order of size. Levels are walked from the top, both trees in step, down to pairs of small nodes; their leaf
+    pairs that bitmaps and sizes do not rule out and that are not connected yet are compared exactly.
     """
     own = sets_b is None
+    right = sets_a if own else sets_b
+    if not sets_a or not right:
+        return []
     a = Tree(sets_a)
     b = a if own else Tree(sets_b)
-    while len(a.levels) < len(b.levels):
-        a.levels.append(a.levels[-1])
-    while len(b.levels) < len(a.levels):
-        b.levels.append(b.levels[-1])
+    depth = max(len(a.levels), len(b.levels), DENSE + 1)
+    for t in {id(a): a, id(b): b}.values():
+        while len(t.levels) < depth:
+            t.levels.append(t.levels[-1] if len(t.levels[-1][1]) == 1 else t.levels[-1])
     shift = 0 if own else len(sets_a)
-    groups, out = Groups(len(sets_a) + (0 if own else len(sets_b))), []
-
-    def below(tree: Tree, level: int, node: int) -> range:
-        if len(tree.levels[level - 1][1]) == len(tree.levels[level][1]) == 1:
-            return range(node, node + 1)
-        return range(node * FANOUT, min(len(tree.levels[level - 1][1]), (node + 1) * FANOUT))
+    groups, out = Groups(len(sets_a) + (0 if own else len(right))), []
+    left_ids = _Dense(sets_a)
+    right_ids = left_ids if own else _Dense(right)
+    if not own:
+        right_ids.renumber(left_ids.universe)
+    size_a, size_b = (np.array([len(x) for x in s], np.int64) for s in (sets_a, right))
+    column = np.full(len(left_ids.universe), -1, np.int32)
+    step = FANOUT**DENSE
+    held: dict = {}
 
     def compare(i: int, j: int) -> None:
-        if groups.find(i) == groups.find(shift + j):
+        """All pairs below node i of a and node j of b at level DENSE."""
+        rows, cols = np.arange(i * step, min(len(sets_a), (i + 1) * step)), np.arange(j * step, min(len(right), (j + 1) * step))
+        of_a, of_b = (np.array([groups.find(int(x)) for x in s]) for s in (rows, cols + shift))
+        x, y = np.nonzero(of_a[:, None] != of_b[None, :])
+        if own and i == j:
+            x, y = x[x < y], y[x < y]
+        ok = _possible(a, b, 0, rows[x], cols[y])
+        x, y = x[ok], y[ok]
+        if not len(x):
             return
-        x, y = sets_a[i], (sets_a if own else sets_b)[j]
-        both = int(np.isin(x, y, assume_unique=True).sum()) if len(x) < 16 else len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= PERCENT * (len(x) + len(y) - both):
-            groups.join(i, shift + j)
-            out.append((i, j))
-
-    stack = [(len(a.levels) - 1, 0, 0)]
+        if held.get("node") != i:
+            if "ids" in held:
+                column[held["ids"]] = -1
+            r, ids = _rows([left_ids.ids[k] for k in rows])
+            used, at = np.unique(ids, return_inverse=True)
+            m = np.zeros((len(rows), len(used)), np.float32)
+            m[r, at] = 1
+            column[used] = np.arange(len(used))
+            held.update(node=i, ids=used, matrix=m)
+        wanted, back = np.unique(y, return_inverse=True)
+        r, ids = _rows([right_ids.ids[k] for k in cols[wanted]])
+        at = column[ids]
+        m = np.zeros((len(wanted), len(held["ids"])), np.float32)
+        m[r[at >= 0], at[at >= 0]] = 1
+        both = np.rint(held["matrix"] @ m.T).astype(np.int64)[x, back]
+        hit = 100 * both >= PERCENT * (size_a[rows[x]] + size_b[cols[y]] - both)
+        for p, q in zip(rows[x[hit]].tolist(), cols[y[hit]].tolist(), strict=True):
+            if groups.join(p, shift + q):
+                out.append((p, q))
+
+    def below(tree: Tree, level: int, node: int) -> np.ndarray:
+        if len(tree.levels[level - 1][1]) == len(tree.levels[level][1]):
+            return np.arange(node, node + 1)
+        return np.arange(node * FANOUT, min(len(tree.levels[level - 1][1]), (node + 1) * FANOUT))
+
+    stack = [(depth - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
-        if level == 0:
-            if not own or i < j:
-                compare(i, j)
+        if level == DENSE:
+            compare(i, j)
             continue
-        pairs = np.array([(x, y) for x in below(a, level, i) for y in below(b, level, j) if not own or x <= y], np.int64).reshape(-1, 2)
-        if len(pairs):
-            ok = _possible(a, b, level - 1, pairs[:, 0], pairs[:, 1])
-            stack += [(level - 1, int(x), int(y)) for x, y in pairs[ok][::-1]]
+        x, y = (z.reshape(-1) for z in np.meshgrid(below(a, level, i), below(b, level, j), indexing="ij"))
+        if own:
+            x, y = x[x <= y], y[x <= y]
+        ok = _possible(a, b, level - 1, x, y)
+        stack += [(level - 1, p, q) for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True)][::-1]
     return out
 
 
 def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) links between classes c, from groups(c, n, g): components of candidates, by blocks of each."""
+    """(a, b) links between classes c, from groups(c, n, f1, g): components of candidates, by blocks of each."""
     order = Window.partitionBy("g").orderBy("n", "c")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     members = materialize(groups.select("*", (F.coalesce(upto, F.lit(0)) / BLOCK).cast("int").alias("k")), "op5-blocks")
@@ -250,26 +313,36 @@ def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.k") <= F.col("y.k")) & (100 * F.col("x.high") >= PERCENT * F.col("y.low")))
     pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.k").alias("i"), F.col("y.k").alias("j"))
-    roles = pairs.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("k"))
-    kind = type_of(docs, "doc_id")
-    mine = docs.select("doc_id", "text").join(members.select(F.col("c").cast(kind).alias("doc_id"), "g", "k", "c"), "doc_id").dropDuplicates(["c"])
+    roles = pairs.select("g", F.struct("i", "j").alias("pair"), F.explode(F.array_distinct(F.array("i", "j"))).alias("k")).groupBy("g", "k").agg(F.collect_list("pair").alias("pairs"))
+    members = members.join(roles, ["g", "k"]).select(F.col("c").cast(type_of(docs, "doc_id")).alias("doc_id"), "g", "k", "c", "f1", "pairs")
+    mine = docs.select("doc_id", "text").join(members, "doc_id")
 
     def sets(batch: pa.RecordBatch) -> dict:
-        return {k: batch.column(k) for k in ("g", "k", "c")} | {"s": [shingles(t).tobytes() for t in texts(batch)]}
+        found = [shingles(t) for t in texts(batch)]
+        # a doc_id may have rows of other sets
+        right = [fingerprint(h, 1) == f for h, f in zip(found, batch.column("f1").to_pylist(), strict=True)]
+        content = [h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() if r else None for h, r in zip(found, right, strict=True)]
+        return {k: batch.column(k) for k in ("g", "k", "c", "pairs")} | {"s": content}
 
-    content = arrow_map(mine, sets, "g long, k int, c long, s binary")
-    dealt = content.join(roles, ["g", "k"])
+    content = arrow_map(mine, sets, "g long, k int, c long, pairs array<struct<i:int,j:int>>, s binary").where("s is not null")
+    dealt = content.select("g", "k", "c", "s", F.explode("pairs").alias("p")).select("g", "p.i", "p.j", "k", "c", "s")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
+        pdf = pdf.drop_duplicates("c")
         sides = []
         for k in dict.fromkeys((i, j)):
             part = pdf[pdf["k"] == k]
-            found = sorted(zip(map(len, part["s"]), part["c"].tolist(), part["s"], strict=True))
-            sides.append(([c for _, c, _ in found], [np.frombuffer(s, np.uint64) for *_, s in found]))
+            found = sorted(zip(part["s"].map(len), part["c"].tolist(), part["s"], strict=True), key=lambda z: z[:2])
+            wide = []
+            for _, _, raw in found:
+                w = np.zeros((len(raw) // _HASH_BYTES, 8), np.uint8)
+                w[:, :_HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _HASH_BYTES)
+                wide.append(w.view(">u8").reshape(-1).astype(np.uint64))
+            sides.append(([c for _, c, _ in found], wide))
         hits = linked(*[s for _, s in sides])
         left, right = sides[0][0], sides[-1][0]
-        return pd.DataFrame({"a": [left[x] for x, _ in hits], "b": [right[y] for _, y in hits]}, dtype="int64")
+        return pd.DataFrame({"a": [left[p] for p, _ in hits], "b": [right[q] for _, q in hits]}, dtype="int64")
 
     return dealt.groupBy("g", "i", "j").applyInPandas(f, "a long, b long")
 
@@ -286,9 +359,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the smallest doc_id of each set stands for it
     classes = sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").cast("long").alias("c"))
     classes = materialize(classes.where("c is not null"), "op5-classes")
-    first = sketch.select("doc_id", F.col("f1").alias("_1"), F.col("f2").alias("_2"), "prefix").join(classes, (F.col("_1") == F.col("f1")) & (F.col("_2") == F.col("f2")) & (F.col("doc_id") == F.col("c")))
-    candidates = components(chains(first.select("c", "n", "prefix").dropDuplicates(["c", "n"])), name="op5-candidates")
-    groups = candidates.select(F.col("node").alias("c"), F.col("component").alias("g")).join(classes.select("c", "n"), "c")
+    candidates = components(chains(sketch), name="op5-candidates")
+    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(classes, "f1").select("c", "n", "f1", "g")
     links = _links(groups, docs)
     rows = sketch.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     # rows of one doc_id that differ in their sets are one node as well
