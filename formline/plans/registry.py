@@ -436,6 +436,12 @@ def name_key(spark, d):
     return df.where(~plain.rlike(r"\b(jr|sr|ii|iii|iv)\b")).select("doc_id", X.name_key("t").alias("name_key"))
 
 
+@query()
+def name_key_whole(spark, d):
+    """The key of every document's whole text, suffixes removed. No SQL: tests hold it against plain Python."""
+    return table(spark, d, "documents").select("doc_id", X.name_key("text").alias("name_key"))
+
+
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]')) AS BIGINT) AS n_links FROM pages", ctes=False)
 def html_extract(spark, d):
     return html.links(table(spark, d, "pages"))
