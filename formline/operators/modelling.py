@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,14 +101,51 @@ def ridge(df: DataFrame, features: Sequence[str], target: str = TARGET, alpha: f
     return out.drop("_features", "_scaled", *names)
 
 
-def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 60, rate: float = 0.1, depth: int = 4, seed: int = 42) -> DataFrame:
-    """df with prediction of boosted trees that stop early on the validation rows. Nulls become medians with indicators, as the trees take none."""
-    from pyspark.ml.regression import GBTRegressor
+def best_round(errors: Sequence[float], patience: int) -> int | None:
+    """The number of trees with the least error before `patience` rounds without a smaller one; None if the errors end sooner."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1
+    return None
+
+
+def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 5000, rate: float = 0.03, depth: int = 5, seed: int = 42, patience: int = 200) -> DataFrame:
+    """df with prediction of boosted trees, cut where the squared error of the validation rows is least. Nulls become medians with indicators, as the trees take none.
+
+    Spark's own stop has no patience and its fits cannot be continued, so the fit is repeated with twice the trees until `patience`
+    rounds bring no smaller error, or with all `trees`. A tree depends on the ones before it alone: a shorter fit is the start of a longer one.
+    """
+    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 
     filled, names = _filled(df, features, indicators=True)
-    data = _assembled(filled, names).withColumn("_validation", F.col("split") == "validation")
-    model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, validationIndicatorCol="_validation").fit(data.where("split <> 'test'"))
-    return model.transform(data).withColumn("prediction", clip(F.col("prediction"))).drop("_features", "_validation", *names)
+    data = _assembled(filled, names)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="formline-"))  # else the plan of each tree holds all earlier ones
+    train, validation = (data.where(F.col("split") == part).select("_features", target).persist() for part in ("train", "validation"))
+    try:
+        n, best = min(trees, 2 * patience), None
+        while True:
+            model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=n, stepSize=rate, maxDepth=depth, seed=seed).fit(train)
+            errors = model.evaluateEachIteration(validation, "squared")
+            best = best_round(errors, patience)
+            if best or n == trees:
+                break
+            n = min(trees, 2 * n)
+    finally:
+        train.unpersist()
+        validation.unpersist()
+    best = best or min(range(n), key=errors.__getitem__) + 1
+    java, jvm, gateway = model._java_obj, sc._jvm, sc._gateway
+    kept, weights = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, best), gateway.new_array(jvm.double, best)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(best):
+        kept[i], weights[i] = all_trees[i], all_weights[i]
+    short = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, weights)).setFeaturesCol("_features")
+    return short.transform(data).withColumn("prediction", clip(F.col("prediction"))).drop("_features", *names)
 
 
 def configurations(names: Sequence[str], families: Mapping[str, str]) -> dict[str, list[str]]:

@@ -605,7 +605,7 @@ def ridge_metrics(spark, d):
 @query()
 def boosted_metrics(spark, d):
     df = modelling.chronological_split(_model_frame(spark, d))
-    return rounded(modelling.metrics(modelling.boosted(df, _FEATURES, trees=10, depth=3), by=["split"]))
+    return rounded(modelling.metrics(modelling.boosted(df, _FEATURES), by=["split"]))
 
 
 @query()

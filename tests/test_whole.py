@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+from formline.operators import modelling
 from formline.plans import registry
 
 
@@ -16,3 +17,15 @@ def test_name_key_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["name_key"] for r in registry.queries()["name_key_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else plain_key(t) for i, t in rows}
+
+
+def test_boosting_goes_on_after_small_gains(spark):
+    """Every tree after the first gains less than 1e-4 of squared error, where Spark's own stop would end the fit."""
+    assert modelling.best_round([3.0, 2.0, 2.5, 2.4], 2) == 2
+    assert modelling.best_round([3.0, 2.0, 2.5, 1.0], 3) is None
+    signs = [((i >> 0) & 1, (i >> 1) & 1, (i >> 2) & 1) for i in range(240)]
+    rows = [(*map(float, s), 0.3 + 0.02 * sum(s), ("train", "validation", "test")[i // 8 % 3]) for i, s in enumerate(signs)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, k_rate double, split string")
+    out = modelling.boosted(df, ["a", "b", "c"], trees=24, rate=0.3, depth=1, patience=6)
+    scores = {r["split"]: r for r in modelling.metrics(out, by=["split"]).collect()}
+    assert scores["test"]["rmse"] < 0.004
