@@ -9,10 +9,11 @@
 3. In each such group, sorted by size and cut into blocks of bounded content, signature trees find the links: a leaf is a class,
    a node holds the OR of its classes' token bitmaps, their largest and smallest size. Two trees (or one with itself) are
    traversed together; a pair of nodes is pruned if the overlap that their bitmaps and sizes still allow is too small for any pair
-   below, or if everything below is connected already. Leaf pairs that are left are compared exactly.
-4. Links between classes give components; every document gets that of its class.
+   below. Leaf pairs that are left are compared exactly, connected or not, so every link is found.
+4. Where it is found, a link counts for both classes by the rows of the other; a spanning forest of each pair of blocks gives the components. Every
+   document gets the component and the number of links of its class.
 
-No pairs of classes travel: a block's sets do, once for each block of its group whose sizes fit.
+No pairs of classes travel but those of forests: a block's sets do, once for each block of its group whose sizes fit.
 """
 
 from __future__ import annotations
@@ -228,23 +229,26 @@ def _rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is linked: pairs (i, j) of sets_a and sets_b (of sets_a alone if there is no sets_b, i < j), a spanning forest of all links.
+    """All links: pairs (i, j) of sets_a and sets_b (of sets_a alone if there is no sets_b, i < j).
 
     Both lists have to be in order of size. Levels are walked from the top, both trees in step, down to pairs of small nodes; their leaf
-    pairs that bitmaps and sizes do not rule out and that are not connected yet are compared exactly.
+    pairs that bitmaps and sizes do not rule out are compared exactly.
     """
+    return [pair for some in _linked(sets_a, sets_b) for pair in zip(*(x.tolist() for x in some), strict=True)]
+
+
+def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """linked(), as arrays of a pair of nodes each: a family's links never stand in memory at once."""
     own = sets_b is None
     right = sets_a if own else sets_b
     if not sets_a or not right:
-        return []
+        return
     a = Tree(sets_a)
     b = a if own else Tree(sets_b)
     depth = max(len(a.levels), len(b.levels), DENSE + 1)
     for t in {id(a): a, id(b): b}.values():
         while len(t.levels) < depth:
             t.levels.append(t.levels[-1] if len(t.levels[-1][1]) == 1 else t.levels[-1])
-    shift = 0 if own else len(sets_a)
-    groups, out = Groups(len(sets_a) + (0 if own else len(right))), []
     left_ids = _Dense(sets_a)
     right_ids = left_ids if own else _Dense(right)
     if not own:
@@ -254,17 +258,16 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) ->
     step = FANOUT**DENSE
     held: dict = {}
 
-    def compare(i: int, j: int) -> None:
-        """All pairs below node i of a and node j of b at level DENSE."""
+    def compare(i: int, j: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The links of all pairs below node i of a and node j of b at level DENSE."""
         rows, cols = np.arange(i * step, min(len(sets_a), (i + 1) * step)), np.arange(j * step, min(len(right), (j + 1) * step))
-        of_a, of_b = (np.array([groups.find(int(x)) for x in s]) for s in (rows, cols + shift))
-        x, y = np.nonzero(of_a[:, None] != of_b[None, :])
+        x, y = (z.reshape(-1) for z in np.meshgrid(np.arange(len(rows)), np.arange(len(cols)), indexing="ij"))
         if own and i == j:
             x, y = x[x < y], y[x < y]
         ok = _possible(a, b, 0, rows[x], cols[y])
         x, y = x[ok], y[ok]
         if not len(x):
-            return
+            return None
         if held.get("node") != i:
             if "ids" in held:
                 column[held["ids"]] = -1
@@ -281,9 +284,7 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) ->
         m[r[at >= 0], at[at >= 0]] = 1
         both = np.rint(held["matrix"] @ m.T).astype(np.int64)[x, back]
         hit = 100 * both >= PERCENT * (size_a[rows[x]] + size_b[cols[y]] - both)
-        for p, q in zip(rows[x[hit]].tolist(), cols[y[hit]].tolist(), strict=True):
-            if groups.join(p, shift + q):
-                out.append((p, q))
+        return rows[x[hit]], cols[y[hit]]
 
     def below(tree: Tree, level: int, node: int) -> np.ndarray:
         if len(tree.levels[level - 1][1]) == len(tree.levels[level][1]):
@@ -294,19 +295,23 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) ->
     while stack:
         level, i, j = stack.pop()
         if level == DENSE:
-            compare(i, j)
+            if (found := compare(i, j)) is not None:
+                yield found
             continue
         x, y = (z.reshape(-1) for z in np.meshgrid(below(a, level, i), below(b, level, j), indexing="ij"))
         if own:
             x, y = x[x <= y], y[x <= y]
         ok = _possible(a, b, level - 1, x, y)
         stack += [(level - 1, p, q) for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True)][::-1]
-    return out
 
 
 def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) links between classes c, from groups(c, n, f1, g): components of candidates, by blocks of each."""
-    order = Window.partitionBy("g").orderBy("n", "c")
+    """Links between classes, from groups(c, n, f1, copies, g): components of candidates, by blocks of each.
+
+    Rows of two kinds: (a, b, null, null), links of classes c that connect all that is linked, and (null, null, f1, n_links), how many rows
+    a class f1 is linked with in a pair of blocks. Every pair of classes belongs to one pair of blocks.
+    """
+    order = Window.partitionBy("g").orderBy("n", "c", "f1")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     members = materialize(groups.select("*", (F.coalesce(upto, F.lit(0)) / BLOCK).cast("int").alias("k")), "op5-blocks")
     blocks = members.groupBy("g", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -314,7 +319,7 @@ def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.k") <= F.col("y.k")) & (100 * F.col("x.high") >= PERCENT * F.col("y.low")))
     pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.k").alias("i"), F.col("y.k").alias("j"))
     roles = pairs.select("g", F.struct("i", "j").alias("pair"), F.explode(F.array_distinct(F.array("i", "j"))).alias("k")).groupBy("g", "k").agg(F.collect_list("pair").alias("pairs"))
-    members = members.join(roles, ["g", "k"]).select(F.col("c").cast(type_of(docs, "doc_id")).alias("doc_id"), "g", "k", "c", "f1", "pairs")
+    members = members.join(roles, ["g", "k"]).select(F.col("c").cast(type_of(docs, "doc_id")).alias("doc_id"), "g", "k", "c", "f1", "copies", "pairs")
     mine = docs.select("doc_id", "text").join(members, "doc_id")
 
     def sets(batch: pa.RecordBatch) -> dict:
@@ -322,33 +327,45 @@ def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
         # a doc_id may have rows of other sets
         right = [fingerprint(h, 1) == f for h, f in zip(found, batch.column("f1").to_pylist(), strict=True)]
         content = [h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() if r else None for h, r in zip(found, right, strict=True)]
-        return {k: batch.column(k) for k in ("g", "k", "c", "pairs")} | {"s": content}
+        return {k: batch.column(k) for k in ("g", "k", "c", "f1", "copies", "pairs")} | {"s": content}
 
-    content = arrow_map(mine, sets, "g long, k int, c long, pairs array<struct<i:int,j:int>>, s binary").where("s is not null")
-    dealt = content.select("g", "k", "c", "s", F.explode("pairs").alias("p")).select("g", "p.i", "p.j", "k", "c", "s")
+    content = arrow_map(mine, sets, "g long, k int, c long, f1 long, copies long, pairs array<struct<i:int,j:int>>, s binary").where("s is not null")
+    dealt = content.select("g", "k", "c", "f1", "copies", "s", F.explode("pairs").alias("p")).select("g", "p.i", "p.j", "k", "c", "f1", "copies", "s")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        pdf = pdf.drop_duplicates("c")
+        # a doc_id may stand for several sets
+        pdf = pdf.drop_duplicates("f1")
         sides = []
         for k in dict.fromkeys((i, j)):
             part = pdf[pdf["k"] == k]
-            found = sorted(zip(part["s"].map(len), part["c"].tolist(), part["s"], strict=True), key=lambda z: z[:2])
+            part = part.iloc[np.lexsort((part["f1"], part["s"].map(len)))]
             wide = []
-            for _, _, raw in found:
+            for raw in part["s"]:
                 w = np.zeros((len(raw) // _HASH_BYTES, 8), np.uint8)
                 w[:, :_HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _HASH_BYTES)
                 wide.append(w.view(">u8").reshape(-1).astype(np.uint64))
-            sides.append(([c for _, c, _ in found], wide))
-        hits = linked(*[s for _, s in sides])
+            sides.append((part[["c", "f1", "copies"]].to_numpy(np.int64), wide))
         left, right = sides[0][0], sides[-1][0]
-        return pd.DataFrame({"a": [left[p] for p, _ in hits], "b": [right[q] for _, q in hits]}, dtype="int64")
+        shift = 0 if len(sides) == 1 else len(left)
+        both = left if not shift else np.concatenate([left, right])
+        forest, tree, counts = Groups(len(both)), [], np.zeros(len(both), np.int64)
+        for x, y in _linked(*[w for _, w in sides]):
+            y = y + shift
+            np.add.at(counts, x, both[y, 2])
+            np.add.at(counts, y, both[x, 2])
+            tree += [(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if forest.join(p, q)]
+        some = np.flatnonzero(counts)
+        edges = both[np.array(tree, np.int64).reshape(-1, 2), 0]
+        return pd.concat([pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]}, dtype="Int64"), pd.DataFrame({"f1": both[some, 1], "n_links": counts[some]}, dtype="Int64")])[["a", "b", "f1", "n_links"]]
 
-    return dealt.groupBy("g", "i", "j").applyInPandas(f, "a long, b long")
+    return dealt.groupBy("g", "i", "j").applyInPandas(f, "a long, b long, f1 long, n_links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs: the smallest doc_id that links lead to, itself included.
+    """doc_id, n_shingles, component_id and n_links for every row of docs: the smallest doc_id that links lead to, itself included, and with how many other rows it is linked.
+
+    n_links counts rows, copies of the same set among them; it is 0 without words. Rows of sets that no row with a doc_id has are not compared: their n_links is null, and others do not count them.
 
     Nulls: a null text is empty; texts without words have an empty set and are linked with nothing. A null doc_id has no
     component (null) unless its set equals that of another row, and never stands for others. Rows with equal doc_id are one node.
@@ -357,21 +374,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketch = materialize(sketches(docs, word_counts(docs)), "op5-sketches")
     # the smallest doc_id of each set stands for it
-    classes = sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").cast("long").alias("c"))
+    classes = sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").cast("long").alias("c"), F.count("*").alias("copies"))
     classes = materialize(classes.where("c is not null"), "op5-classes")
     candidates = components(chains(sketch), name="op5-candidates")
-    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(classes, "f1").select("c", "n", "f1", "g")
-    links = _links(groups, docs)
+    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(classes, "f1").select("c", "n", "f1", "copies", "g")
+    found = materialize(_links(groups, docs), "op5-links")
+    links, counts = found.where("a is not null").select("a", "b"), found.where("f1 is not null").groupBy("f1").agg(F.sum("n_links").alias("others"))
     rows = sketch.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     # rows of one doc_id that differ in their sets are one node as well
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
     same = rows.join(several, "doc_id").select(F.col("c").alias("a"), F.col("a").alias("b")).where("a <> b")
     found = components(links.unionByName(same), name="op5-components")
-    out = rows.join(found, F.col("c") == F.col("node"), "left")
+    out = rows.join(found, F.col("c") == F.col("node"), "left").join(counts, "f1", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "c", F.col("doc_id").cast("long"))).otherwise(F.col("doc_id").cast("long"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    n_links = F.when(F.col("n") == 0, 0).when(F.col("c").isNotNull(), F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_links.alias("n_links"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_shingles, component_id."""
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
