@@ -108,22 +108,23 @@ def reliability_table(df: DataFrame, stats: Mapping[str, bool], window: int = 10
     return out.select("stat", "pearson", "spearman", "icc2", "yoy", "sem", "slope", "n", "tier").orderBy(F.desc_nulls_last("yoy"), "stat")
 
 
-def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targets: Sequence[int], player: str = "player_name", strict: bool = False) -> DataFrame:
-    """(stat, denom, target, player, a, b): a player's rows up to the one that reaches the target denominator, against the next ones that reach it again.
+def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targets: Sequence[int] | Mapping[tuple[str, str], Sequence[int]], player: str = "player_name", strict: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """(by, stat, denom, player, target, a, b): a player's rows up to the one that reaches the target denominator, against the next ones that reach it again.
 
     Buckets are told by row numbers, so rows of denominator 0 stay with the second. Measures (plan: False) are weighted by their denominator. strict: pairs with an empty
-    denominator are left out instead of dividing by 1.
+    denominator are left out instead of dividing by 1. targets: the same for all of the plan, or each one's own. by: columns whose values are studied apart.
     """
     have = [(s, d, r) for (s, d), r in plan.items() if s in df.columns and d in df.columns]
-    specs = [F.struct(F.lit(s).alias("stat"), F.lit(d).alias("denom"), (F.col(s) * (F.lit(1.0) if r else F.col(d))).cast("double").alias("num"), F.col(d).cast("double").alias("den")) for s, d, r in have]
+    goals = lambda s, d: F.array(*[F.lit(int(t)) for t in (targets[s, d] if isinstance(targets, Mapping) else targets)])
+    specs = [F.struct(F.lit(s).alias("stat"), F.lit(d).alias("denom"), (F.col(s) * (F.lit(1.0) if r else F.col(d))).cast("double").alias("num"), F.col(d).cast("double").alias("den"), goals(s, d).alias("goals")) for s, d, r in have]
     tie = F.col("game_pk") if "game_pk" in df.columns else F.lit(0)
-    rows = df.select(F.col(player).alias("player"), "game_date", tie.alias("tie"), F.explode(F.array(*specs)).alias("s")).select("player", "game_date", "tie", "s.*")
+    rows = df.select(*by, F.col(player).alias("player"), "game_date", tie.alias("tie"), F.explode(F.array(*specs)).alias("s")).select(*by, "player", "game_date", "tie", "s.*")
     rows = rows.where(F.col("num").isNotNull() & F.col("den").isNotNull() & ~F.isnan("num") & ~F.isnan("den"))
-    key = ["stat", "denom", "player"]
+    key = [*by, "stat", "denom", "player"]
     order = Window.partitionBy(*key).orderBy("game_date", "tie")
     rows = rows.withColumns({"rn": F.row_number().over(order), "cs": F.sum("den").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     rows = rows.withColumn("most", F.max("cs").over(Window.partitionBy(*key)))
-    tried = rows.select("*", F.explode(F.array(*[F.lit(int(t)) for t in targets])).alias("target")).where(F.col("most") >= 2 * F.col("target"))
+    tried = rows.select("*", F.explode("goals").alias("target")).drop("goals").where(F.col("most") >= 2 * F.col("target"))
     over = Window.partitionBy(*key, "target")
     reached = F.col("cs") >= F.col("target")
     tried = tried.withColumns({"i1": F.min(F.when(reached, F.col("rn"))).over(over), "cs1": F.min(F.when(reached, F.col("cs"))).over(over)})
@@ -167,6 +168,15 @@ def bootstrap(pairs: DataFrame, n_boot: int = 300, least: int = 20, seed: int =
     return r.agg(F.percentile("r", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"), F.count("r").alias("valid")).select(*by, "target", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("low"), F.get("q", F.lit(2)).alias("high"), "valid")
 
 
+def study(df: DataFrame, specs: Mapping[str, tuple[str, str, Sequence[int]]], player: str = "player_name", by: Sequence[str] = (), least: int = 50) -> DataFrame:
+    """(by, stat, denom, crossings of r, low and high): counts over denominators, each up to targets of its own, with intervals over resamples of players."""
+    targets = {(num, den): goals for num, den, goals in specs.values()}
+    plan, key = dict.fromkeys(targets, True), [*by, "stat", "denom"]
+    curve = denominator_pairs(df, plan, targets, player, by=by).groupBy(*key, "target").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("a", "b")).alias("r"))
+    interval = bootstrap(denominator_pairs(df, plan, targets, player, strict=True, by=by), by=key).select(*key, "target", "low", "high")
+    return crossings(curve.join(interval, [*key, "target"], "left"), key, least)
+
+
 def crossings(curve: DataFrame, by: Sequence[str] = ("stat", "denom"), least: int = 50) -> DataFrame:
     """curve(by, target, r, n and, if there, low, high): first targets at which each reaches .5 and .7, and whether the lower bound ever does with enough players."""
     have = [c for c in ("r", "low", "high") if c in curve.columns]

@@ -521,6 +521,34 @@ def first_crossing(spark, d):
     return reliability.crossings(curve, least=10)
 
 
+def _specs(specs):
+    return {name: (num, den, range(step, last + 1, step)) for name, (num, den, last, step) in specs.items()}
+
+
+def _study_df(spark, d):
+    """Games of every pitcher with all counts of the stabilisation study."""
+    p = pitches.pitch_level(adapter.pitches(spark, d))
+    balls = [F.count_if(F.col("type") == c).alias(n) for n, c in (("Balls", "B"), ("BIP", "X"))]
+    counts = [F.count("*").alias("Pitches"), *[F.count_if(c).alias(n) for n, c in (("PA", "is_pa"), ("K", "is_k"), ("BB", "is_bb"), ("HR", "is_hr"), ("FB", "is_fb"), ("GB", "is_gb"), ("Whiffs", "is_whiff"))]]
+    out = p.groupBy("game_pk", "pitcher").agg(F.min("game_date").alias("game_date"), *counts, *balls, *X.discipline_counts(), F.count_if("is_called_strike").alias("_cs"))
+    return out.withColumn("CSW", F.col("_cs") + F.col("Whiffs"))
+
+
+@query()
+def pitcher_crossings(spark, d):
+    return reliability.study(_study_df(spark, d), _specs(vocab.PITCHER_SPECS), "pitcher")
+
+
+@query()
+def batter_crossings(spark, d):
+    return reliability.study(games.batter_games(adapter.pitches(spark, d)), _specs(vocab.BATTER_SPECS), "batter")
+
+
+@query()
+def pitch_type_crossings(spark, d):
+    return reliability.study(games.pitch_type_games(adapter.pitches(spark, d), 0, check=False), _specs(vocab.PITCH_TYPE_SPECS), "pitcher", by=["pitch_type"])
+
+
 @query()
 def bootstrap_ci(spark, d):
     pairs = reliability.denominator_pairs(_half_df(spark, d), {("K", "PA"): True}, [10, 25, 50, 100], "pitcher", strict=True)

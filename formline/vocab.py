@@ -87,6 +87,12 @@ PITCHER_SPECS = {
     "chase": ("Chases", "OutZone", 2500, 50), "csw": ("CSW", "Pitches", 5000, 100), "bb": ("BB", "PA", 1000, 25), "gb": ("GB", "BIP", 1000, 25), "hr_fb": ("HR", "FB", 400, 10),
 }
 BATTER_SPECS = {"k_rate": ("K", "PA", 1000, 25), "whiff": ("Whiffs", "Swings", 2000, 50), "swstr": ("Whiffs", "Pitches", 4000, 100), "chase": ("Chases", "OutZone", 2000, 50)}
+# The same for every pitch type.
+PITCH_TYPE_SPECS = {
+    "whiff": ("Whiffs", "Swings", 1000, 25), "swstr": ("Whiffs", "Pitches", 2000, 50), "ball": ("Balls", "Pitches", 2000, 50), "csw": ("CSW", "Pitches", 2000, 50), "chase": ("Chases", "OutZone", 1000, 25),
+    "weak_contact": ("WeakContact", "xBA_den", 400, 10), "hard_hit": ("HardHit", "EV_den", 400, 10), "barrel": ("Barrels", "xBA_den", 400, 10), "gb": ("GB", "BIP", 400, 10),
+    "xBA": ("xBA_num", "xBA_den", 400, 10), "wOBA": ("wOBA_num", "wOBA_den", 400, 10), "xwOBA": ("xwOBA_num", "wOBA_den", 400, 10),
+}
 
 # What a model may see.
 METADATA = ("game_pk", "game_date", "season", "pitcher", "batter", "player_name", "pitcher_name", "batter_name", "home_team", "away_team", "opp_team", "p_throws", "stand", "bat_team", "opp_lineup_size")

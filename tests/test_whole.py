@@ -2,8 +2,12 @@
 
 import re
 import unicodedata
+from datetime import date, timedelta
 
-from formline.operators import modelling
+import numpy as np
+
+from formline import vocab
+from formline.operators import modelling, reliability
 from formline.plans import registry
 
 
@@ -29,3 +33,28 @@ def test_boosting_goes_on_after_small_gains(spark):
     out = modelling.boosted(df, ["a", "b", "c"], trees=24, rate=0.3, depth=1, patience=6)
     scores = {r["split"]: r for r in modelling.metrics(out, by=["split"]).collect()}
     assert scores["test"]["rmse"] < 0.004
+
+
+def test_study_goes_on_to_targets_of_its_own(spark):
+    """60 players of 200 games that a rate of their own tells apart at 400 only, next to one without enough of a denominator."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for player in range(60):
+        skill = rng.normal(0.3, 0.03)
+        rows += [("ff" if g % 2 else "si", player, date(2024, 1, 1) + timedelta(g), g, int(rng.binomial(10, skill)), 10, 2) for g in range(200)]
+    df = spark.createDataFrame(rows, "pitch_type string, pitcher int, game_date date, game_pk int, K int, PA int, FB int")
+    goals = (25, 100, 400, 1000)
+    out = {r["stat"] + "/" + r["denom"]: r for r in reliability.study(df, {"k": ("K", "PA", goals), "fb": ("K", "FB", (10, 200))}, "pitcher").collect()}
+    rate = {p: np.array([r[4] for r in rows if r[1] == p]) for p in range(60)}
+    r = {t: np.corrcoef([[x[: -(-t // 10)].sum(), x[-(-t // 10) : 2 * -(-t // 10)].sum()] for x in rate.values()], rowvar=False)[0, 1] for t in goals}
+    assert r[100] < 0.5 and out["K/PA"]["r_50"] == next(t for t in goals if r[t] >= 0.5) > 100
+    assert set(out) == {"K/PA", "K/FB"}
+    pairs = reliability.denominator_pairs(df, {("K", "PA"): True, ("K", "FB"): True}, {("K", "PA"): goals, ("K", "FB"): (10, 200)}, "pitcher", by=["pitch_type"])
+    assert {tuple(x) for x in pairs.select("pitch_type", "denom", "target").distinct().collect()} == {(t, d, g) for t in ("ff", "si") for d, g in (("PA", 25), ("PA", 100), ("PA", 400), ("FB", 10))}
+
+
+def test_registered_study_has_all_specs(spark):
+    """At sf0.01 every pitcher of the tables reaches targets above 100."""
+    out = reliability.denominator_pairs(registry._study_df(spark, "/root/testdata/sf0.01"), {("K", "PA"): True}, {("K", "PA"): range(25, 1001, 25)}, "pitcher")
+    assert out.agg({"target": "max"}).first()[0] > 100
+    assert len(registry._specs(vocab.PITCHER_SPECS)) == 9 and len(vocab.PITCH_TYPE_SPECS) == 12
