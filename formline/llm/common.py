@@ -105,7 +105,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema:
         for batch in it:
             for piece in chunks(batch):
                 if (out := f(piece)) is not None:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([x.cast(c.type) if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
 
     return df.mapInArrow(batches, spark_schema)
 

@@ -1,30 +1,37 @@
 """N-gram Jaccard join: links between texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Every text becomes a set of 64-bit shingle hashes. Texts with equal sets form a class; its smallest doc_id stands for it.
-2. Candidates by prefix: in one fixed order of all shingles, two sets of similarity t share one of the first
-   n - ceil(t n) + 1 of each. Any order is exact; this one puts shingles of rare words first, by counts of hashed words over the whole corpus in a
-   table of fixed size, so passages that many documents share come last and hardly ever make candidates. Classes with a
-   common prefix shingle are chained in order of size, a chain breaks where sizes alone rule a link out, and the chains'
-   connected components hold every link.
-3. In each such group, sorted by size and cut into blocks of bounded content, signature trees find the links: a leaf is a class,
-   a node holds the OR of its classes' token bitmaps, their largest and smallest size. Two trees (or one with itself) are
-   traversed together; a pair of nodes is pruned if the overlap that their bitmaps and sizes still allow is too small for any pair
-   below. Leaf pairs that are left are compared exactly, connected or not, so every link is found.
-4. Where it is found, a link counts for both classes by the rows of the other; a spanning forest of each pair of blocks gives the components. Every
+1. Every text becomes a set of 64-bit shingle hashes. Texts with equal sets form a class; its smallest doc_id stands for it. Of a set that
+   a task meets again, only the first row carries what the next steps read, so copies do not multiply it.
+2. Candidates by prefix: in one fixed order of all shingles, the first common shingle of two sets of similarity t is among the first
+   n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller. Any order is exact; this one puts shingles of
+   rare words first, by counts of hashed words over the whole corpus in a table of fixed size, so passages that many documents share come
+   last and hardly ever make candidates. Each class with a shingle is chained to the next smaller one that has it early, a chain
+   breaks where sizes alone rule a link out, and the chains' connected components hold every link.
+3. Chains also connect sets that merely share passages. Bitmaps of two to four bits a shingle, made with the sets, split each
+   component again: sets stay together only if a path of pairs leads from one to the other whose bitmaps and sizes allow a link.
+   No set travels for that.
+4. In each group that is left, signature trees find the links: a leaf is a class, a node holds the OR of its classes' token
+   bitmaps, at a resolution that grows with what lies below, and their largest and smallest size; leaves stand in order of their smallest
+   hashes, so like lies with like. Two trees (or one with itself) are traversed together; a pair of nodes is pruned if the overlap that
+   their bitmaps and sizes still allow is too small for any pair below. Leaf pairs that are left are compared exactly, connected or
+   not, so every link is found.
+5. Where it is found, a link counts for both classes by the rows of the other; a spanning forest of each unit of work gives the components. Every
    document gets the component and the number of links of its class.
 
-No pairs of classes travel but those of forests: a block's sets do, once for each block of its group whose sizes fit.
+A group whose content fits is a unit of work or part of one. A larger one is cut into bands of sizes and each band by hash into blocks; a unit is
+a pair of blocks of one band or of two neighbouring ones, as other sizes have no links. No pairs of classes travel but those of forests.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm.common import arrow_map, chunks, documents, materialize, texts, type_of
@@ -34,13 +41,21 @@ WORDS = 5
 PERCENT = 80
 #: Counters of hashed words, whatever the corpus; 4 bytes each.
 COUNTERS = 1 << 20
-#: Shingles of a block: it closes with the class that reaches them.
-BLOCK = 1 << 21
-BITMAP, FANOUT = 1024, 8
-#: Tree level whose node pairs are compared by one matrix product: FANOUT ** DENSE classes a side.
+#: Shingles of a block of sets, and of a block of bitmaps.
+BLOCK, BITMAP_BLOCK = 1 << 21, 1 << 25
+#: Bands of sizes: a link's sizes differ by a factor of 100 / PERCENT at most, less than this, so it lies in one band or two neighbours.
+BAND = 1.26
+FANOUT = 8
+#: Sets that a task remembers; when they are full it forgets them all, and results do not depend on it.
+MET = 1 << 20
+#: Rows without texts that are broadcast at most, of some 150 bytes each; beyond, texts meet them by a shuffled join.
+BROADCAST_ROWS = 200_000
+#: Tree level whose node pairs are compared together: FANOUT ** DENSE classes a side.
 DENSE = 2
-#: Bytes of a shingle hash that travel: the high ones.
-_HASH_BYTES = 6
+#: Surviving leaf pairs of two nodes up to which each is compared by itself.
+FEW = 24
+#: Columns of a matrix product, and bytes of the bitmaps that are compared at once.
+SLICE, AT_ONCE = 1 << 15, 16 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -105,78 +120,204 @@ def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
 
 def prefix_length(n: int) -> int:
+    """Shingles of a set among which the first common one with a set of its size or smaller must be."""
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
+def index_length(n: int) -> int:
+    """Shingles of a set among which the first common one with a set of its size or larger must be."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1 if n else 0
+
+
+def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits (a power of two, 64 at least) of a set, by the low bits of its hashes. Halves ORed give the bitmap of half as many bits."""
+    on = np.zeros(bits, np.uint8)
+    on[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little").view(np.uint64)
+
+
+def _bits(n: int) -> int:
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def _fold(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] | bitmaps[:, half:]
+    return bitmaps
+
+
 def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set) and prefix (array of shingle hashes, rarest first) of every row."""
+    """doc_id, n, f1, f2 (fingerprint of the set) of every row, and of those whose set is new to the task prefix (shingle hashes, rarest first) and bits (bitmap)."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # 4 * COUNTERS bytes
+    met: set[tuple[int, int]] = set()
 
     def f(batch: pa.RecordBatch) -> dict:
         table = sent.value
-        out: dict = {k: [] for k in ("n", "f1", "f2", "prefix")}
+        out: dict = {k: [] for k in ("n", "f1", "f2", "prefix", "bits")}
         for raw in texts(batch):
             w = _word_hashes(raw)
-            if not len(w):
-                n, f1, f2, prefix = 0, 0, 0, np.zeros(0, np.int64)
-            else:
+            n, f1, f2, prefix, bits = 0, 0, 0, None, None
+            if len(w):
                 all_h = _rolled(w)
-                seen = table[(w & np.uint64(len(table) - 1)).astype(np.int64)]
-                rarest = np.full(len(all_h), 2**32 - 1, np.uint32)
-                for k in range(min(WORDS, len(w))):
-                    rarest = np.minimum(rarest, seen[k : k + len(all_h)])
                 h, at = np.unique(all_h, return_index=True)
-                n = len(h)
-                f1, f2 = fingerprint(h, 1), fingerprint(h, 2)
-                # rarity by powers of two, then the hash: equal shingles have equal words and so equal places in the order
-                level = np.log2(rarest[at].astype(np.float64) + 1).astype(np.int64)
-                prefix = h[np.lexsort((h, level))[: prefix_length(n)]].view(np.int64)
-            for k, x in zip(out, (n, f1, f2, prefix), strict=True):
+                n, f1, f2 = len(h), fingerprint(h, 1), fingerprint(h, 2)
+                if (f1, f2) not in met:
+                    if len(met) >= MET:
+                        met.clear()
+                    met.add((f1, f2))
+                    seen = table[(w & np.uint64(len(table) - 1)).astype(np.int64)]
+                    rarest = np.full(len(all_h), 2**32 - 1, np.uint32)
+                    for k in range(min(WORDS, len(w))):
+                        rarest = np.minimum(rarest, seen[k : k + len(all_h)])
+                    # rarity by quarters of powers of two, then the hash: equal shingles have equal words and so equal places in the order
+                    level = (4 * np.log2(rarest[at].astype(np.float64) + 1)).astype(np.int64)
+                    prefix = h[np.lexsort((h, level))[: prefix_length(n)]].view(np.int64)
+                    bits = bitmap(h, _bits(n)).tobytes()
+            for k, x in zip(out, (n, f1, f2, prefix, bits), strict=True):
                 out[k].append(x)
         return {"doc_id": batch.column("doc_id")} | out
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, n long, f1 long, f2 long, prefix array<long>")
+    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, n long, f1 long, f2 long, prefix array<long>, bits binary")
 
 
 def chains(sketch: DataFrame) -> DataFrame:
-    """(a, b): fingerprints f1 of sets that are neighbours in size among those with a common prefix shingle, if their sizes allow a link.
+    """(a, b): fingerprints f1 of sets with a common prefix shingle: each and the next smaller one that has it in its index part, if their sizes allow a link.
 
-    Rows come sorted and are read as a stream, so a shingle of any number of sets takes the memory of one row; copies of a set are
-    neighbours and fall away.
+    Rows come sorted and are read as a stream, so a shingle of any number of sets takes the memory of one row.
     """
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in it:
-            t, n, c = (batch.column(x).to_numpy() for x in ("t", "n", "f1"))
-            if last is not None:
-                t, n, c = (np.concatenate([[x], y]) for x, y in zip(last, (t, n, c), strict=True))
+            t, k, c = (batch.column(x).to_numpy() for x in ("t", "k", "f1"))
             if not len(t):
                 continue
-            last = (t[-1], n[-1], c[-1])
-            link = (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-            pairs = np.unique(np.stack([c[:-1][link], c[1:][link]], axis=1), axis=0)
+            if last is not None:
+                t, k, c = (np.concatenate([[x], y]) for x, y in zip(last, (t, k, c), strict=True))
+            n, here = k >> 1, np.arange(len(t))
+            upto = np.maximum.accumulate(np.where(k & 1, -1, here))  # the latest row in its index part
+            before = np.append(-1, upto[:-1])
+            y = np.flatnonzero(before >= 0)
+            x = before[y]
+            fits = (t[x] == t[y]) & (c[x] != c[y]) & (100 * n[x] >= PERCENT * n[y])
+            last = None if upto[-1] < 0 else (t[upto[-1]], k[upto[-1]], c[upto[-1]])
+            pairs = np.unique(np.stack([c[x[fits]], c[y[fits]]], axis=1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    rows = sketch.select(F.explode("prefix").alias("t"), F.col("n").cast("int").alias("n"), "f1")
-    return rows.repartition("t").sortWithinPartitions("t", "n", "f1").mapInArrow(f, "a long, b long").distinct()
+    late = F.col("pos") > F.expr(f"n - (2 * {PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
+    rows = sketch.select(F.posexplode("prefix").alias("pos", "t"), "n", "f1").select("t", (2 * F.col("n") + late.cast("int")).cast("int").alias("k"), "f1")
+    return rows.repartition("t").sortWithinPartitions("t", "k", "f1").mapInArrow(f, "a long, b long").distinct()
+
+
+def units(members: DataFrame, most: int) -> DataFrame:
+    """members(g, n, f1, f2, ...) with units, the units of work that each belongs to: structs of u (array of numbers) and side (0 or 1).
+
+    u is [hash of g] for groups of up to most shingles, and [g, band, block, band, block] for pairs of blocks of larger ones, whose smaller
+    block is side 0. A row adds 50 to its shingles, for what it costs by itself.
+    """
+    weighed = members.withColumns({"w": F.col("n") + 50, "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")})
+    totals = weighed.groupBy("g").agg(F.sum("w").alias("total"))
+    content = totals.agg(F.sum(F.when(F.col("total") <= most, F.col("total")))).first()[0] or 0
+    parts = weighed.groupBy("g", "band").agg(F.sum("w").alias("w"))
+    parts = parts.groupBy("g").agg(F.sum("w").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / most).alias("k")))).alias("parts"))  # a few dozen bands
+    rows = weighed.join(parts, "g")
+    own = F.pmod(F.xxhash64("f1", "f2"), F.try_element_at("parts", F.col("band")))
+
+    def pairs(step: int) -> Column:
+        blocks = F.coalesce(F.try_element_at("parts", F.col("band") + step), F.lit(0))
+        here = F.array("g", "band", own)
+
+        def unit(j: Column) -> Column:
+            there = F.array("g", F.col("band") + step, j)
+            first = F.lit(step > 0) if step else own <= j
+            u = F.when(first, F.concat(here, F.slice(there, 2, 2))).otherwise(F.concat(there, F.slice(here, 2, 2)))
+            return F.struct(u.alias("u"), F.when(first, 0).otherwise(1).alias("side"))
+
+        return F.transform(F.when(blocks > 0, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array().cast("array<long>")), unit)
+
+    small = F.array(F.struct(F.array(F.pmod(F.xxhash64("g"), F.lit(max(1, content // most)))).alias("u"), F.lit(0).alias("side")))
+    found = F.when(F.col("total") <= most, small).otherwise(F.concat(pairs(-1), pairs(0), pairs(1)))
+    return rows.select(*members.columns, found.alias("units"))
+
+
+def together(bitmaps: list[bytes], sizes: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """A label for each set: sets that a path of pairs connects whose bitmaps and sizes allow a link share one. With sides, only pairs across count.
+
+    Sets are walked in order of size against those up to a link's factor larger; pairs that share a label already are not looked at.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, length = sizes[order], np.array([len(bitmaps[i]) // 8 for i in order])
+    label, ends = np.arange(len(order)), np.searchsorted(PERCENT * sizes, 100 * sizes, side="right")
+    side = None if side is None else side[order]
+    # bitmaps of one length lie together, as lengths follow sizes
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(length)) + 1, [len(order)]])
+    blocks = [np.frombuffer(b"".join(bitmaps[i] for i in order[lo:hi]), np.uint64).reshape(hi - lo, -1) for lo, hi in zip(begins[:-1], begins[1:], strict=True)]
+    extra = np.concatenate([sizes[lo:hi] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x, lo, hi in zip(blocks, begins[:-1], begins[1:], strict=True)])
+    for k, mine in enumerate(blocks):
+        # the next length is twice this one, or no link leads there
+        near = [(begins[k], mine, extra[begins[k] : begins[k + 1]])]
+        if k + 1 < len(blocks) and blocks[k + 1].shape[1] == 2 * mine.shape[1]:
+            half = _fold(blocks[k + 1], mine.shape[1])
+            near.append((begins[k + 1], half, sizes[begins[k + 1] : begins[k + 2]] - np.bitwise_count(half).sum(axis=1, dtype=np.int64)))
+        for i in range(begins[k], begins[k + 1]):
+            merged = [label[i]]
+            for first, theirs, more in near:
+                lo, hi = max(i + 1, first), min(ends[i], first + len(theirs))
+                at = lo + np.flatnonzero(label[lo:hi] != label[i])
+                if side is not None:
+                    at = at[side[at] != side[i]]
+                for part in np.array_split(at, 1 + at.size * mine.shape[1] * 8 // AT_ONCE):
+                    common = np.bitwise_count(theirs[part - first] & mine[i - begins[k]]).sum(axis=1, dtype=np.int64)
+                    overlap = np.minimum(common + np.minimum(more[part - first], extra[i]), sizes[i])
+                    merged += label[part[(100 + PERCENT) * overlap >= PERCENT * (sizes[i] + sizes[part])]].tolist()
+            if len(merged) > 1 and len(found := set(merged)) > 1:
+                label[np.isin(label, list(found)) if len(found) > 2 else (label == max(found))] = min(found)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[label]
+    return out
+
+
+def refined(groups: DataFrame) -> DataFrame:
+    """(f1, g): groups(g, n, f1, f2, bits) split by their bitmaps; sets that stay alone are left out."""
+    dealt = units(groups, BITMAP_BLOCK).select("g", "n", "f1", "bits", F.explode("units").alias("_u")).select("g", "n", "f1", "bits", "_u.u", "_u.side")
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        large = len(pdf["u"].iat[0]) > 1
+        own, found = large and pdf["u"].iat[0][1:3].tolist() == pdf["u"].iat[0][3:5].tolist(), []
+        for _, part in pdf.groupby("g", sort=False):
+            names, sides = part["f1"].to_numpy(), part["side"].to_numpy() if large and not own else None
+            label = together(part["bits"].tolist(), part["n"].to_numpy(np.int64), sides)
+            some = np.bincount(label, minlength=len(label))[label] > 1
+            found.append(pd.DataFrame({"f1": names[some], "g": names[label[some]], "large": large}))
+        return pd.concat(found)
+
+    edges = materialize(dealt.groupBy("u").applyInPandas(f, "f1 long, g long, large boolean"), "op5-refined")
+    small = edges.where("not large").select("f1", "g")
+    if edges.where("large").isEmpty():
+        return small
+    return small.unionByName(components(edges.where("large"), "f1", "g", "op5-refined").select(F.col("node").alias("f1"), F.col("component").alias("g")))
 
 
 class Tree:
-    """A signature tree over sets in order of size: levels of (bitmaps, least size, most size), leaves first."""
+    """A signature tree over sets in a given order: levels of (bitmaps, least size, most size, extra), leaves first.
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BITMAP // 64), np.uint64)
-        for i, s in enumerate(sets):
-            on = (s >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)
-            np.bitwise_or.at(bits[i], on >> 6, np.uint64(1) << (on & 63).astype(np.uint64))
-        # how many tokens each leaf has beyond one a bit: what two leaves may share beyond their common bits
-        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64))]
-        while len(self.levels[-1][1]) > 1:
-            bits, low, high, extra = self.levels[-1]
+    Leaves have bitmaps of the given number of bits; a level above has 16 to 32 bits for each distinct token of its largest node, so nodes of FANOUT
+    unlike sets have fewer bits in common by chance than a link needs.
+    """
+
+    def __init__(self, sets: list[np.ndarray], least: int):
+        low = high = np.array([len(s) for s in sets], np.int64)
+        bits = np.stack([bitmap(s, least) for s in sets])
+        # how many tokens each leaf has beyond one a bit: what two leaves may share beyond their common bits; finer bitmaps leave no more
+        extra = low - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.levels = [(bits, low, high, extra)]
+        while len(low) > 1:
             at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
+            sets = [np.unique(np.concatenate(sets[i : i + FANOUT])) for i in at]
+            low, high, extra = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)
+            most = max(least, 8 * _bits(max(map(len, sets))))
+            self.levels.append((np.stack([bitmap(s, most) for s in sets]), low, high, extra))
 
 
 class Groups:
@@ -199,167 +340,190 @@ class Groups:
 
 def _possible(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether some pair of sets below nodes i of a and j of b may reach the similarity."""
-    bits_a, low_a, high_a, extra_a = (x[i] for x in a.levels[level])
-    bits_b, low_b, high_b, extra_b = (x[j] for x in b.levels[level])
-    common = np.bitwise_count(bits_a & bits_b).sum(axis=1).astype(np.int64)
+    (bits_a, *rest_a), (bits_b, *rest_b) = a.levels[level], b.levels[level]
+    low_a, high_a, extra_a = (x[i] for x in rest_a)
+    low_b, high_b, extra_b = (x[j] for x in rest_b)
+    words = min(bits_a.shape[1], bits_b.shape[1])
+    bits_a, bits_b = _fold(bits_a, words), _fold(bits_b, words)
+    parts = 1 + len(i) * words * 8 // AT_ONCE
+    pairs = zip(np.array_split(i, parts), np.array_split(j, parts), strict=True)
+    common = np.concatenate([np.bitwise_count(bits_a[x] & bits_b[y]).sum(axis=1, dtype=np.int64) for x, y in pairs])
     overlap = np.minimum(common + np.minimum(extra_a, extra_b), np.minimum(high_a, high_b))
     # at similarity t, overlap >= t / (1 + t) * (size + size), and sizes differ by t at most
     enough = (100 + PERCENT) * overlap >= PERCENT * (low_a + low_b)
     return enough & (100 * high_a >= PERCENT * low_b) & (100 * high_b >= PERCENT * low_a)
 
 
-class _Dense:
-    """Exact overlaps of all pairs of two nodes' sets at once, by a product of 0/1 matrices over the shingles of one node."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.universe, back = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        sizes = np.array([len(s) for s in sets], np.int64)
-        ends = np.cumsum(sizes)
-        self.ids = [back[e - n : e].astype(np.int32) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two ascending sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
-    def renumber(self, universe: np.ndarray) -> None:
-        """ids as places in another universe; what it lacks is left out."""
-        at = np.minimum(np.searchsorted(universe, self.universe), max(len(universe) - 1, 0))
-        place = np.where(universe[at] == self.universe, at, -1).astype(np.int32) if len(universe) else np.full(len(self.universe), -1, np.int32)
-        self.ids = [p[p >= 0] for p in (place[i] for i in self.ids)]
 
+class _Node:
+    """The sets of a node as rows over its distinct tokens."""
 
-def _rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
+    def __init__(self, sets: list[np.ndarray]):
+        self.row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.tokens, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.n = len(sets)
+
+    def overlaps(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections of the node's sets with others, by products of 0/1 matrices over SLICE common tokens at a time."""
+        row, other = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(self.tokens, other), len(self.tokens) - 1)
+        hit = self.tokens[at] == other
+        used, column = np.unique(at[hit], return_inverse=True)
+        row = row[hit]
+        mine = np.full(len(self.tokens), -1, np.int64)
+        mine[used] = np.arange(len(used))
+        mine = mine[self.at]
+        total = np.zeros((self.n, len(sets)), np.float32)
+        for lo in range(0, len(used), SLICE):
+            width = min(SLICE, len(used) - lo)
+            a, b = np.zeros((self.n, width), np.float32), np.zeros((len(sets), width), np.float32)
+            x, y = (mine >= lo) & (mine < lo + width), (column >= lo) & (column < lo + width)
+            a[self.row[x], mine[x] - lo] = 1
+            b[row[y], column[y] - lo] = 1
+            total += a @ b.T
+        return np.rint(total).astype(np.int64)
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """All links: pairs (i, j) of sets_a and sets_b (of sets_a alone if there is no sets_b, i < j).
-
-    Both lists have to be in order of size. Levels are walked from the top, both trees in step, down to pairs of small nodes; their leaf
-    pairs that bitmaps and sizes do not rule out are compared exactly.
-    """
+    """All links: pairs (i, j) of sets_a and sets_b (of sets_a alone if there is no sets_b, i < j)."""
     return [pair for some in _linked(sets_a, sets_b) for pair in zip(*(x.tolist() for x in some), strict=True)]
 
 
 def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """linked(), as arrays of a pair of nodes each: a family's links never stand in memory at once."""
+    """linked(), as arrays of a pair of nodes each, so that a family's links never stand in memory at once. A tree holds the sets of one band of sizes."""
+
+    def bands(sets: list[np.ndarray]) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for i, s in enumerate(sets):
+            if len(s):
+                out.setdefault(int(math.log(len(s)) / math.log(BAND)), []).append(i)
+        # like with like: the smallest hashes of similar sets are mostly the same
+        return {band: sorted(at, key=lambda i: sets[i][:4].tolist()) for band, at in out.items()}
+
+    left = bands(sets_a)
+    right = left if sets_b is None else bands(sets_b)
+    for band, at in sorted(left.items()):
+        for other in (band, band + 1) if sets_b is None else (band - 1, band, band + 1):
+            if (there := right.get(other)) is not None:
+                own = sets_b is None and other == band
+                for x, y in _traverse([sets_a[i] for i in at], None if own else [(sets_a if sets_b is None else sets_b)[j] for j in there]):
+                    x, y = np.array(at)[x], np.array(there)[y]
+                    yield (x, y) if sets_b is not None else (np.minimum(x, y), np.maximum(x, y))
+
+
+def _traverse(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, pruned: dict[int, list[int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of the sets of two bands (or of one) as arrays: levels are walked from the top, both trees in step, down to pairs of small nodes; their leaf
+    pairs that bitmaps and sizes do not rule out are compared exactly. pruned takes numbers of node pairs by level: met and ruled out."""
     own = sets_b is None
     right = sets_a if own else sets_b
     if not sets_a or not right:
         return
-    a = Tree(sets_a)
-    b = a if own else Tree(sets_b)
+    bits = 2 * min(_bits(max(map(len, sets_a))), _bits(max(map(len, right))))
+    a = Tree(sets_a, bits)
+    b = a if own else Tree(right, bits)
     depth = max(len(a.levels), len(b.levels), DENSE + 1)
     for t in {id(a): a, id(b): b}.values():
-        while len(t.levels) < depth:
-            t.levels.append(t.levels[-1] if len(t.levels[-1][1]) == 1 else t.levels[-1])
-    left_ids = _Dense(sets_a)
-    right_ids = left_ids if own else _Dense(right)
-    if not own:
-        right_ids.renumber(left_ids.universe)
+        t.levels += [t.levels[-1]] * (depth - len(t.levels))
     size_a, size_b = (np.array([len(x) for x in s], np.int64) for s in (sets_a, right))
-    column = np.full(len(left_ids.universe), -1, np.int32)
-    step = FANOUT**DENSE
-    held: dict = {}
-
-    def compare(i: int, j: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The links of all pairs below node i of a and node j of b at level DENSE."""
-        rows, cols = np.arange(i * step, min(len(sets_a), (i + 1) * step)), np.arange(j * step, min(len(right), (j + 1) * step))
-        x, y = (z.reshape(-1) for z in np.meshgrid(np.arange(len(rows)), np.arange(len(cols)), indexing="ij"))
-        if own and i == j:
-            x, y = x[x < y], y[x < y]
-        ok = _possible(a, b, 0, rows[x], cols[y])
-        x, y = x[ok], y[ok]
-        if not len(x):
-            return None
-        if held.get("node") != i:
-            if "ids" in held:
-                column[held["ids"]] = -1
-            r, ids = _rows([left_ids.ids[k] for k in rows])
-            used, at = np.unique(ids, return_inverse=True)
-            m = np.zeros((len(rows), len(used)), np.float32)
-            m[r, at] = 1
-            column[used] = np.arange(len(used))
-            held.update(node=i, ids=used, matrix=m)
-        wanted, back = np.unique(y, return_inverse=True)
-        r, ids = _rows([right_ids.ids[k] for k in cols[wanted]])
-        at = column[ids]
-        m = np.zeros((len(wanted), len(held["ids"])), np.float32)
-        m[r[at >= 0], at[at >= 0]] = 1
-        both = np.rint(held["matrix"] @ m.T).astype(np.int64)[x, back]
-        hit = 100 * both >= PERCENT * (size_a[rows[x]] + size_b[cols[y]] - both)
-        return rows[x[hit]], cols[y[hit]]
-
-    def below(tree: Tree, level: int, node: int) -> np.ndarray:
-        if len(tree.levels[level - 1][1]) == len(tree.levels[level][1]):
-            return np.arange(node, node + 1)
-        return np.arange(node * FANOUT, min(len(tree.levels[level - 1][1]), (node + 1) * FANOUT))
-
-    stack = [(depth - 1, 0, 0)]
+    held: tuple[int, _Node] | None = None
+
+    def children(tree: Tree, level: int, node: np.ndarray) -> np.ndarray:
+        """The nodes below each node of a level, -1 where there are fewer than FANOUT."""
+        below = len(tree.levels[level - 1][1])
+        if below == len(tree.levels[level][1]):
+            return node[:, None]
+        out = node[:, None] * FANOUT + np.arange(FANOUT)
+        return np.where(out < below, out, -1)
+
+    def step(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the level below that lie under pairs (i, j) and may hold links."""
+        x, y = children(a, level, i), children(b, level, j)
+        x, y = (z.reshape(-1) for z in np.broadcast_arrays(x[:, :, None], y[:, None, :]))
+        met = (x >= 0) & (y >= 0)
+        if own:
+            met &= (x <= y) if level > 1 else (x < y)
+        x, y = x[met], y[met]
+        ok = _possible(a, b, level - 1, x, y) if len(x) else np.zeros(0, bool)
+        if pruned is not None:
+            count = pruned.setdefault(level - 1, [0, 0])
+            count[0] += len(ok)
+            count[1] += len(ok) - int(ok.sum())
+        return x[ok], y[ok]
+
+    stack = [(depth - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        if level == DENSE:
-            if (found := compare(i, j)) is not None:
-                yield found
+        if level > DENSE:
+            x, y = step(level, i, j)
+            # by nodes of the left tree, so that its rows are set up once
+            stack += [(level - 1, x[lo : lo + 64], y[lo : lo + 64]) for lo in range(0, len(x), 64)][::-1]
             continue
-        x, y = (z.reshape(-1) for z in np.meshgrid(below(a, level, i), below(b, level, j), indexing="ij"))
-        if own:
-            x, y = x[x <= y], y[x <= y]
-        ok = _possible(a, b, level - 1, x, y)
-        stack += [(level - 1, p, q) for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True)][::-1]
+        for node, other in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = np.array([node]), np.array([other])
+            for below in range(DENSE, 0, -1):
+                x, y = step(below, x, y)
+            if not len(x):
+                continue
+            if len(x) <= FEW:
+                both = np.array([_overlap(sets_a[p], right[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)])
+            else:
+                if held is None or held[0] != node:
+                    held = node, _Node(sets_a[node * FANOUT**DENSE : (node + 1) * FANOUT**DENSE])
+                wanted, back = np.unique(y, return_inverse=True)
+                both = held[1].overlaps([right[q] for q in wanted])[x - node * FANOUT**DENSE, back]
+            hit = 100 * both >= PERCENT * (size_a[x] + size_b[y] - both)
+            if hit.any():
+                yield x[hit], y[hit]
 
 
-def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between classes, from groups(c, n, f1, copies, g): components of candidates, by blocks of each.
+def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between classes, from members(g, n, f1, f2, c, copies).
 
-    Rows of two kinds: (a, b, null, null), links of classes c that connect all that is linked, and (null, null, f1, n_links), how many rows
-    a class f1 is linked with in a pair of blocks. Every pair of classes belongs to one pair of blocks.
+    Rows of two kinds: (a, b, null, null, null), links of classes c that connect all that is linked, and (null, null, f1, f2, n_links), how many rows
+    a class is linked with in a unit. Every pair of classes of a group belongs to one unit, if its sizes allow a link.
     """
-    order = Window.partitionBy("g").orderBy("n", "c", "f1")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    members = materialize(groups.select("*", (F.coalesce(upto, F.lit(0)) / BLOCK).cast("int").alias("k")), "op5-blocks")
-    blocks = members.groupBy("g", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.k") <= F.col("y.k")) & (100 * F.col("x.high") >= PERCENT * F.col("y.low")))
-    pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.k").alias("i"), F.col("y.k").alias("j"))
-    roles = pairs.select("g", F.struct("i", "j").alias("pair"), F.explode(F.array_distinct(F.array("i", "j"))).alias("k")).groupBy("g", "k").agg(F.collect_list("pair").alias("pairs"))
-    members = members.join(roles, ["g", "k"]).select(F.col("c").cast(type_of(docs, "doc_id")).alias("doc_id"), "g", "k", "c", "f1", "copies", "pairs")
-    mine = docs.select("doc_id", "text").join(members, "doc_id")
+    dealt = materialize(units(members, BLOCK).select(F.col("c").cast(type_of(docs, "doc_id")).alias("doc_id"), "g", "f1", "f2", "c", "copies", "units"), "op5-units")
+    few = dealt.count() <= BROADCAST_ROWS
+    mine = docs.select("doc_id", "text").join(F.broadcast(dealt) if few else dealt, "doc_id")
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [shingles(t) for t in texts(batch)]
         # a doc_id may have rows of other sets
-        right = [fingerprint(h, 1) == f for h, f in zip(found, batch.column("f1").to_pylist(), strict=True)]
-        content = [h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() if r else None for h, r in zip(found, right, strict=True)]
-        return {k: batch.column(k) for k in ("g", "k", "c", "f1", "copies", "pairs")} | {"s": content}
+        right = [(fingerprint(h, 1), fingerprint(h, 2)) == f for h, f in zip(found, zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True), strict=True)]
+        return {k: batch.column(k) for k in ("g", "f1", "f2", "c", "copies", "units")} | {"s": [h.tobytes() if r else None for h, r in zip(found, right, strict=True)]}
 
-    content = arrow_map(mine, sets, "g long, k int, c long, f1 long, copies long, pairs array<struct<i:int,j:int>>, s binary").where("s is not null")
-    dealt = content.select("g", "k", "c", "f1", "copies", "s", F.explode("pairs").alias("p")).select("g", "p.i", "p.j", "k", "c", "f1", "copies", "s")
+    content = arrow_map(mine, sets, "g long, f1 long, f2 long, c long, copies long, units array<struct<u:array<long>,side:int>>, s binary").where("s is not null")
+    content = content.select("g", "f1", "f2", "c", "copies", "s", F.explode("units").alias("_u")).select("g", "f1", "f2", "c", "copies", "s", "_u.u", "_u.side")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        # a doc_id may stand for several sets
-        pdf = pdf.drop_duplicates("f1")
-        sides = []
-        for k in dict.fromkeys((i, j)):
-            part = pdf[pdf["k"] == k]
-            part = part.iloc[np.lexsort((part["f1"], part["s"].map(len)))]
-            wide = []
-            for raw in part["s"]:
-                w = np.zeros((len(raw) // _HASH_BYTES, 8), np.uint8)
-                w[:, :_HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _HASH_BYTES)
-                wide.append(w.view(">u8").reshape(-1).astype(np.uint64))
-            sides.append((part[["c", "f1", "copies"]].to_numpy(np.int64), wide))
-        left, right = sides[0][0], sides[-1][0]
-        shift = 0 if len(sides) == 1 else len(left)
-        both = left if not shift else np.concatenate([left, right])
-        forest, tree, counts = Groups(len(both)), [], np.zeros(len(both), np.int64)
-        for x, y in _linked(*[w for _, w in sides]):
-            y = y + shift
-            np.add.at(counts, x, both[y, 2])
-            np.add.at(counts, y, both[x, 2])
-            tree += [(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if forest.join(p, q)]
-        some = np.flatnonzero(counts)
-        edges = both[np.array(tree, np.int64).reshape(-1, 2), 0]
-        return pd.concat([pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]}, dtype="Int64"), pd.DataFrame({"f1": both[some, 1], "n_links": counts[some]}, dtype="Int64")])[["a", "b", "f1", "n_links"]]
-
-    return dealt.groupBy("g", "i", "j").applyInPandas(f, "a long, b long, f1 long, n_links long")
+        u = pdf["u"].iat[0]
+        own = len(u) == 1 or u[1:3].tolist() == u[3:5].tolist()
+        pdf = pdf.drop_duplicates(["f1", "f2"])  # a doc_id may stand for several sets
+        edges, counted = [], []
+        for _, part in pdf.groupby("g", sort=False):
+            part = part.sort_values("side", kind="stable")
+            sets = [np.frombuffer(x, np.uint64) for x in part["s"]]
+            rows, shift = part[["c", "f1", "f2", "copies"]].to_numpy(np.int64), 0 if own else int((part["side"] == 0).sum())
+            forest, tree, counts = Groups(len(rows)), [], np.zeros(len(rows), np.int64)
+            for x, y in _linked(sets) if own else _linked(sets[:shift], sets[shift:]):
+                y = y + shift
+                np.add.at(counts, x, rows[y, 3])
+                np.add.at(counts, y, rows[x, 3])
+                tree += [(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if forest.join(p, q)]
+            some = np.flatnonzero(counts)
+            edges.append(rows[np.array(tree, np.int64).reshape(-1, 2), 0])
+            counted.append(np.column_stack([rows[some, 1:3], counts[some]]))
+        edges, counted = np.concatenate(edges), np.concatenate(counted)
+        names = ["a", "b", "f1", "f2", "n_links"]
+        return pd.concat([pd.DataFrame(edges, columns=names[:2], dtype="Int64"), pd.DataFrame(counted, columns=names[2:], dtype="Int64")])[names]
+
+    return content.groupBy("u").applyInPandas(f, "a long, b long, f1 long, f2 long, n_links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -374,18 +538,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketch = materialize(sketches(docs, word_counts(docs)), "op5-sketches")
     # the smallest doc_id of each set stands for it
-    classes = sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").cast("long").alias("c"), F.count("*").alias("copies"))
+    key = ["f1", "f2", "n"]
+    classes = sketch.where("n > 0").groupBy(*key).agg(F.min("doc_id").cast("long").alias("c"), F.count("*").alias("copies"), F.max("bits").alias("bits"))
     classes = materialize(classes.where("c is not null"), "op5-classes")
     candidates = components(chains(sketch), name="op5-candidates")
-    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(classes, "f1").select("c", "n", "f1", "copies", "g")
-    found = materialize(_links(groups, docs), "op5-links")
-    links, counts = found.where("a is not null").select("a", "b"), found.where("f1 is not null").groupBy("f1").agg(F.sum("n_links").alias("others"))
-    rows = sketch.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
+    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(classes, "f1").select("g", *key, "bits")
+    members = materialize(refined(groups).join(classes, "f1").select("g", *key, "c", "copies"), "op5-members")
+    found = materialize(_links(members, docs), "op5-links")
+    links, counts = found.where("a is not null").select("a", "b"), found.where("f1 is not null").groupBy("f1", "f2").agg(F.sum("n_links").alias("others"))
+    rows = sketch.select("doc_id", *key).join(classes.drop("bits"), key, "left")
     # rows of one doc_id that differ in their sets are one node as well
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
     same = rows.join(several, "doc_id").select(F.col("c").alias("a"), F.col("a").alias("b")).where("a <> b")
     found = components(links.unionByName(same), name="op5-components")
-    out = rows.join(found, F.col("c") == F.col("node"), "left").join(counts, "f1", "left")
+    out = rows.join(found, F.col("c") == F.col("node"), "left").join(counts, ["f1", "f2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "c", F.col("doc_id").cast("long"))).otherwise(F.col("doc_id").cast("long"))
     n_links = F.when(F.col("n") == 0, 0).when(F.col("c").isNotNull(), F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_links.alias("n_links"))

@@ -119,6 +119,7 @@ def near_texts(n, seed, words=60):
 def test_near_duplicates(spark, monkeypatch, block, dense):
     """Small blocks make groups of many; links across blocks must not be lost."""
     monkeypatch.setattr(op5, "BLOCK", block)
+    monkeypatch.setattr(op5, "BITMAP_BLOCK", block)
     monkeypatch.setattr(op5, "DENSE", dense)
     rows = near_texts(120, 3) + [(1000, "a b"), (1001, "A b"), (1002, "a b c"), (1003, ""), (1004, None)]
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in op5.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
