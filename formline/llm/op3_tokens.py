@@ -4,15 +4,14 @@ Every id is replaced by its rank by corpus frequency, so frequent ids take one b
 byte lengths (1 to 4) of four values, two bits each; data bytes follow in a column of their own. Decoding looks the control bytes
 up in a table of 256 rows and gathers the data bytes with numpy. A file is a Parquet part of blocks: documents in ascending
 doc_id order, of about BLOCK ids together, with the block's place within its shard; a codebook beside them maps ranks to ids.
-Texts are tokenised twice, for the counts and for the files, and are shuffled once, by ranges of doc_id.
+Texts are tokenised once, where they lie, into vocabulary numbers; those are counted, and then shuffled, by ranges of doc_id, in the texts' stead.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +25,16 @@ from formline.llm.common import arrow_map, chunks, documents, materialize, texts
 
 BLOCK = 1 << 18
 END_ID = 2
-#: Words and parts of words whose ids a worker remembers. When they are full it forgets them all; results do not depend on it.
-REMEMBERED = 400_000
-#: Words of these characters (ASCII and Latin-1 letters) alone fall into the tokenizer's own parts by the pattern below once they are in lower case; all
-#: other words, and those that may hold a special token, go to it whole.
+#: Words whose ids a worker remembers in each of two generations: when the young one is full it becomes the old one, and words met again
+#: move back. Results do not depend on it.
+REMEMBERED = 500_000
+#: New words that the library encodes as one text.
+TOGETHER = 500
+#: Bytes of texts whose words are looked up together.
+LOOKED_UP = 1 << 18
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Stands between words of such a text; it is one id, which no word without this character has.
+_MARK = "\x01"
 
 _state: dict = {}
 
@@ -44,71 +46,100 @@ def tokenizer_file() -> str:
 
 
 class WordTokenizer:
-    """The ids of a text, word by word. For tokenizers that split on white space and then as _PARTS says, as word_bpe_49k does; a look at the file's own rules confirms it."""
+    """The ids of a text, word by word. For tokenizers that split on white space before anything else, as word_bpe_49k does; a look at the file's own rules confirms it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
+        self.size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        #: How ids are held: two bytes each where they fit.
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.end = np.array([end_id], self.kind).tobytes()
         rules = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in rules["normalizer"]["normalizers"]]
-        if kinds != ["NFC", "Replace", "Lowercase"] or rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _RULE:
+        mark = self._encode([_MARK])[0]
+        if kinds != ["NFC", "Replace", "Lowercase"] or rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _RULE or len(mark) != 1:
             raise ValueError(f"{path} does not split texts as this class does")
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.mark = mark[0]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, some: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of words not met before. The library encodes each new part once; a word's ids are those of its parts."""
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        parts, known = {}, self.parts
-        for w in words:
-            x = w.decode()
-            parts[w] = _PARTS.findall(x.lower()) if _PLAIN.fullmatch(x) and "<|" not in x else [x]
-        fresh = list({x for found in parts.values() for x in found if x not in known})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for x, e in zip(some, found, strict=True):
-                ids = e.ids
-                known[x] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, found in parts.items():
-            self.known[w] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
-
-    def ids(self, raw: list[bytes], end: bytes) -> list[bytes]:
-        """Little-endian 32-bit ids of each text and its end id."""
+        """Ids of words not met before: the library encodes them with marks between them, and the marks' ids tell where each ends."""
+        mark = _MARK.encode()
+        alone = [w for w in words if mark in w]
+        for w, ids in zip(alone, self._encode([w.decode() for w in alone]), strict=True):
+            self.young[w] = np.array(ids, self.kind).tobytes()
+        if alone:
+            words = [w for w in words if mark not in w]
+        between = b" " + mark + b" "
+        for at in range(0, len(words), 20 * TOGETHER):
+            some = words[at : at + 20 * TOGETHER]
+            found = self._encode([(between.join(some[k : k + TOGETHER]) + between).decode() for k in range(0, len(some), TOGETHER)])
+            ids = np.concatenate([np.array(x, self.kind) for x in found])
+            raw, begin = ids.tobytes(), 0
+            for w, mark_at in zip(some, (ids.itemsize * np.flatnonzero(ids == self.mark)).tolist(), strict=True):
+                self.young[w] = raw[begin:mark_at]
+                begin = mark_at + ids.itemsize
+
+    def ids(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each text and its end id, as little-endian numbers of self.kind. Some texts at a time: what they look up stays in the processor's caches."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(raw):
+            end, size = at, 0
+            while end < len(raw) and size < LOOKED_UP:
+                size += len(raw[end])
+                end += 1
+            out += self._ids(raw[at:end])
+            at = end
+        return out
+
+    def _ids(self, raw: list[bytes]) -> list[bytes]:
         words = [x.split() for x in raw]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        fresh = set().union(*words).difference(known)
-        if fresh:
-            self._learn(list(fresh))
-        return [b"".join(map(known.__getitem__, x)) + end for x in words]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        if fresh := set(itertools.filterfalse(young.__contains__, itertools.chain.from_iterable(words))):
+            again = fresh & old.keys()
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            self._learn(list(fresh - again))
+        return [b"".join(map(young.__getitem__, x)) + self.end for x in words]
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _state:
-        _state[path] = WordTokenizer(path)
-    return _state[path]
+def _tokenizer(path: str, end_id: int) -> WordTokenizer:
+    if (path, end_id) not in _state:
+        _state[path, end_id] = WordTokenizer(path, end_id)
+    return _state[path, end_id]
 
 
-def frequencies(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(id, n) over all texts with their end ids; at most one row for each id of the vocabulary and task before the shuffle."""
-    end = np.array([end_id], "<u4").tobytes()
+def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id and body, the ids of each text by vocabulary number with the end id."""
+
+    def f(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "body": _tokenizer(path, end_id).ids(texts(batch))}
+
+    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, body binary")
+
+
+def frequencies(bodies: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(id, n) over all bodies of tokenise(); at most one row for each id of the vocabulary and task before the shuffle."""
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
-        total = np.zeros(max(tok.size, end_id + 1), np.int64)
+        tok = _tokenizer(path, end_id)
+        total = np.zeros(tok.size, np.int64)
         for batch in it:
             for piece in chunks(batch):
-                total += np.bincount(np.frombuffer(b"".join(tok.ids(texts(piece), end)), "<u4"), minlength=len(total))
+                total += np.bincount(np.frombuffer(b"".join(piece.column("body").to_pylist()), tok.kind), minlength=len(total))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
 
-    return docs.select("text").mapInArrow(f, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return bodies.select("body").mapInArrow(f, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -143,47 +174,44 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     """(blocks, codebook) as stored: blocks(shard, block, at, doc_ids, counts, control, data), codebook(rank, id).
 
     Nulls: a null text is empty and has its end id alone; a null doc_id comes first. Rows with equal doc_id stand in order of their
-    text. An empty table gives no blocks and an empty codebook. Other columns are not read.
+    ids. An empty table gives no blocks and an empty codebook. Other columns are not read.
     """
     path = path or tokenizer_file()
-    docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    counted = frequencies(docs, path, end_id).collect()  # a row for each id of the vocabulary at most
+    bodies = materialize(tokenise(docs, path, end_id), "op3-bodies", "zstd")
+    counted = frequencies(bodies, path, end_id).collect()  # a row for each id of the vocabulary at most
     ids = [i for i, _ in sorted(((r["id"], r["n"]) for r in counted), key=lambda x: (-x[1], x[0]))]
     codebook = materialize(spark.createDataFrame(list(enumerate(ids)), "rank int, id long"), "op3-codebook")
     rank = np.zeros(max(ids, default=0) + 1, np.uint32)
     rank[ids] = np.arange(len(ids))
-    end = np.array([end_id], "<u4").tobytes()
     schema = f"shard int, block int, at long, doc_ids array<{type_of(docs, 'doc_id')}>, counts array<long>, control binary, data binary"
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, shard, block, at = _tokenizer(path), TaskContext.get().partitionId(), 0, 0
+        kind, shard, block, at = np.dtype(_tokenizer(path, end_id).kind), TaskContext.get().partitionId(), 0, 0
         keys: list = []
-        bodies: list[bytes] = []
-        held = 0
+        held: list[bytes] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            values = rank[np.frombuffer(b"".join(bodies), "<u4")]
-            control, data = encode_values(values)
-            row = {"shard": [shard], "block": [block], "at": [at], "doc_ids": [keys], "counts": [[len(b) // 4 for b in bodies]], "control": [control], "data": [data]}
+            control, data = encode_values(rank[np.frombuffer(b"".join(held), kind)])
+            row = {"shard": [shard], "block": [block], "at": [at], "doc_ids": [keys], "counts": [[len(b) // kind.itemsize for b in held]], "control": [control], "data": [data]}
             kinds = {"shard": pa.int32(), "block": pa.int32(), "at": pa.int64(), "doc_ids": pa.list_(key_type), "counts": pa.list_(pa.int64()), "control": pa.binary(), "data": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in row.items()], names=list(row))
 
         for batch in it:
             key_type = batch.column("doc_id").type
-            for piece in chunks(batch):
-                for key, body in zip(piece.column("doc_id").to_pylist(), tok.ids(texts(piece), end), strict=True):
-                    keys.append(key)
-                    bodies.append(body)
-                    held += len(body) // 4
-                    if held >= BLOCK:
-                        yield flush()
-                        at, block, held = at + held, block + 1, 0
-                        keys, bodies = [], []
+            for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                keys.append(key)
+                held.append(body)
+                size += len(body) // kind.itemsize
+                if size >= BLOCK:
+                    yield flush()
+                    at, block, size = at + size, block + 1, 0
+                    keys, held = [], []
         if keys:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bodies.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
     return materialize(ordered.mapInArrow(f, schema), "op3-tokens"), codebook
 
 

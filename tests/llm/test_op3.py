@@ -7,8 +7,6 @@ from tokenizers import Tokenizer
 
 from formline.llm import op3_tokens as op3
 
-END = np.array([2], "<u4").tobytes()
-
 
 def plain(text):
     if not hasattr(plain, "tok"):
@@ -18,8 +16,8 @@ def plain(text):
 
 def mine(text):
     if not hasattr(mine, "tok"):
-        mine.tok = op3.WordTokenizer(op3.tokenizer_file())
-    return np.frombuffer(mine.tok.ids([text.encode()], END)[0], "<u4").tolist()
+        mine.tok = op3.WordTokenizer(op3.tokenizer_file(), 2)
+    return np.frombuffer(mine.tok.ids([text.encode()])[0], mine.tok.kind).tolist()
 
 
 @settings(max_examples=400, deadline=None)
@@ -29,10 +27,20 @@ def test_same_ids_as_the_library_over_whole_texts(text):
 
 
 def test_hard_texts():
-    for text in ("don't x''s I'LL 'S ''s O'Reilly's", "<|endoftext|> a<|startoftext|>b <|endoftext|", "İstanbul ΑΣ σς", "é é É", "a" * 5000, "漢字 🙂"):
+    for text in ("don't x''s I'LL 'S ''s O'Reilly's", "<|endoftext|> a<|startoftext|>b <|endoftext|", "İstanbul ΑΣ σς", "é é É", "a" * 5000, "漢字 🙂", "\x01 a\x01b \x01\x01 c", "a ́b ̈"):
         assert mine(text) == plain(text), text
 
 
+def test_what_is_remembered_does_not_matter(monkeypatch):
+    """Generations that hold a few words, texts that share some of theirs with earlier ones."""
+    monkeypatch.setattr(op3, "REMEMBERED", 5)
+    monkeypatch.setattr(op3, "TOGETHER", 3)
+    tok = op3.WordTokenizer(op3.tokenizer_file(), 2)
+    for k in range(30):
+        some = [" ".join(f"word{(k * j) % 23}x \x01{j}" for j in range(12)), "", f"Common {k} words'll"]
+        assert [np.frombuffer(x, tok.kind).tolist() for x in tok.ids([x.encode() for x in some])] == [plain(x) for x in some]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1))))
 def test_code_round_trip(values):
@@ -46,7 +54,7 @@ def test_files(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, block int, ids int")
     blocks, codebook = op3.write_tokens(df)
     got = op3.read_tokens(blocks, codebook).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.array(plain(r[1]), "<u2").tobytes()))
     at = 0
     for r, g in zip(ordered, sorted(got, key=lambda g: g["start"]), strict=True):
         ids = plain(r[1])
