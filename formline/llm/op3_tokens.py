@@ -12,16 +12,18 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formline.llm.common import arrow_map, chunks, documents, materialize, texts, type_of
+from formline.llm.common import arrow_map, chunks, documents, materialize, type_of
 
 BLOCK = 1 << 18
 END_ID = 2
@@ -29,12 +31,11 @@ END_ID = 2
 #: move back. Results do not depend on it.
 REMEMBERED = 500_000
 #: New words that the library encodes as one text.
-TOGETHER = 500
-#: Bytes of texts whose words are looked up together.
-LOOKED_UP = 1 << 18
+TOGETHER = 64
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands between words of such a text; it is one id, which no word without this character has.
 _MARK = "\x01"
+_ENDED = re.compile(rb"[A-Za-z0-9][.,]").fullmatch
 
 _state: dict = {}
 
@@ -69,47 +70,60 @@ class WordTokenizer:
     def _encode(self, some: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of words not met before: the library encodes them with marks between them, and the marks' ids tell where each ends."""
-        mark = _MARK.encode()
-        alone = [w for w in words if mark in w]
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Ids of words not met before: the library encodes them with marks between them, and the marks' ids tell where each ends.
+
+        A letter or digit of ASCII and a last comma or full stop are parts apart, so such a word has the ids of what stands before and those of the sign.
+        """
+        mark, known = _MARK.encode(), self.young
+        known[b""] = b""
+        ended = [w for w in fresh if _ENDED(w[-2:])]
+        fresh = fresh.difference(ended).union(w for w in (*(w[:-1] for w in ended), b",", b".") if w not in known)
+        alone = [w for w in fresh if mark in w]
         for w, ids in zip(alone, self._encode([w.decode() for w in alone]), strict=True):
-            self.young[w] = np.array(ids, self.kind).tobytes()
-        if alone:
-            words = [w for w in words if mark not in w]
+            known[w] = np.array(ids, self.kind).tobytes()
+        words = [w for w in fresh if w and mark not in w]
         between = b" " + mark + b" "
-        for at in range(0, len(words), 20 * TOGETHER):
-            some = words[at : at + 20 * TOGETHER]
+        for at in range(0, len(words), 100 * TOGETHER):
+            some = words[at : at + 100 * TOGETHER]
             found = self._encode([(between.join(some[k : k + TOGETHER]) + between).decode() for k in range(0, len(some), TOGETHER)])
             ids = np.concatenate([np.array(x, self.kind) for x in found])
             raw, begin = ids.tobytes(), 0
             for w, mark_at in zip(some, (ids.itemsize * np.flatnonzero(ids == self.mark)).tolist(), strict=True):
-                self.young[w] = raw[begin:mark_at]
+                known[w] = raw[begin:mark_at]
                 begin = mark_at + ids.itemsize
-
-    def ids(self, raw: list[bytes]) -> list[bytes]:
-        """Ids of each text and its end id, as little-endian numbers of self.kind. Some texts at a time: what they look up stays in the processor's caches."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(raw):
-            end, size = at, 0
-            while end < len(raw) and size < LOOKED_UP:
-                size += len(raw[end])
-                end += 1
-            out += self._ids(raw[at:end])
-            at = end
-        return out
-
-    def _ids(self, raw: list[bytes]) -> list[bytes]:
-        words = [x.split() for x in raw]
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+    def bodies(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text (null: none) and its end id, as little-endian numbers of self.kind.
+
+        Arrow splits the texts and numbers their distinct words, so Python sees those alone.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        words = split.flatten().dictionary_encode()
+        which, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+        # the tokenizer lower-cases everything but special tokens; ASCII alone has no marks that would compose otherwise then
+        plain = pc.and_(pc.string_is_ascii(names), pc.invert(pc.match_substring(names, "<|")))
+        distinct = pc.if_else(plain, pc.ascii_lower(names), names).cast(pa.binary()).to_pylist()
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        if fresh := set(itertools.filterfalse(young.__contains__, itertools.chain.from_iterable(words))):
+        if fresh := set(itertools.filterfalse(young.__contains__, distinct)):
             again = fresh & old.keys()
             young.update(zip(again, map(old.__getitem__, again), strict=True))
-            self._learn(list(fresh - again))
-        return [b"".join(map(young.__getitem__, x)) + self.end for x in words]
+            self._learn(fresh - again)
+        # one more "word" ends each text; splitting leaves empty words, which have no ids
+        found = [*map(young.__getitem__, distinct), self.end]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // len(self.end)
+        begin = np.cumsum(size) - size
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        which = np.insert(which, ends, len(distinct))
+        size, begin = size[which], begin[which]
+        upto = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()))]
+        offsets = np.append(0, upto[ends + np.arange(len(ends))]) * len(self.end)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
 
 def _tokenizer(path: str, end_id: int) -> WordTokenizer:
@@ -122,7 +136,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and body, the ids of each text by vocabulary number with the end id."""
 
     def f(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "body": _tokenizer(path, end_id).ids(texts(batch))}
+        return {"doc_id": batch.column("doc_id"), "body": _tokenizer(path, end_id).bodies(batch.column("text"))}
 
     return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, body binary")
 
