@@ -42,7 +42,7 @@ PERCENT = 80
 #: Counters of hashed words, whatever the corpus; 4 bytes each.
 COUNTERS = 1 << 20
 #: Shingles of a block of sets, and of a block of bitmaps.
-BLOCK, BITMAP_BLOCK = 1 << 21, 1 << 25
+BLOCK, BITMAP_BLOCK = 1 << 19, 1 << 25
 #: Bands of sizes: a link's sizes differ by a factor of 100 / PERCENT at most, less than this, so it lies in one band or two neighbours.
 BAND = 1.26
 FANOUT = 8
