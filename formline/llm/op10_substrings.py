@@ -4,9 +4,10 @@ A window is 13 consecutive words. Its minimiser is the smallest hash among its 4
 and the windows of a text fall into runs with one minimiser each. A run is the unit of work:
 
 1. Texts that are equal share a key; only the smallest doc_id of each needs looking at. All runs' minimisers are sorted, and only runs
-   whose minimiser occurs in two different texts or more go on.
+   whose minimiser occurs in two different texts or more go on. What a task finds shared by itself is dealt out evenly, with
+   one notice for the others, so a minimiser that very many texts have is no task's burden.
 2. The words of those runs, once for each distinct content and task with the smallest doc_id that has it, go to shards by minimiser, so
-   all equal windows meet in one shard.
+   all equal windows meet in one shard. Runs of a minimiser that more than HOT_RUNS runs have go window by window, to shards by minimiser and window.
 3. A shard builds an FM-index over its contents: Burrows-Wheeler transform and a wavelet matrix of bit-packed levels with rank
    directories. All windows are streamed through it by backward search, many at a time; the matching statistic of a place is
    how many words on from there match, up to 13, and a place that reaches 13 has an interval of suffixes, whose smallest doc_id
@@ -34,6 +35,10 @@ WINDOW = 13
 GRAM = 4
 #: Words that a shard indexes, about.
 SHARD_WORDS = 400_000
+#: Runs of one minimiser beyond which its windows are dealt out singly.
+HOT_RUNS = 1 << 18
+#: Runs that a task looks at together for minimisers that it finds shared by itself; results do not depend on it.
+TOGETHER = 1 << 19
 #: Bytes that stand for a word in a shard: the low ones of its 64-bit hash.
 _WORD_BYTES = 6
 
@@ -73,15 +78,22 @@ class FmIndex:
 
     def __init__(self, text: np.ndarray):
         n = len(text)
-        rank = text.astype(np.int64)
-        step = 1
-        while step < self.DEPTH:
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - step)] = rank[step:] + 1
-            _, rank = np.unique(rank * (n + int(text.max(initial=0)) + 2) + after, return_inverse=True)
-            step *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
-        last = text[self.suffixes - 1]  # the transform; the text is taken as a ring
+        rank, depth = text.astype(np.int64), 1
+        while depth < self.DEPTH:
+            width = int(rank.max(initial=0) + 2).bit_length()
+            times = max(2, min(63 // width, -(-self.DEPTH // depth)))  # as many ranks as a key holds; two always fit
+            key = np.zeros(n, np.int64)
+            for k in range(times):
+                after = rank[k * depth :] + 1
+                key <<= width
+                key[: len(after)] |= after
+            self.suffixes = np.argsort(key, kind="stable")
+            ordered = key[self.suffixes]
+            rank = np.empty(n, np.int64)
+            rank[self.suffixes] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
+            depth *= times
+        self.suffixes = self.suffixes.astype(np.int32 if n < 1 << 31 else np.int64)
+        last = text[self.suffixes - 1].astype(np.int32)  # the transform; the text is taken as a ring
         self.n, self.levels = n, max(1, int(text.max(initial=0)).bit_length())
         counts = np.bincount(text, minlength=1 << self.levels)
         self.before = np.concatenate([[0], np.cumsum(counts)])
@@ -111,26 +123,29 @@ class FmIndex:
         base = self.before[symbol] - self.origin[symbol]
         return base + self._descend(symbol, low), base + self._descend(symbol, high)
 
-    def statistics(self, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of a streamed text: for each place the interval of its next `most` symbols (empty if they do not occur or reach over a separator) and how many symbols, counted from the window's end, match."""
-        starts = np.arange(max(0, len(text) - most + 1))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+    def statistics(self, text: np.ndarray, most: int, starts: np.ndarray | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text: for each place (or each of starts) the interval of its next `most` symbols (empty if fewer than `least`
+        suffixes have them or they reach over a separator) and how many symbols, counted from the window's end, match."""
+        starts = np.arange(max(0, len(text) - most + 1)) if starts is None else starts
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         length = np.zeros(len(starts), np.int64)
         live = np.arange(len(starts))
         for k in reversed(range(most)):
             symbol = text[starts[live] + k]
-            ok = symbol > 0
+            if k == most - 1:
+                a, b = self.before[symbol], self.before[symbol + 1]
+            else:
+                a, b = self.extend(symbol, low[live], high[live])
+            ok = (symbol > 0) & (b - a >= least)
             low[live[~ok]] = high[live[~ok]] = 0
-            live, symbol = live[ok], symbol[ok]
-            a, b = self.extend(symbol, low[live], high[live])
-            low[live], high[live] = a, b
-            live = live[b > a]
+            live = live[ok]
+            low[live], high[live] = a[ok], b[ok]
             length[live] += 1
         return low, high, length
 
 
 def first_documents(contents: list[np.ndarray], docs: np.ndarray) -> list[np.ndarray]:
-    """For each content (word hashes), the smallest document of each of its windows among all contents."""
+    """For each content (word hashes, a window's at least), the smallest document of each of its windows among all contents."""
     sizes = np.array([len(c) for c in contents])
     begins = np.cumsum(sizes + 1) - (sizes + 1)
     _, symbols = np.unique(np.concatenate(contents), return_inverse=True)
@@ -140,25 +155,72 @@ def first_documents(contents: list[np.ndarray], docs: np.ndarray) -> list[np.nda
     text[inside] = symbols + 1
     index = FmIndex(text)
     owner = np.repeat(docs, sizes + 1)[index.suffixes]
-    out = []
-    answer = np.full(len(text), np.iinfo(np.int64).max)
-    for at in range(0, len(text), 1 << 18):  # places of 2 ** 18 windows at a time
-        low, high, length = index.statistics(text[at : at + (1 << 18) + WINDOW - 1], WINDOW)
+    answer = np.repeat(docs, sizes + 1)  # a window of one suffix is nobody else's
+    windows = np.zeros(len(text) + 1, np.int64)
+    windows[begins] += 1
+    windows[begins + sizes - WINDOW + 1] -= 1
+    starts = np.flatnonzero(np.cumsum(windows[:-1]))
+    for at in range(0, len(starts), 1 << 17):
+        some = starts[at : at + (1 << 17)]
+        low, high, length = index.statistics(text, WINDOW, some, 2)
         hit = np.flatnonzero(length == WINDOW)
         if len(hit):
             ends, back = np.unique(np.stack([low[hit], high[hit]], axis=1), axis=0, return_inverse=True)
             # intervals of windows of one length are equal or apart
             least = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), ends.reshape(-1))[::2]
-            answer[at + hit] = least[back.reshape(-1)]
-    for b, n in zip(begins.tolist(), sizes.tolist(), strict=True):
-        out.append(answer[b : b + n - WINDOW + 1])
-    return out
+            answer[some[hit]] = least[back.reshape(-1)]
+    return [answer[b : b + n - WINDOW + 1] for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+
+
+#: What a row of runs is to _shared(), in the low bits of `at`: a run, a notice that two texts share its minimiser, a run of such a minimiser.
+_RUN, _NOTICE, _KNOWN = 0, 1, 2
+
+
+def _minimisers(docs: DataFrame) -> DataFrame:
+    """(h, t, at) of all runs of docs(text, t), of a text that a task meets again but the first time; at holds first window, number of windows and kind."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            h, t, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((t, h))
+            h, t, at = h[order], t[order], at[order]
+            begins = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            ends = np.append(begins[1:], len(h))
+            many = t[begins] != t[ends - 1]
+            kind = np.repeat(np.where(many, _KNOWN, _RUN), ends - begins)
+            first = begins[many]
+            at, notice = at << 2 | kind, at[first] << 2 | _NOTICE
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((h, h[first]), (t, t[first]), (at, notice))], names=["h", "t", "at"])
+
+        for batch in it:
+            for piece in chunks(batch):
+                for t, raw in zip(piece.column("t").to_pylist(), texts(piece), strict=True):
+                    if t in met:
+                        continue
+                    if len(met) >= TOGETHER:
+                        met.clear()
+                    met.add(t)
+                    h, first, n = runs(word_hashes(raw.split()))
+                    held.append((h.view(np.int64), np.full(len(h), t, np.int64), first << 8 | n))
+                    size += len(h)
+                if size >= TOGETHER:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return docs.select("text", "t").mapInArrow(f, "h long, t long, at long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """rows(h, t, first, n), sorted by h and t within partitions, of whose h there are two t or more; repeated rows once.
+    """The runs among rows(h, t, at) whose h two different t or more have: h, t, first, n. A run that two tasks have sent may come twice.
 
-    Streamed: of an h, only the rows of its first t are held until another t comes.
+    Streamed in order of h and t: of an h, only the rows of its first t are held until another t or a notice comes. Runs that are known to be
+    shared go where their h and t lead, all others and the notices where h does.
     """
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +232,7 @@ def _shared(rows: DataFrame) -> DataFrame:
                 continue
             begins = np.concatenate([[0], np.flatnonzero(np.diff(x[:, 0])) + 1])
             ends = np.append(begins[1:], len(x))
-            many = x[begins, 1] != x[ends - 1, 1]
+            many = (x[begins, 1] != x[ends - 1, 1]) | np.logical_or.reduceat(x[:, 2] & 3 > 0, begins)
             if now is not None and x[0, 0] == now:
                 many[0] |= sure or held[0][0, 1] != x[0, 1]
                 if many[0] and held:
@@ -189,82 +251,102 @@ def _shared(rows: DataFrame) -> DataFrame:
             now, sure = x[-1, 0], bool(many[-1])
 
     def send(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x = x[np.concatenate([[True], (np.diff(x, axis=0) != 0).any(axis=1)])]
+        x = x[x[:, 2] & 3 != _NOTICE]
+        x[:, 2] >>= 2
+        x = x[np.append(True, (np.diff(x, axis=0) != 0).any(axis=1))] if len(x) else x
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array((x[:, 2] >> 8).astype(np.int32)), pa.array((x[:, 2] & 255).astype(np.int32))], names=["h", "t", "first", "n"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "t", "at").mapInArrow(f, "h long, t long, first int, n int")
+    where = F.when(F.col("at").bitwiseAND(3) == _KNOWN, F.xxhash64("h", "t")).otherwise(F.xxhash64("h"))
+    dealt = rows.withColumn("p", where).repartition("p").drop("p")
+    return dealt.sortWithinPartitions("h", "t", "at").mapInArrow(f, "h long, t long, first int, n int")
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs with its text's key t, removals(r_id, r_t, whole, starts)): starts are the removed windows' first words; whole texts are copies."""
-    keyed = docs.withColumn("t", F.xxhash64("text"))
-
-    def minimisers(batch: pa.RecordBatch) -> dict:
-        found = [runs(word_hashes(x.split())) for x in texts(batch)]
-        t = np.repeat(batch.column("t").to_numpy(), [len(h) for h, *_ in found])
-        pick = lambda k: np.concatenate([x[k] for x in found])
-        return {"h": pa.array(pick(0).view(np.int64)), "t": pa.array(t), "at": pa.array(pick(1) << 8 | pick(2))}
-
-    found = arrow_map(keyed.select("text", "t").where("text is not null"), minimisers, "h long, t long, at long")
-    shared = materialize(_shared(found), "op10-runs")
-    keys = materialize(keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "t"), "op10-keys")
-    firsts = keys.groupBy("t").agg(F.min("id").alias("m"))
-    of_text = shared.groupBy("t").agg(F.collect_list(F.struct("h", "first", "n")).alias("runs"))
-    of_text = of_text.join(firsts, "t").select(F.col("m").alias("r_id"), F.col("t").alias("r_t"), "runs")
-    shards = max(1, shared.count() * (WINDOW + 4) // 2 // SHARD_WORDS)
-    mine = keyed.join(of_text, (F.col("doc_id") == F.col("r_id")) & (F.col("t") == F.col("r_t")), "left")
+    """(docs with its text's keys t and t2, removals(r_id, r_t, r_t2, whole, starts)): starts are the removed windows' first words; whole texts are copies.
 
-    def contents(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for i, (doc, raw, found) in enumerate(zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("runs").to_pylist(), strict=True)):
-            if found:
-                w = word_hashes(raw.split()).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]
-                for r in found:
-                    yield i, doc, r["h"], r["first"], w[r["first"] : r["first"] + r["n"] + WINDOW - 1].tobytes()
+    Two 64-bit hashes tell texts apart where a copy loses all its words; one does for runs, whose words are compared anyway.
+    """
+    keyed = docs.withColumns({"t": F.xxhash64("text"), "t2": F.xxhash64(F.lit(WINDOW), "text")})
+    shared = materialize(_shared(_minimisers(keyed.where("text is not null").select("text", "t"))), "op10-runs")
+    keys = materialize(keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "t", "t2"), "op10-keys")
+    firsts = keys.groupBy("t", "t2").agg(F.min("id").alias("m"))
+    hot = shared.groupBy(F.col("h").alias("hot")).agg(F.ceil(F.count("*") / HOT_RUNS).cast("int").alias("parts")).where("parts > 1")
+    of_text = shared.join(hot, F.col("h") == F.col("hot"), "left").select("t", "h", "first", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
+    # a run may have come from two tasks
+    of_text = of_text.groupBy("t").agg(F.collect_set(F.struct("h", "first", "n", "parts")).alias("runs"))
+    of_text = of_text.join(firsts, "t").select(F.col("m").alias("r_id"), F.col("t").alias("r_t"), F.col("t2").alias("r_t2"), "runs")
+    shards = max(1, shared.count() * (WINDOW + 4) // 2 // SHARD_WORDS)
+    here = (F.col("doc_id") == F.col("r_id")) & (F.col("t") == F.col("r_t")) & (F.col("t2") == F.col("r_t2"))
+    mine = keyed.join(of_text, here, "left").where("runs is not null").select("doc_id", "text", "t", "t2", "runs")
+
+    def contents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int], list[bytes], list[int]]]:
+        """Of each row its number, and of its pieces (runs, or windows of hot minimisers' runs) h, first word, content and shard."""
+        column = batch.column("runs")
+        cuts, rows = column.offsets.to_numpy().tolist(), column.values.field
+        all_h, all_first, all_n, all_parts = (rows(c).to_numpy() for c in range(4))
+        for i, raw in enumerate(texts(batch)):
+            h, first, n, parts = (x[cuts[i] : cuts[i + 1]] for x in (all_h, all_first, all_n, all_parts))
+            if (many := parts > 1).any():
+                wide = np.repeat(np.arange(len(h)), np.where(many, n, 1))
+                within = np.arange(len(wide)) - np.searchsorted(wide, wide)
+                h, first, n, parts = h[wide], first[wide] + np.where(many[wide], within, 0), np.where(many[wide], 1, n[wide]), parts[wide]
+            w = word_hashes(raw.split()).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES].tobytes()
+            found = [w[a:b] for a, b in zip((_WORD_BYTES * first).tolist(), (_WORD_BYTES * (first + n + WINDOW - 1)).tolist(), strict=True)]
+            shard = h % shards
+            if many.any():
+                own = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)) % parts.astype(np.uint64)
+                shard = (shard + own.astype(np.int64)) % shards
+            yield i, h.tolist(), first.tolist(), found, shard.tolist()
 
     def once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct contents of a task with their smallest document."""
-        least: dict[tuple[int, bytes], int] = {}
+        least: dict[tuple[int, int, bytes], int] = {}
 
         def flush() -> pa.RecordBatch:
-            h = [k[0] for k in least]
-            out = pa.RecordBatch.from_arrays([pa.array([x % shards for x in h], pa.int32()), pa.array(h, pa.int64()), pa.array([k[1] for k in least], pa.binary()), pa.array(list(least.values()), pa.int64())], names=["shard", "h", "content", "doc"])
+            shard, h, content = zip(*least, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(h, pa.int64()), pa.array(content, pa.binary()), pa.array(list(least.values()), pa.int64())], names=["shard", "h", "content", "doc"])
             least.clear()
             return out
 
         for batch in it:
             for piece in chunks(batch):
-                for _, doc, h, _, content in contents(piece):
-                    if least.setdefault((h, content), doc) > doc:
-                        least[h, content] = doc
+                docs = piece.column("doc_id").to_pylist()
+                for i, h, _, found, shard in contents(piece):
+                    doc = docs[i]
+                    for key in zip(shard, h, found, strict=True):
+                        if least.setdefault(key, doc) > doc:
+                            least[key] = doc
                 if len(least) > 300_000:
                     yield flush()
         if least:
             yield flush()
 
     def places(batch: pa.RecordBatch) -> dict:
-        rows = list(contents(batch))
-        t = batch.column("t").take(pa.array([r[0] for r in rows], pa.int64()))
-        return {"id": [r[1] for r in rows], "t": t, "h": [r[2] for r in rows], "first": [r[3] for r in rows], "c": [xxhash.xxh3_64_intdigest(r[4]) - (1 << 63) for r in rows]}
+        rows, h, first, c = [], [], [], []
+        for i, of_h, of_first, found, _ in contents(batch):
+            rows.append(np.full(len(found), i))
+            h += of_h
+            first += of_first
+            c.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64))
+        at = pa.array(np.concatenate(rows))
+        return {k: batch.column(n).take(at) for k, n in (("id", "doc_id"), ("t", "t"), ("t2", "t2"))} | {"h": h, "first": first, "c": pa.array(np.concatenate(c))}
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.groupby(["h", "content"], as_index=False)["doc"].min()
-        words = []
-        for c in pdf["content"]:
-            raw = np.frombuffer(c, np.uint8).reshape(-1, _WORD_BYTES)
-            w = np.zeros((len(raw), 8), np.uint8)
-            w[:, :_WORD_BYTES] = raw
-            words.append(w.view("<u8").reshape(-1))
-        found = first_documents(words, pdf["doc"].to_numpy(np.int64))
-        return pd.DataFrame({"s_h": pdf["h"], "s_c": [xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in pdf["content"]], "docs": [x.tolist() for x in found]})
-
-    use = ["doc_id", "text", "t", "runs"]
-    answers = mine.select(*use).mapInArrow(once, "shard int, h long, content binary, doc long").groupBy("shard").applyInPandas(search, "s_h long, s_c long, docs array<long>")
-    at = arrow_map(mine.select(*use), places, "id long, t long, h long, first int, c long")
+        pdf = pdf.groupby(["h", "content"], as_index=False, sort=False)["doc"].min()
+        sizes = pdf["content"].map(len).to_numpy() // _WORD_BYTES
+        words = np.zeros((int(sizes.sum()), 8), np.uint8)
+        words[:, :_WORD_BYTES] = np.frombuffer(b"".join(pdf["content"]), np.uint8).reshape(-1, _WORD_BYTES)
+        found = first_documents(np.split(words.view("<u8").reshape(-1), np.cumsum(sizes)[:-1]), pdf["doc"].to_numpy(np.int64))
+        return pd.DataFrame({"s_h": pdf["h"], "s_c": np.fromiter(map(xxhash.xxh3_64_intdigest, pdf["content"]), np.uint64, len(pdf)).view(np.int64), "docs": found})
+
+    answers = mine.mapInArrow(once, "shard int, h long, content binary, doc long").groupBy("shard").applyInPandas(search, "s_h long, s_c long, docs array<long>")
+    at = arrow_map(mine, places, "id long, t long, t2 long, h long, first int, c long")
     hits = at.join(answers, (F.col("h") == F.col("s_h")) & (F.col("c") == F.col("s_c")))
     starts = F.filter(F.transform("docs", lambda x, i: F.when(x < F.col("id"), F.col("first") + i)), lambda x: x.isNotNull())
-    hits = hits.select("id", "t", starts.alias("starts")).where(F.size("starts") > 0).groupBy(F.col("id").alias("r_id"), F.col("t").alias("r_t")).agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    partial = hits.select("r_id", "r_t", F.lit(False).alias("whole"), "starts")
-    copies = keys.join(firsts, "t").where("id > m").select(F.col("id").alias("r_id"), F.col("t").alias("r_t"), F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts")).distinct()
+    own = [F.col(c).alias(f"r_{c}") for c in ("id", "t", "t2")]
+    hits = hits.select(*own, starts.alias("starts")).where(F.size("starts") > 0).groupBy("r_id", "r_t", "r_t2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    partial = hits.select("r_id", "r_t", "r_t2", F.lit(False).alias("whole"), "starts")
+    copies = keys.join(firsts, ["t", "t2"]).where("id > m").select(*own, F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts")).distinct()
     return keyed, partial.unionByName(copies)
 
 
@@ -297,7 +379,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 out[k].append(x)
         return {"doc_id": batch.column("doc_id")} | out
 
-    rows = keyed.join(gone, (F.col("doc_id") == F.col("r_id")) & (F.col("t") == F.col("r_t")), "left").select("doc_id", "text", "whole", "starts")
+    here = (F.col("doc_id") == F.col("r_id")) & (F.col("t") == F.col("r_t")) & (F.col("t2") == F.col("r_t2"))
+    rows = keyed.join(gone, here, "left").select("doc_id", "text", "whole", "starts")
     return arrow_map(rows, f, f"doc_id {type_of(docs, 'doc_id')}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
