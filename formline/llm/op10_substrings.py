@@ -257,8 +257,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array((x[:, 2] >> 8).astype(np.int32)), pa.array((x[:, 2] & 255).astype(np.int32))], names=["h", "t", "first", "n"])
 
     where = F.when(F.col("at").bitwiseAND(3) == _KNOWN, F.xxhash64("h", "t")).otherwise(F.xxhash64("h"))
-    dealt = rows.withColumn("p", where).repartition("p").drop("p")
-    return dealt.sortWithinPartitions("h", "t", "at").mapInArrow(f, "h long, t long, first int, n int")
+    return rows.repartition(where).sortWithinPartitions("h", "t", "at").mapInArrow(f, "h long, t long, first int, n int")
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,13 +270,18 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = materialize(keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "t", "t2"), "op10-keys")
     firsts = keys.groupBy("t", "t2").agg(F.min("id").alias("m"))
     hot = shared.groupBy(F.col("h").alias("hot")).agg(F.ceil(F.count("*") / HOT_RUNS).cast("int").alias("parts")).where("parts > 1")
-    of_text = shared.join(hot, F.col("h") == F.col("hot"), "left").select("t", "h", "first", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
+    hot = materialize(hot, "op10-hot")
+    if hot.isEmpty():
+        of_text = shared.withColumn("parts", F.lit(1))
+    else:
+        of_text = shared.join(hot, F.col("h") == F.col("hot"), "left").select("t", "h", "first", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
     # a run may have come from two tasks
     of_text = of_text.groupBy("t").agg(F.collect_set(F.struct("h", "first", "n", "parts")).alias("runs"))
     of_text = of_text.join(firsts, "t").select(F.col("m").alias("r_id"), F.col("t").alias("r_t"), F.col("t2").alias("r_t2"), "runs")
     shards = max(1, shared.count() * (WINDOW + 4) // 2 // SHARD_WORDS)
     here = (F.col("doc_id") == F.col("r_id")) & (F.col("t") == F.col("r_t")) & (F.col("t2") == F.col("r_t2"))
-    mine = keyed.join(of_text, here, "left").where("runs is not null").select("doc_id", "text", "t", "t2", "runs")
+    # rows without runs stay, so that this join and the last one share one exchange of the texts
+    mine = keyed.join(of_text, here, "left").select("doc_id", "text", "t", "t2", "runs")
 
     def contents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[int], list[int], list[bytes], list[int]]]:
         """Of each row its number, and of its pieces (runs, or windows of hot minimisers' runs) h, first word, content and shard."""
@@ -285,6 +289,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         cuts, rows = column.offsets.to_numpy().tolist(), column.values.field
         all_h, all_first, all_n, all_parts = (rows(c).to_numpy() for c in range(4))
         for i, raw in enumerate(texts(batch)):
+            if cuts[i] == cuts[i + 1]:
+                continue
             h, first, n, parts = (x[cuts[i] : cuts[i + 1]] for x in (all_h, all_first, all_n, all_parts))
             if (many := parts > 1).any():
                 wide = np.repeat(np.arange(len(h)), np.where(many, n, 1))
@@ -322,7 +328,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield flush()
 
     def places(batch: pa.RecordBatch) -> dict:
-        rows, h, first, c = [], [], [], []
+        rows, h, first, c = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int64)]
         for i, of_h, of_first, found, _ in contents(batch):
             rows.append(np.full(len(found), i))
             h += of_h

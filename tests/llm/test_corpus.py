@@ -207,9 +207,11 @@ def repeats(seed, n=80):
     return rows + [(500, rows[0][1]), (501, rows[1][1]), (501, rows[1][1])]
 
 
-@pytest.mark.parametrize("batch", [10_000, 3])
-def test_substrings(spark, batch):
-    """Batches of three rows cut runs of one minimiser anywhere."""
+@pytest.mark.parametrize(("batch", "hot", "together"), [(10_000, 1 << 18, 1 << 19), (3, 4, 1 << 19), (3, 2, 50)])
+def test_substrings(spark, monkeypatch, batch, hot, together):
+    """Batches of three rows cut runs of one minimiser anywhere; many minimisers are hot, and tasks see few runs together."""
+    monkeypatch.setattr(op10, "HOT_RUNS", hot)
+    monkeypatch.setattr(op10, "TOGETHER", together)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
