@@ -70,20 +70,57 @@ class Vocabulary:
             self.text[i] = s.encode()
         for b, i in self.byte.items():
             self.text[i] = bytes([b])
-        # the trie: transitions (state, character) in order, and the piece that each state ends or -1
+        # the trie: transitions (state, character) in a hash table, and the piece that each state ends or -1
         states: dict[str, int] = {"": 0}
         for piece in self.of:
             for j in range(1, len(piece) + 1):
                 states.setdefault(piece[:j], len(states))
-        steps = sorted((states[x[:-1]] << 21 | ord(x[-1]), i) for x, i in states.items() if x)
-        self.trie_key, self.trie_to = np.array([k for k, _ in steps]), np.array([i for _, i in steps])
+        steps = [(states[x[:-1]] << 21 | ord(x[-1]), i) for x, i in states.items() if x]
+        self._table(np.array([k for k, _ in steps]), np.array([i for _, i in steps]))
         self.trie_piece = np.full(len(states), -1)
         self.weight = np.zeros(self.size)
         for piece, (i, w) in self.of.items():
             self.trie_piece[states[piece]], self.weight[i] = i, w
+        self.flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # the characters of self.text, their sizes and where each begins
         self.spelled: dict[str, int] = {}
         self.spelling: list[list[int]] = []
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _table(self, key: np.ndarray, to: np.ndarray) -> None:
+        """Transitions by an open hash table of eight to sixteen slots a key; a key lies at most `probes` slots behind its own."""
+        bits = (8 * len(key)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.trie_key, self.trie_to = np.full((1 << bits) + len(key), -1), np.full((1 << bits) + len(key), -1, np.int32)
+        self.probes, at = 0, self._slot(key)
+        while len(key):
+            free = self.trie_key[at] < 0
+            _, first = np.unique(np.where(free, at, -1), return_index=True)
+            first = first[free[first]]
+            self.trie_key[at[first]], self.trie_to[at[first]] = key[first], to[first]
+            left = np.ones(len(key), bool)
+            left[first] = False
+            key, to, at = key[left], to[left], at[left] + 1
+            self.probes += 1
+
+    def next(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Where each state's step by a character leads, or -1."""
+        key = state.astype(np.int64) << 21 | char
+        at = self._slot(key)
+        there = self.trie_key[at]
+        out = np.where(there == key, self.trie_to[at], np.int32(-1))
+        more = np.flatnonzero((there != key) & (there >= 0))
+        for probe in range(1, self.probes):
+            if not len(more):
+                break
+            there = self.trie_key[at[more] + probe]
+            hit = there == key[more]
+            out[more[hit]] = self.trie_to[at[more[hit]] + probe]
+            more = more[~hit & (there >= 0)]
+        return out
+
     def spell(self, char: str) -> tuple[int, float]:
         """The id of a character without a piece, and its weight: a byte's own piece, or one that stands for several."""
         raw = char.encode()
@@ -101,9 +138,18 @@ class Vocabulary:
             return ids
         return np.array([x for i in ids.tolist() for x in ([i] if i < self.size else self.spelling[i - self.size])], np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The UTF-8 text of ids, without the space that encoding has put before it."""
-        return b"".join(map(self.text.__getitem__, ids))[1:]
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 texts of lists of ids, without the space that encoding has put before each."""
+        if self.flat is None or len(self.flat[1]) < len(self.text):
+            sizes = np.fromiter(map(len, self.text), np.int64, len(self.text))
+            self.flat = np.frombuffer(b"".join(self.text), np.uint8), sizes, np.cumsum(sizes) - sizes
+        chars, sizes, begins = self.flat
+        every = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        size = sizes[every]
+        upto = np.cumsum(size)
+        raw = chars[np.repeat(begins[every] - upto + size, size) + np.arange(int(size.sum()))].tobytes()
+        ends = np.append(0, upto)[np.cumsum([0, *map(len, ids)])].tolist()
+        return [raw[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Lattices:
@@ -142,60 +188,58 @@ class Lattices:
         n = len(chars)
         word = np.repeat(np.arange(len(words)), sizes)
         end = np.cumsum(sizes)[word]
-        src, ids, length = [], [], []
+        found: list[tuple] = []  # of each step: first characters, pieces, weights, how many shorter pieces start there, and the length
+        count = np.zeros(n, np.int64)
         at, state = np.arange(n), np.zeros(n, np.int64)
         for step in range(v.longest):
             fits = at + step < end[at]
             at, state = at[fits], state[fits]
-            key = state << 21 | chars[at + step]
-            hit = np.minimum(np.searchsorted(v.trie_key, key), len(v.trie_key) - 1)
-            there = v.trie_key[hit] == key
-            at, state = at[there], v.trie_to[hit[there]]
-            found = v.trie_piece[state]
-            whole = found >= 0
-            src.append(at[whole])
-            ids.append(found[whole])
-            length.append(np.full(int(whole.sum()), step + 1))
+            state = v.next(state, chars[at + step])
+            there = state >= 0
+            at, state = at[there], state[there]
+            piece = v.trie_piece[state]
+            whole = piece >= 0
+            src, piece = at[whole], piece[whole]
+            found.append((src, piece, v.weight[piece], count[src], step + 1))
+            count[src] += 1
+            if not step and len(alone := np.flatnonzero(count == 0)):  # characters without a piece
+                which, back = np.unique(chars[alone], return_inverse=True)
+                spelled = [v.spell(chr(c)) for c in which]
+                found.append((alone, np.array([x[0] for x in spelled])[back], np.array([x[1] for x in spelled])[back], count[alone], 1))
+                count[alone] += 1
             if not len(at):
                 break
-        weights = [v.weight[x] for x in ids]
-        alone = np.ones(n, bool)
-        alone[src[0]] = False
-        alone = np.flatnonzero(alone)  # characters without a piece
-        if len(alone):
-            which, back = np.unique(chars[alone], return_inverse=True)
-            spelled = [v.spell(chr(c)) for c in which]
-            src.append(alone)
-            ids.append(np.array([x[0] for x in spelled])[back])
-            length.append(np.ones(len(alone), np.int64))
-            weights.append(np.array([x[1] for x in spelled])[back])
-        src, ids, length, weights = (np.concatenate(x) for x in (src, ids, length, weights))
-        order = np.lexsort((length, src))
-        src, ids, length, weights = src[order], ids[order], length[order], weights[order]
-        node, to_node = src + word[src], src + word[src] + length
+        # edges stand by their distance from the word's end, then by node, a node's longest piece first: mostly the likeliest
+        far = end - np.arange(n)
+        order = np.argsort(far.astype(np.int16) if n and far.max() < 1 << 15 else far, kind="stable")
+        sizes_of = count[order]
+        begins = np.cumsum(sizes_of) - sizes_of
+        place = np.empty(n, np.int64)
+        place[order] = begins + sizes_of
+        total = int(sizes_of.sum())
+        ids, length, weights = np.empty(total, np.int32), np.empty(total, np.int64), np.empty(total)
+        for src, piece, weight, shorter, size in found:
+            to = place[src] - 1 - shorter
+            ids[to], weights[to], length[to] = piece, weight, size
+        node = order + word[order]
+        to_node = np.repeat(node, sizes_of) + length
         mass = np.zeros(n + len(words))  # log of the mass from a node to the word's end
-        far = end[src] - src
-        by_level = np.argsort(far, kind="stable")
-        cuts = np.flatnonzero(np.diff(far[by_level])) + 1
-        for e in np.split(by_level, cuts):
-            x, of = weights[e] + mass[to_node[e]], node[e]
-            begins = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
-            top = np.maximum.reduceat(x, begins)
-            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(begins, len(x))))), begins)
-            mass[of[begins]] = top + np.log(total)
-        logp = np.minimum(weights + mass[to_node] - mass[node], 0.0)
-        likely = np.lexsort((-logp, node))  # a node's likeliest edge first
-        ids, length, logp = ids[likely], length[likely], logp[likely]
-        begins = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1])
-        sizes_of = np.diff(np.append(begins, len(node)))
-        total = np.cumsum(np.exp(logp))
-        share = total - np.repeat(total[begins] - np.exp(logp[begins]), sizes_of)
+        cuts = np.flatnonzero(np.diff(far[order])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+            a, b = begins[lo], begins[hi - 1] + sizes_of[hi - 1]
+            x, first = weights[a:b] + mass[to_node[a:b]], begins[lo:hi] - a
+            top = np.maximum.reduceat(x, first)
+            mass[node[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, sizes_of[lo:hi])), first))
+        logp = np.minimum(weights + mass[to_node] - np.repeat(mass[node], sizes_of), 0.0)
+        share = np.exp(logp)
+        total_share = np.cumsum(share)
+        share = total_share - np.repeat(total_share[begins] - share[begins], sizes_of)
         share = np.clip(share, 0.0, np.nextafter(1.0, 0.0))  # only a node's last edge reaches 1
         share[begins + sizes_of - 1] = 1.0
         ends = np.zeros(n + len(words), bool)
         ends[np.cumsum(sizes + 1) - 1] = True
         low = np.full(n + len(words), -1)
-        low[node[begins]] = self.edges + begins
+        low[node] = self.edges + begins
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.start += (self.nodes + np.cumsum(sizes + 1) - (sizes + 1)).tolist()
         self._append(self.nodes, {"low": low, "is_end": ends})
@@ -296,11 +340,14 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int = SAM
     words = [_CUT.findall(f" {x}") if x else [] for x in texts]
     if lat.nodes > NODES:
         lat.clear()
-    lat.add(list(dict.fromkeys(itertools.filterfalse(lat.number.__contains__, itertools.chain.from_iterable(words)))))
     sizes = np.array([len(x) for x in words], np.int64)
     n, ends = int(sizes.sum()), np.cumsum(sizes)
     begins = ends - sizes
-    first = np.array(lat.start, np.int64)[np.fromiter(map(lat.number.__getitem__, itertools.chain.from_iterable(words)), np.int64, n)]
+    coded = pa.array(itertools.chain.from_iterable(words), pa.string(), size=n).dictionary_encode()  # so Python looks up each word once
+    distinct = coded.dictionary.to_pylist()
+    lat.add(list(itertools.filterfalse(lat.number.__contains__, distinct)))
+    start = np.fromiter(map(lat.start.__getitem__, map(lat.number.__getitem__, distinct)), np.int64, len(distinct))
+    first = start[coded.indices.to_numpy()] if n else start
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(n) - begins[doc]
     seed = _mix(keys.astype(np.uint64))
@@ -440,7 +487,9 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
     def f(batch: pa.RecordBatch) -> dict:
         vocabulary = _lattices(path).v
-        text = [None if x is None else vocabulary.decode(x).decode() for x in batch.column("ids").to_pylist()]
+        ids = batch.column("ids").to_pylist()
+        found = vocabulary.decode([np.array(x or [], np.int64) for x in ids])
+        text = [None if x is None else y.decode() for x, y in zip(ids, found, strict=True)]
         return {"doc_id": batch.column("doc_id"), "sample": batch.column("sample"), "text": text}
 
     return arrow_map(rows.select("doc_id", "sample", "ids"), f, f"doc_id {type_of(rows, 'doc_id')}, sample int, text string")
@@ -460,7 +509,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str, k: int = SAMPLES) -> DataFrame:
             out["log_p"].append([x[1] for x in samples])
             out["log_inclusion"].append([x[3] for x in samples])
             raw = text.encode()
-            out["decoded"].append(all(vocabulary.decode(x.tolist()) == raw for x in ids))
+            out["decoded"].append(all(x == raw for x in vocabulary.decode(ids)))
         return {"doc_id": batch.column("doc_id")} | out
 
     return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean")

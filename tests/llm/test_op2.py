@@ -78,11 +78,23 @@ def test_decoding_gives_texts_back(lattices):
         assert samples
         for ids, *_ in samples:
             ids = lattices.v.public(ids).tolist()
-            assert lattices.v.decode(ids).decode() == text
+            assert lattices.v.decode([np.array(ids, np.int64), np.zeros(0, np.int64)]) == [text.encode(), b""]
             if "▁" not in text:
                 assert sp.decode(ids) == text
 
 
+def test_transitions(lattices):
+    v = lattices.v
+    for piece in list(v.of)[::50]:
+        at = 0
+        for c in piece:
+            to = int(v.next(np.array([at]), np.array([ord(c)]))[0])
+            assert to > 0
+            at = to
+        assert v.trie_piece[at] == v.of[piece][0]
+    assert v.next(np.array([0, 5, 10**6]), np.array([0x10FFFF, 0x10FFFF, 97])).tolist() == [-1, -1, -1]
+
+
 def test_rows(spark):
     rows = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (2, None), (None, "abc"), (3, "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, sample string")
