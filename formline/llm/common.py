@@ -96,14 +96,14 @@ def chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]
             yield piece
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType) -> DataFrame:
-    """f applied to slices of df's Arrow batches; it returns columns by name (lists or arrays), or None for no rows."""
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType, most: int = CHUNK) -> DataFrame:
+    """f applied to slices of df's Arrow batches, of about `most` bytes; it returns columns by name (lists or arrays), or None for no rows."""
     spark_schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for piece in chunks(batch):
+            for piece in chunks(batch, most):
                 if (out := f(piece)) is not None:
                     yield pa.RecordBatch.from_arrays([x.cast(c.type) if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
 

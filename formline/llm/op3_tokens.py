@@ -23,19 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formline.llm.common import arrow_map, chunks, documents, materialize, type_of
+from formline.llm.common import CHUNK, arrow_map, chunks, documents, materialize, type_of
 
 BLOCK = 1 << 18
 END_ID = 2
 #: Words whose ids a worker remembers in each of two generations: when the young one is full it becomes the old one, and words met again
 #: move back. Results do not depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: New words that the library encodes as one text.
 TOGETHER = 64
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands between words of such a text; it is one id, which no word without this character has.
 _MARK = "\x01"
-_ENDED = re.compile(rb"[A-Za-z0-9][.,]").fullmatch
+_ENDED = re.compile(rb"[A-Za-z0-9][!-/:-@\[-`{-~]").fullmatch
 
 _state: dict = {}
 
@@ -73,12 +73,12 @@ class WordTokenizer:
     def _learn(self, fresh: set[bytes]) -> None:
         """Ids of words not met before: the library encodes them with marks between them, and the marks' ids tell where each ends.
 
-        A letter or digit of ASCII and a last comma or full stop are parts apart, so such a word has the ids of what stands before and those of the sign.
+        A letter or digit of ASCII and a last sign are parts apart, so such a word has the ids of what stands before and those of the sign.
         """
         mark, known = _MARK.encode(), self.young
         known[b""] = b""
         ended = [w for w in fresh if _ENDED(w[-2:])]
-        fresh = fresh.difference(ended).union(w for w in (*(w[:-1] for w in ended), b",", b".") if w not in known)
+        fresh = fresh.difference(ended).union(x for w in ended for x in (w[:-1], w[-1:]) if x not in known)
         alone = [w for w in fresh if mark in w]
         for w, ids in zip(alone, self._encode([w.decode() for w in alone]), strict=True):
             known[w] = np.array(ids, self.kind).tobytes()
@@ -102,7 +102,7 @@ class WordTokenizer:
         """
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         words = split.flatten().dictionary_encode()
-        which, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+        which, names = words.indices.to_numpy(), words.dictionary
         # the tokenizer lower-cases everything but special tokens; ASCII alone has no marks that would compose otherwise then
         plain = pc.and_(pc.string_is_ascii(names), pc.invert(pc.match_substring(names, "<|")))
         distinct = pc.if_else(plain, pc.ascii_lower(names), names).cast(pa.binary()).to_pylist()
@@ -115,13 +115,13 @@ class WordTokenizer:
             self._learn(fresh - again)
         # one more "word" ends each text; splitting leaves empty words, which have no ids
         found = [*map(young.__getitem__, distinct), self.end]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // len(self.end)
-        begin = np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) // len(self.end)
+        begin = np.cumsum(size, dtype=np.int32) - size
         ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
         which = np.insert(which, ends, len(distinct))
         size, begin = size[which], begin[which]
-        upto = np.cumsum(size)
-        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()))]
+        upto = np.cumsum(size, dtype=np.int32)  # a slice of a batch has fewer than 2 ** 31 bytes
+        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()), dtype=np.int32)]
         offsets = np.append(0, upto[ends + np.arange(len(ends))]) * len(self.end)
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
@@ -138,7 +138,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def f(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "body": _tokenizer(path, end_id).bodies(batch.column("text"))}
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, body binary")
+    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, body binary", 2 * CHUNK)
 
 
 def frequencies(bodies: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
