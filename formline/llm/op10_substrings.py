@@ -34,11 +34,11 @@ from formline.llm.common import arrow_map, chunks, documents, materialize, texts
 WINDOW = 13
 GRAM = 4
 #: Words that a shard indexes, about.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Runs of one minimiser beyond which its windows are dealt out singly.
 HOT_RUNS = 1 << 18
 #: Runs that a task looks at together for minimisers that it finds shared by itself; results do not depend on it.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 17
 #: Bytes that stand for a word in a shard: the low ones of its 64-bit hash.
 _WORD_BYTES = 6
 
@@ -322,7 +322,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     for key in zip(shard, h, found, strict=True):
                         if least.setdefault(key, doc) > doc:
                             least[key] = doc
-                if len(least) > 300_000:
+                if len(least) > 100_000:
                     yield flush()
         if least:
             yield flush()
