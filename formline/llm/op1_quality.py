@@ -42,8 +42,8 @@ def statistics(raw: bytes) -> tuple[int, ...]:
         number = {w: i for i, w in enumerate(dict.fromkeys(words))}
         ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
         k = len(number)
-        windows = ids[:-2] * k * k + ids[1:-1] * k + ids[2:]
-        _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
+        _, pairs = np.unique(ids[:-1] * k + ids[1:], return_inverse=True)  # by pairs first: a triple of numbers may not fit a word
+        _, inverse, counts = np.unique(pairs[:-1] * k + ids[2:], return_inverse=True, return_counts=True)
         if (again := counts[inverse] > 1).any():
             covered = np.zeros(n, bool)
             for shift in range(3):
@@ -77,7 +77,7 @@ RULES: dict[str, Callable[[], Column]] = {
 
 
 def with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns `carry` and the statistics of each row's text. A null text is empty."""
+    """The columns `carry` and the statistics s_* of each row's text, a row for each row; carry has no names of that form. A null text is empty."""
     schema = ", ".join([*(f"`{c}` {type_of(docs, c)}" for c in carry), *(f"s_{c} long" for c in _LONG)])
 
     def f(batch: pa.RecordBatch) -> dict:
@@ -143,21 +143,24 @@ def judged(stats: DataFrame, model: tuple[float, np.ndarray], keep_at: float = K
 
 
 def filter_quality(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns.
+    """The rows of docs that the rules keep, with all their columns, whatever their names.
 
-    Texts are read twice: for the corpus' vote patterns, and to judge each row in place, so no text is shuffled. Null and empty
-    texts have no words and are rejected; repeated rows get the same verdict; an empty table gives an empty result.
+    Rows are stored once with their statistics, for the corpus' vote patterns and to judge each row, so no text is shuffled or looked at twice.
+    Null and empty texts have no words and are rejected; repeated rows get the same verdict; a text of any length is judged whole; an
+    empty table gives an empty result.
     """
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    text = f"c{docs.columns.index('text')}"
-    model = label_model(with_statistics(docs.select("text"), []))
-    carried = inner.withColumn("text", F.col(text)).withColumn("text", F.col("text").cast("string"))
-    rows = judged(with_statistics(carried, list(inner.columns)), model, keep_at).where("kept")
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names).withColumn("text", F.col(f"c{docs.columns.index('text')}").cast("string"))
+    stats = materialize(with_statistics(inner, names), "op1-rows")
+    return judged(stats, label_model(stats), keep_at).where("kept").select(*names).toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good."""
+    """All documents: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good.
+
+    A null text is empty: all counts are 0, base_failed is true. Repeated rows each get their row and one verdict; texts are read whole; an empty
+    table gives an empty result; other columns are not read.
+    """
     stats = materialize(with_statistics(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"]), "op1-statistics")
     out = judged(stats, label_model(stats))
     return out.select("doc_id", *[F.col(f"s_{c}").alias(c) for c in _LONG[:5]], "base_failed", "kept", "p_good")

@@ -28,6 +28,8 @@ ENDPOINT = r"""(?i:https?|s3|ftp|jdbc:[a-z]+)://[A-Za-z0-9._~%:/?&=@+-]+"""
 KINDS = {"assign": "key", "access": "id", "hex": "key", "weak_id": "id", "weak_key": "key", "endpoint": "endpoint"}
 _ORDER = list(KINDS)
 SCOPE = 160
+#: Rows with spans that are broadcast at most, and a quarter of their spans; beyond, texts meet them by a shuffled join.
+BROADCAST_ROWS = 200_000
 _SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
@@ -105,23 +107,30 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of the text replaced by mark; overlapping spans become one mark. Rows without spans stay as they are."""
-    spans = scan(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_s_doc_id"), "text_hash", F.array_sort("spans").alias("_s_spans"))
-    spans = spans.dropDuplicates(["_s_doc_id", "text_hash"]).withColumnRenamed("text_hash", "_s_hash")
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_s_doc_id")) & (own == F.col("_s_hash")), "left")
+    """docs with every reported span of the text replaced by mark; overlapping spans become one mark. Rows without spans stay as they are.
+
+    n_chars, if there is such a column, follows the text; other columns stay, whatever their names. Nulls, repeated rows and empty tables: as in scan().
+    """
+    found = materialize(scan(docs, scope).where(F.size("spans") > 0).select("doc_id", "text_hash", F.array_sort("spans").alias("spans")).dropDuplicates(["doc_id", "text_hash"]), "op4-spans")
+    n_rows, n_spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    few = n_rows <= BROADCAST_ROWS and n_spans <= 4 * BROADCAST_ROWS
+    rows = rows.join(F.broadcast(found) if few else found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("text_hash")), "left")
+    old = F.col("row.text")
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
-        between = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+        between = F.substring(old, acc["at"] + 1, x["start"] - acc["at"])
         out = F.when(fresh, F.concat(acc["out"], F.array(between))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_s_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], mark), F.lit(mark), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_s_spans").isNull(), F.col("text")).otherwise(clean)
-    changes = {"text": text} | ({"n_chars": F.when(F.col("_s_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.withColumns(changes).select(*docs.columns)
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], mark), F.lit(mark), F.substring(old, acc["at"] + 1, F.length(old))))
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), clean))
+    changes = {"text": F.coalesce("clean", old)}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.when(F.col("clean").isNotNull(), F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changes.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,8 @@ def _fold(bitmaps: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set) of every row, and of those whose set is new to the task prefix (shingle hashes, rarest first) and bits (bitmap)."""
+    """The columns of docs but the text, and n, f1, f2 (fingerprint of the set) of every row, and of those whose set is new to the task prefix (shingle hashes, rarest first) and bits (bitmap)."""
+    carry = [c for c in docs.columns if c != "text"]
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # 4 * COUNTERS bytes
     met: set[tuple[int, int]] = set()
 
@@ -176,9 +177,9 @@ def sketches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     bits = bitmap(h, _bits(n)).tobytes()
             for k, x in zip(out, (n, f1, f2, prefix, bits), strict=True):
                 out[k].append(x)
-        return {"doc_id": batch.column("doc_id")} | out
+        return {c: batch.column(c) for c in carry} | out
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, n long, f1 long, f2 long, prefix array<long>, bits binary")
+    return arrow_map(docs, f, ", ".join(f"{c} {type_of(docs, c)}" for c in carry) + ", n long, f1 long, f2 long, prefix array<long>, bits binary")
 
 
 def chains(sketch: DataFrame) -> DataFrame:
@@ -483,42 +484,43 @@ def _traverse(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, pruned:
 
 
 def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between classes, from members(g, n, f1, f2, c, copies).
+    """Links between classes, from members(g, n, f1, f2, copies, one); one is the row (doc_id, t) of docs(doc_id, t, text) that stands for a class.
 
-    Rows of two kinds: (a, b, null, null, null), links of classes c that connect all that is linked, and (null, null, f1, f2, n_links), how many rows
+    Rows of two kinds: (a, b, null, null, null), links of classes f1 that connect all that is linked, and (null, null, f1, f2, n_links), how many rows
     a class is linked with in a unit. Every pair of classes of a group belongs to one unit, if its sizes allow a link.
     """
-    dealt = materialize(units(members, BLOCK).select(F.col("c").cast(type_of(docs, "doc_id")).alias("doc_id"), "g", "f1", "f2", "c", "copies", "units"), "op5-units")
+    dealt = units(members, BLOCK).select(F.col("one.doc_id").alias("_doc_id"), F.col("one.t").alias("_t"), "g", "f1", "f2", "copies", "units")
+    dealt = materialize(dealt, "op5-units")
     few = dealt.count() <= BROADCAST_ROWS
-    mine = docs.select("doc_id", "text").join(F.broadcast(dealt) if few else dealt, "doc_id")
+    mine = docs.join(F.broadcast(dealt) if few else dealt, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t") == F.col("_t")))
 
     def sets(batch: pa.RecordBatch) -> dict:
         found = [shingles(t) for t in texts(batch)]
-        # a doc_id may have rows of other sets
+        # t is 64 bits of the text, the fingerprints are 128 of its set
         right = [(fingerprint(h, 1), fingerprint(h, 2)) == f for h, f in zip(found, zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True), strict=True)]
-        return {k: batch.column(k) for k in ("g", "f1", "f2", "c", "copies", "units")} | {"s": [h.tobytes() if r else None for h, r in zip(found, right, strict=True)]}
+        return {k: batch.column(k) for k in ("g", "f1", "f2", "copies", "units")} | {"s": [h.tobytes() if r else None for h, r in zip(found, right, strict=True)]}
 
-    content = arrow_map(mine, sets, "g long, f1 long, f2 long, c long, copies long, units array<struct<u:array<long>,side:int>>, s binary").where("s is not null")
-    content = content.select("g", "f1", "f2", "c", "copies", "s", F.explode("units").alias("_u")).select("g", "f1", "f2", "c", "copies", "s", "_u.u", "_u.side")
+    content = arrow_map(mine.select("text", "g", "f1", "f2", "copies", "units"), sets, "g long, f1 long, f2 long, copies long, units array<struct<u:array<long>,side:int>>, s binary").where("s is not null")
+    content = content.select("g", "f1", "f2", "copies", "s", F.explode("units").alias("_u")).select("g", "f1", "f2", "copies", "s", "_u.u", "_u.side")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         u = pdf["u"].iat[0]
         own = len(u) == 1 or u[1:3].tolist() == u[3:5].tolist()
-        pdf = pdf.drop_duplicates(["f1", "f2"])  # a doc_id may stand for several sets
+        pdf = pdf.drop_duplicates(["f1", "f2"])  # the row that stands for a class may be there several times
         edges, counted = [], []
         for _, part in pdf.groupby("g", sort=False):
             part = part.sort_values("side", kind="stable")
             sets = [np.frombuffer(x, np.uint64) for x in part["s"]]
-            rows, shift = part[["c", "f1", "f2", "copies"]].to_numpy(np.int64), 0 if own else int((part["side"] == 0).sum())
+            rows, shift = part[["f1", "f2", "copies"]].to_numpy(np.int64), 0 if own else int((part["side"] == 0).sum())
             forest, tree, counts = Groups(len(rows)), [], np.zeros(len(rows), np.int64)
             for x, y in _linked(sets) if own else _linked(sets[:shift], sets[shift:]):
                 y = y + shift
-                np.add.at(counts, x, rows[y, 3])
-                np.add.at(counts, y, rows[x, 3])
+                np.add.at(counts, x, rows[y, 2])
+                np.add.at(counts, y, rows[x, 2])
                 tree += [(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if forest.join(p, q)]
             some = np.flatnonzero(counts)
             edges.append(rows[np.array(tree, np.int64).reshape(-1, 2), 0])
-            counted.append(np.column_stack([rows[some, 1:3], counts[some]]))
+            counted.append(np.column_stack([rows[some, :2], counts[some]]))
         edges, counted = np.concatenate(edges), np.concatenate(counted)
         names = ["a", "b", "f1", "f2", "n_links"]
         return pd.concat([pd.DataFrame(edges, columns=names[:2], dtype="Int64"), pd.DataFrame(counted, columns=names[2:], dtype="Int64")])[names]
@@ -526,35 +528,71 @@ def _links(members: DataFrame, docs: DataFrame) -> DataFrame:
     return content.groupBy("u").applyInPandas(f, "a long, b long, f1 long, f2 long, n_links long")
 
 
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows are those of docs(doc_id, text, ...) without the text, with n, f1, f2 (the class; n is 0 without words), copies (rows of
+    the class) and n_links (other rows that the row is linked with); links(a, b) are f1 of linked classes, as many as connect all that is linked."""
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    sketch = materialize(sketches(docs, word_counts(docs)), "op5-sketches")
+    key = ["f1", "f2", "n"]
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
+    found = sketch.where("n > 0").groupBy(*key).agg(one, F.count("*").alias("copies"), F.max("bits").alias("bits"))
+    found = materialize(found, "op5-classes")
+    candidates = components(chains(sketch), name="op5-candidates")
+    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(found, "f1").select("g", *key, "bits")
+    members = materialize(refined(groups).join(found, "f1").select("g", *key, "copies", "one"), "op5-members")
+    links = materialize(_links(members, docs.select("doc_id", "t", "text")), "op5-links")
+    counts = links.where("f1 is not null").groupBy("f1", "f2").agg(F.sum("n_links").alias("others"))
+    rows = sketch.drop("prefix", "bits", "t").join(found.select(*key, "copies"), key, "left").join(counts, ["f1", "f2"], "left")
+    n_links = F.when(F.col("n") == 0, 0).otherwise(F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    return rows.withColumn("n_links", n_links).drop("others"), links.where("a is not null").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links for every row of docs: the smallest doc_id that links lead to, itself included, and with how many other rows it is linked.
 
-    n_links counts rows, copies of the same set among them; it is 0 without words. Rows of sets that no row with a doc_id has are not compared: their n_links is null, and others do not count them.
+    doc_id is an integer. n_links counts rows, copies of the same set among them; it is 0 without words.
 
-    Nulls: a null text is empty; texts without words have an empty set and are linked with nothing. A null doc_id has no
-    component (null) unless its set equals that of another row, and never stands for others. Rows with equal doc_id are one node.
-    An empty table gives an empty result; other columns are not read.
+    Nulls: a null text is empty; texts without words have an empty set and are linked with nothing. A null doc_id stands for nothing: such a
+    row has the component that its links lead to, or none (null). Rows with equal doc_id are one node. An empty table gives an empty result;
+    other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
-    sketch = materialize(sketches(docs, word_counts(docs)), "op5-sketches")
-    # the smallest doc_id of each set stands for it
-    key = ["f1", "f2", "n"]
-    classes = sketch.where("n > 0").groupBy(*key).agg(F.min("doc_id").cast("long").alias("c"), F.count("*").alias("copies"), F.max("bits").alias("bits"))
-    classes = materialize(classes.where("c is not null"), "op5-classes")
-    candidates = components(chains(sketch), name="op5-candidates")
-    groups = candidates.select(F.col("node").alias("f1"), F.col("component").alias("g")).join(classes, "f1").select("g", *key, "bits")
-    members = materialize(refined(groups).join(classes, "f1").select("g", *key, "c", "copies"), "op5-members")
-    found = materialize(_links(members, docs), "op5-links")
-    links, counts = found.where("a is not null").select("a", "b"), found.where("f1 is not null").groupBy("f1", "f2").agg(F.sum("n_links").alias("others"))
-    rows = sketch.select("doc_id", *key).join(classes.drop("bits"), key, "left")
+    rows, links = classes(docs.select("doc_id", "text"))
+    rows = materialize(rows, "op5-rows")
     # rows of one doc_id that differ in their sets are one node as well
-    several = rows.where("n > 0").groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-    same = rows.join(several, "doc_id").select(F.col("c").alias("a"), F.col("a").alias("b")).where("a <> b")
+    several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("b")).where("a <> b")
+    same = rows.where("n > 0").join(several, "doc_id").select(F.col("f1").alias("b"), "a").where("a <> b")
     found = components(links.unionByName(same), name="op5-components")
-    out = rows.join(found, F.col("c") == F.col("node"), "left").join(counts, ["f1", "f2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "c", F.col("doc_id").cast("long"))).otherwise(F.col("doc_id").cast("long"))
-    n_links = F.when(F.col("n") == 0, 0).when(F.col("c").isNotNull(), F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_links.alias("n_links"))
+    rows = rows.join(found, F.col("f1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "f1"))
+    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").cast("long").alias("component_id"))
+    rows = rows.join(least, "component", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates: of the rows that links connect, the one with the smallest doc_id stays (null last, then by hashes of the whole row).
+
+    Of rows that are equal in all columns one stays. Rows of one doc_id with different texts are rows of their own; texts without words, null ones among them, all
+    stay. Columns may have any names. An empty table gives an empty result.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*columns).alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(WORDS), *columns).alias("r2"))
+    rows, links = classes(named.select("doc_id", "text", "r1", "r2"))
+    rows = materialize(rows.where("n > 0").select("doc_id", "r1", "r2", "f1"), "op5-rows")
+    found = components(links, name="op5-components")
+    rows = rows.join(found, F.col("f1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "f1"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")).alias("m"))
+    rows = rows.join(first, "component")
+    # each row that does not stay, and each that stays but is there several times
+    kept = (F.col("r1") == F.col("m.r1")) & (F.col("r2") == F.col("m.r2"))
+    marked = rows.groupBy(F.col("r1").alias("m1"), F.col("r2").alias("m2")).agg(F.max(kept).alias("kept"), F.count("*").alias("times")).where("not kept or times > 1")
+    marked = materialize(marked, "op5-marked")
+    few = marked.count() <= BROADCAST_ROWS
+    out = named.join(F.broadcast(marked) if few else marked, (F.col("r1") == F.col("m1")) & (F.col("r2") == F.col("m2")), "left")
+    stay = out.where("kept is null").select("row")
+    if not marked.where("kept").isEmpty():
+        stay = stay.unionByName(out.where("kept").dropDuplicates(["r1", "r2"]).select("row"))
+    return stay.select("row.*")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

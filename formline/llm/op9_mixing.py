@@ -84,16 +84,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return out.drop(*[c for c in out.columns if c.startswith("_m_")])
 
 
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: every row of mix() as often as its taken words say, the row in which a budget ends once as its first words joined by one space."""
+def emit(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: every row of docs, whole and with all its columns, whatever their names, as often as mix() takes its words.
+
+    The row in which a source's budget ends is there once more if the budget takes half of its words or more. Rows without words are there
+    as often as whole epochs ask for. Nulls, ties and empty tables: as in mix().
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mixed = mix(docs.select(row, "doc_id", "source", n_words(F.col("text")).alias("size")), weights, share, most, seed, "size")
     part = F.col("taken") - F.col("epochs") * F.col("size")
-    copies = F.col("epochs") + F.when((part == F.col("size")) & (part > 0), 1).otherwise(0)
-    whole = mixed.where(copies > 0).select(F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy"), *columns).drop("_copy")
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part.cast("int")), " ")
-    cut = mixed.where((part > 0) & (part < F.col("size"))).withColumn("text", first_words)
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(mixed.schema["n_chars"].dataType))
-    return whole.unionByName(cut.select(*columns))
+    copies = F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
+    return mixed.where(copies > 0).select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from formline.llm import (
     op1_quality,
     op2_pieces,
@@ -15,6 +14,7 @@ from formline.llm import (
     op9_mixing,
     op10_substrings,
     oracles,
+    pipeline,
 )
 
 
@@ -31,9 +31,9 @@ def queries() -> dict:
         op9_mixing.op9_mixing,
         op10_substrings.op10_substrings,
     ]
-    return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
+    return {**{f.__name__: f for f in found}, "pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict:
     out = {"op5_jaccard": oracles.JACCARD, "op9_mixing": op9_mixing.ORACLE, "op10_substrings": oracles.SUBSTRINGS}
-    return {**out, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return {**out, **({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})}

@@ -322,7 +322,8 @@ def test_pipeline(spark, tmp_path, hard):
     assert {r["doc_id"] for r in seen["near duplicates"]} == set(range(40))
     assert all("abcdef123456" not in r["text"] for r in seen["secrets"])
     total = sum(len(r["text"].split()) for r in seen["secrets"])
-    assert abs(sum(len(r["text"].split()) for r in seen["mix of sources"]) - 1.5 * total) <= 3
+    # whole documents: each source is off by half a document at most
+    assert abs(sum(len(r["text"].split()) for r in seen["mix of sources"]) - 1.5 * total) <= 3 * 61
     by = defaultdict(set)
     for r in seen["sampled segmentations"]:
         by[r["doc_id"], len(r["ids"])].add(r["sample"])

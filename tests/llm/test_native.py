@@ -65,6 +65,18 @@ def test_linking(spark):
     assert {text: got[i] for i, text in enumerate(CASES)} == CASES
 
 
+def test_redaction_keeps_columns(spark, monkeypatch, hard):
+    """Names that the operator uses itself, and texts that meet their spans by a shuffle."""
+    rows = hard.selectExpr("*", "11 row", "12 own", "13 spans", "14 clean", "15 text_hash", "16 _s_spans")
+    want = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["n_chars"] or 0) for r in op4.redact(rows).collect())
+    monkeypatch.setattr(op4, "BROADCAST_ROWS", 0)
+    got = op4.redact(rows)
+    assert got.columns == rows.columns
+    got = got.collect()
+    assert {(r["size"], r["row"], r["own"], r["spans"], r["clean"], r["text_hash"], r["_s_spans"]) for r in got} == {(1, 11, 12, 13, 14, 15, 16)}
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["n_chars"] or 0) for r in got) == want
+
+
 def test_redaction(spark, hard):
     out = {(r["doc_id"], r["text"]) for r in op4.redact(hard).collect()}
     assert (10, "[SECRET] [SECRET]") in out
@@ -142,12 +154,19 @@ def test_mix(spark, hard):
 
 
 def test_mix_as_rows(spark, hard):
-    mixed = op9.mix(hard)
-    taken = Counter()
-    for r in mixed.collect():
-        taken[r["doc_id"]] += r["taken"]
+    mixed = {}
+    for r in op9.mix(hard).collect():
+        mixed.setdefault((r["doc_id"], r["text"]), []).append(r)
     out = Counter()
-    for r in op9.emit(mixed, hard.columns).collect():
-        out[r["doc_id"]] += len((r["text"] or "").encode().split())
-        assert r["text"] is None or r["n_chars"] == len(r["text"])
-    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in out.items() if v}
+    rows = op9.emit(hard)
+    assert rows.columns == hard.columns
+    for r in rows.collect():
+        out[r["doc_id"], r["text"]] += 1
+        assert (r["n_chars"], r["size"], r["target"]) == (None if r["text"] is None else len(r["text"]), 1, 10)
+    for key, some in mixed.items():
+        want = 0
+        for r in some:
+            part = r["taken"] - r["epochs"] * r["size"]
+            want += r["epochs"] + (part > 0 and 2 * part >= r["size"])
+        assert out[key] == want
+    assert op9.emit(hard.limit(0)).count() == 0
