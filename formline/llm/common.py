@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import json
 import os
 import tempfile
@@ -96,16 +97,46 @@ def chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]
             yield piece
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType, most: int = CHUNK) -> DataFrame:
-    """f applied to slices of df's Arrow batches, of about `most` bytes; it returns columns by name (lists or arrays), or None for no rows."""
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers live on after a task, and what they hold is memory that later stages lack."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # there in some C libraries alone
+        trim(0)
+
+
+def settled(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, a function over a task's batches, with give_back() when the task ends."""
+
+    def batches(it: Iterator) -> Iterator:
+        try:
+            yield from f(it)
+        finally:
+            give_back()
+
+    return batches
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType, most: int = CHUNK, after: Callable[[], None] | None = None) -> DataFrame:
+    """f applied to slices of df's Arrow batches, of about `most` bytes; it returns columns by name (lists or arrays), or None for no rows.
+
+    after is called when a task ends.
+    """
     spark_schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for piece in chunks(batch, most):
-                if (out := f(piece)) is not None:
-                    yield pa.RecordBatch.from_arrays([x.cast(c.type) if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
+        try:
+            for batch in it:
+                yield from results(batch)
+        finally:
+            if after is not None:
+                after()
+            give_back()
+
+    def results(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in chunks(batch, most):
+            if (out := f(piece)) is not None:
+                yield pa.RecordBatch.from_arrays([x.cast(c.type) if isinstance(x := out[c.name], pa.Array) else pa.array(x, c.type) for c in arrow], schema=arrow)
 
     return df.mapInArrow(batches, spark_schema)
 

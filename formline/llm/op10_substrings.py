@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm.common import arrow_map, chunks, documents, materialize, texts, type_of
+from formline.llm.common import arrow_map, chunks, documents, materialize, settled, texts, type_of
 
 WINDOW = 13
 GRAM = 4
@@ -213,7 +213,7 @@ def _minimisers(docs: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("text", "t").mapInArrow(f, "h long, t long, at long")
+    return docs.select("text", "t").mapInArrow(settled(f), "h long, t long, at long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _shared(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array((x[:, 2] >> 8).astype(np.int32)), pa.array((x[:, 2] & 255).astype(np.int32))], names=["h", "t", "first", "n"])
 
     where = F.when(F.col("at").bitwiseAND(3) == _KNOWN, F.xxhash64("h", "t")).otherwise(F.xxhash64("h"))
-    return rows.repartition(where).sortWithinPartitions("h", "t", "at").mapInArrow(f, "h long, t long, first int, n int")
+    return rows.repartition(where).sortWithinPartitions("h", "t", "at").mapInArrow(settled(f), "h long, t long, first int, n int")
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +345,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = first_documents(np.split(words.view("<u8").reshape(-1), np.cumsum(sizes)[:-1]), pdf["doc"].to_numpy(np.int64))
         return pd.DataFrame({"s_h": pdf["h"], "s_c": np.fromiter(map(xxhash.xxh3_64_intdigest, pdf["content"]), np.uint64, len(pdf)).view(np.int64), "docs": found})
 
-    answers = mine.mapInArrow(once, "shard int, h long, content binary, doc long").groupBy("shard").applyInPandas(search, "s_h long, s_c long, docs array<long>")
+    answers = mine.mapInArrow(settled(once), "shard int, h long, content binary, doc long").groupBy("shard").applyInPandas(search, "s_h long, s_c long, docs array<long>")
     at = arrow_map(mine, places, "id long, t long, t2 long, h long, first int, c long")
     hits = at.join(answers, (F.col("h") == F.col("s_h")) & (F.col("c") == F.col("s_c")))
     starts = F.filter(F.transform("docs", lambda x, i: F.when(x < F.col("id"), F.col("first") + i)), lambda x: x.isNotNull())

@@ -478,7 +478,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, path: str | None = None) -> DataFr
                     out[c].append(x)
         return {"doc_id": batch.column("doc_id").take(pa.array(out.pop("row"), pa.int64()))} | out
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double")
+    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double", after=lambda: _lattices(path).clear())
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -512,4 +512,4 @@ def op2_pieces(spark: SparkSession, sf_dir: str, k: int = SAMPLES) -> DataFrame:
             out["decoded"].append(all(x == raw for x in vocabulary.decode(ids)))
         return {"doc_id": batch.column("doc_id")} | out
 
-    return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean")
+    return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean", after=lambda: _lattices(path).clear())

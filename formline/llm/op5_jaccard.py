@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm.common import arrow_map, chunks, documents, materialize, texts, type_of
+from formline.llm.common import arrow_map, chunks, documents, materialize, settled, texts, type_of
 from formline.llm.components import components
 
 WORDS = 5
@@ -110,7 +110,7 @@ def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
     schema = "part int, counts binary"
     # in two steps, so that no group has more than a thousandth of the tasks' tables
-    some = docs.select("text").mapInArrow(f, schema).withColumn("some", F.spark_partition_id() % 1024)
+    some = docs.select("text").mapInArrow(settled(f), schema).withColumn("some", F.spark_partition_id() % 1024)
     once = some.groupBy("part", "some").applyInPandas(add, schema)
     rows = once.groupBy("part").applyInPandas(add, schema).collect()
     out = np.zeros((parts, counters // parts), "<u4")
@@ -208,7 +208,7 @@ def chains(sketch: DataFrame) -> DataFrame:
 
     late = F.col("pos") > F.expr(f"n - (2 * {PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
     rows = sketch.select(F.posexplode("prefix").alias("pos", "t"), "n", "f1").select("t", (2 * F.col("n") + late.cast("int")).cast("int").alias("k"), "f1")
-    return rows.repartition("t").sortWithinPartitions("t", "k", "f1").mapInArrow(f, "a long, b long").distinct()
+    return rows.repartition("t").sortWithinPartitions("t", "k", "f1").mapInArrow(settled(f), "a long, b long").distinct()
 
 
 def units(members: DataFrame, most: int) -> DataFrame:
