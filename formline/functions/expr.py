@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from collections.abc import Sequence
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,17 +91,26 @@ def team_code(value: Column | str) -> Column:
 
 
 
+def sum_horizontal(names: Sequence[str]) -> Column:
+    """Sum of columns in a row; null ones count 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in names])
+
+
+@cache
+def _ascii_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters above ASCII that compatibility decomposition turns into one ASCII character, and those that it turns into several."""
+    table = {c: x for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (x := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode())}
+    return {c: x for c, x in table.items() if len(x) == 1}, {c: x for c, x in table.items() if len(x) > 1}
+
 
 def name_key(value: Column | str) -> Column:
     """A key for comparing names: without accents, case, generation suffixes and anything but letters and digits.
 
-    Letters with marks become plain ones if Latin decomposition covers them (decomposed marks are dropped first); other letters
-    above ASCII vanish, as they would on encoding to it.
+    Letters become what compatibility decomposition leaves of them in ASCII; other characters vanish, as they would on encoding to it.
     """
-    import unicodedata
-
-    table = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0xA0, 0x250))}
-    single = {c: x.lower() for c, x in table.items() if len(x) == 1}
-    ascii_name = F.lower(F.translate(col(value), "".join(single), "".join(single.values())))
-    ascii_name = F.regexp_replace(ascii_name, r"[^\x00-\x7F]", "")
+    single, several = _ascii_letters()
+    text = col(value)
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(lookup(c, several), c)), "")
+    text = F.when(text.rlike("[" + "".join(several) + "]"), wide).otherwise(text)
+    ascii_name = F.lower(F.regexp_replace(F.translate(text, "".join(single), "".join(single.values())), r"[^\x00-\x7F]", ""))
     return F.regexp_replace(F.regexp_replace(ascii_name, r"\b(jr|sr|ii|iii|iv)\b\.?", ""), "[^a-z0-9]+", "")

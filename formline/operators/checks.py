@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formline import vocab
+from formline.functions import expr as X
 
 
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "table") -> None:
@@ -58,6 +59,13 @@ def exclusive_outcomes(df: DataFrame) -> None:
         raise ValueError(f"outcomes of a pitch are not exclusive: {found}")
 
 
+def with_exclusive_outcomes(df: DataFrame) -> DataFrame:
+    """df; evaluating a row whose strikes, balls and balls in play do not add up to its pitches raises, without a job of its own."""
+    same = F.col("Pitches") == F.col("Strikes") + F.col("Balls") + F.col("BIP")
+    what = F.concat_ws(" ", F.lit("outcomes of a pitch are not exclusive: game"), F.col("game_pk").cast("string"))
+    return df.withColumn("Pitches", F.when(same, F.col("Pitches")).otherwise(F.raise_error(what).cast("long")))
+
+
 def exact_seasons(df: DataFrame, seasons: Iterable[int]) -> None:
     have = {r[0] for r in df.select("season").distinct().collect()}
     if have != set(seasons):
@@ -72,11 +80,25 @@ def park_factors(frame: DataFrame, factors: DataFrame) -> None:
 
 
 def lineups(frame: DataFrame) -> None:
-    """Nine batters a lineup wherever there is one."""
-    if found := frame.where("opp_lineup_size is not null and opp_lineup_size not in (0, 9)").limit(5).collect():
+    """Nine batters in every lineup."""
+    if found := frame.where("opp_lineup_size is null or opp_lineup_size <> 9").limit(5).collect():
         raise ValueError(f"lineups without nine batters: {[r['game_pk'] for r in found]}")
 
 
+def usage_totals(starts: DataFrame) -> None:
+    """Shares of pitch types against either hand add up to 1 at most; untracked pitches make up the rest."""
+    for hand in "LR":
+        most = starts.agg(F.max(X.sum_horizontal([f"{t}_usage_v{hand}" for t in vocab.PITCH_TYPES]))).first()[0]
+        if most is not None and most > 1 + 1e-9:
+            raise ValueError(f"shares of pitches against {hand} add up to {most}")
+
+
+def no_helpers(names: Iterable[str]) -> None:
+    """No column of an artifact is a builder's own."""
+    if left := [c for c in names if c.startswith("_")]:
+        raise ValueError(f"helper columns are left: {left}")
+
+
 def pregame_features(names: Sequence[str]) -> None:
     if twice := sorted({n for n in names if list(names).count(n) > 1}):
         raise ValueError(f"features named twice: {twice}")
@@ -116,6 +138,8 @@ def slate(lineups_: DataFrame, starters: DataFrame, require_confirmed: bool = Fa
     if wrong:
         raise ValueError(f"starters are unresolved or not the probable ones: {wrong}")
     unique_keys(starters, ("game_pk", "team_id"), "starters")
+    if require_confirmed and not starters.where("lineup_status is null or lineup_status <> 'confirmed'").isEmpty():
+        raise ValueError("starters are not confirmed")
     one = starters.select("game_pk", "team_id")
     if not one.exceptAll(sides.select("game_pk", "team_id")).isEmpty() or not sides.select("game_pk", "team_id").exceptAll(one).isEmpty():
         raise ValueError("lineups and starters are not of the same teams")

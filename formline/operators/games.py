@@ -118,7 +118,7 @@ def pitch_type_games(df: DataFrame, least: int = vocab.LEAST_APPEARANCES, check:
         *pairs,
     )
     if check:
-        checks.exclusive_outcomes(out)
+        out = checks.with_exclusive_outcomes(out)
     csw = F.col("CS") + F.col("Whiffs")
     ratios = {
         "usage_rate": ("Pitches", "TotalPitches"), "swstr_rate": ("Whiffs", "Pitches"), "whiff_rate": ("Whiffs", "Swings"), "ball_rate": ("Balls", "Pitches"), "csw_rate": (csw, "Pitches"),

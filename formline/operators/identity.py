@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formline.functions import expr as X
@@ -17,6 +19,14 @@ def player_map(register: DataFrame, order: str | None = None) -> DataFrame:
     return keep(rows, ["mlb_id"], "_at").drop("_at").orderBy("mlb_id")
 
 
+def load_player_map(spark: SparkSession, path: str, register: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The player map stored at path; made from the register's rows and stored first where there is none, or on refresh."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if refresh or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        player_map(register(), "_place").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def keep(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
     """One row of each key: the first by order, or the last."""
     over = Window.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order))
@@ -51,9 +61,9 @@ def require_names(df: DataFrame, id_column: str, name_column: str) -> None:
 
 
 def missing_ids(df: DataFrame, players: DataFrame, id_column: str) -> DataFrame:
-    """Ids of df that players lacks, numbered in chunks of 100 as the people service takes them: (mlb_id, chunk)."""
+    """Ids of df that players lacks, in chunks of 100 at most, as the people service takes them: (mlb_id, chunk). Chunks are numbered with gaps, no task sees all ids."""
     ids = df.select(F.col(id_column).cast("long").alias("mlb_id")).where("mlb_id is not null").distinct().join(players.select("mlb_id"), "mlb_id", "left_anti")
-    return ids.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy("mlb_id")) - 1) / 100).cast("int"))
+    return ids.repartitionByRange("mlb_id").sortWithinPartitions("mlb_id").withColumn("chunk", F.floor(F.monotonically_increasing_id() / 100))
 
 
 def complete(players: DataFrame, people: DataFrame) -> DataFrame:

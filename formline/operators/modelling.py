@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 from collections.abc import Mapping, Sequence
@@ -9,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formline import vocab
+
 TARGET = "k_rate"
 
 
@@ -159,6 +162,30 @@ def configurations(names: Sequence[str], families: Mapping[str, str]) -> dict[st
     return {"core": core, **{f"core+{f}": [n for n in names if n in core or n in x] for f, x in mine.items()}, "all": list(names)}
 
 
+def named_configurations(names: Sequence[str], sets: Mapping[str, Sequence[str] | None]) -> dict[str, list[str]]:
+    """Column sets by name, from tables like vocab.FEATURE_SETS: the core (no family's columns) and, of each family named, the columns with one of the endings
+    named behind it, or all. None stands for all columns. A set beside the core that adds nothing raises, if it names endings."""
+    mine = {f: [n for n in names if n == p or n.startswith(p)] for f, p in vocab.FAMILIES.items()}
+    core = [n for n in names if not any(n in x for x in mine.values())]
+    out = {}
+    for name, parts in sets.items():
+        if parts is None:
+            out[name] = list(names)
+            continue
+        out[name] = list(core)
+        for family, *endings in map(str.split, parts):
+            added = [n for n in mine[family] if not endings or n.endswith(tuple(endings))]
+            if endings and not added and sets is vocab.WINDOW_SETS:
+                raise ValueError(f"configuration {name} selects no columns of {family}")
+            out[name] += added
+    return out
+
+
+def feature_digest(names: Sequence[str]) -> str:
+    """SHA-256 of the feature names in order, a line each."""
+    return hashlib.sha256("\n".join(names).encode()).hexdigest()
+
+
 def with_gain(scores: DataFrame) -> DataFrame:
     """scores(fold, model, configuration, mae, ...) with mae_gain against the fold's and model's core configuration."""
     core = scores.where("configuration = 'core'").select("fold", "model", F.col("mae").alias("_core"))

@@ -57,11 +57,18 @@ def _bucket(mask: Column) -> Column:
 
 def half_pairs(rows: DataFrame, windows: Sequence[int]) -> DataFrame:
     """(stat, window, player, a, b): the first `window` rows against the next, for players with twice as many rows."""
-    order = Window.partitionBy("stat", "player").orderBy("game_date", "tie")
-    numbered = rows.withColumn("rn", F.row_number().over(order))
-    tried = numbered.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window")).where(F.col("rn") <= 2 * F.col("window"))
-    out = tried.groupBy("stat", "window", "player").agg(F.count("*").alias("n"), _bucket(F.col("rn") <= F.col("window")).alias("a"), _bucket(F.col("rn") > F.col("window")).alias("b"))
-    return out.where(F.col("n") == 2 * F.col("window")).drop("n")
+    key = ["stat", "player"]
+    order = Window.partitionBy(*key).orderBy("game_date", "tie")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select(*key, "is_rate", F.row_number().over(order).alias("rn"), F.sum("value").over(upto).alias("v"), F.sum("weight").over(upto).alias("w"))
+    # of each window the running sums at its end and at the end of the next one are enough: a row stands for few windows
+    ends = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: (w == F.col("rn")) | (2 * w == F.col("rn")))
+    sums = sums.where(F.size(ends) > 0).select("*", F.explode(ends).alias("window"))
+    first, second = F.col("rn") == F.col("window"), F.col("rn") == 2 * F.col("window")
+    at = lambda c, m: F.max(F.when(m, F.col(c)))
+    out = sums.groupBy("stat", "window", "player").agg(F.first("is_rate").alias("is_rate"), *[at(c, m).alias(f"{c}{i}") for c in "vw" for i, m in ((1, first), (2, second))]).where("v2 is not null")
+    part = lambda v, w: F.when(F.col("is_rate"), v / F.greatest(w, F.lit(1.0))).otherwise(v / F.col("window"))
+    return out.select("stat", "window", "player", part(F.col("v1"), F.col("w1")).alias("a"), part(F.col("v2") - F.col("v1"), F.col("w2") - F.col("w1")).alias("b"))
 
 
 def split_half(df: DataFrame, stats: Mapping[str, bool], window: int, player: str = "player_name", least: int = 50) -> DataFrame:
@@ -122,15 +129,17 @@ def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targe
     rows = rows.where(F.col("num").isNotNull() & F.col("den").isNotNull() & ~F.isnan("num") & ~F.isnan("den"))
     key = [*by, "stat", "denom", "player"]
     order = Window.partitionBy(*key).orderBy("game_date", "tie")
-    rows = rows.withColumns({"rn": F.row_number().over(order), "cs": F.sum("den").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    rows = rows.withColumn("most", F.max("cs").over(Window.partitionBy(*key)))
-    tried = rows.select("*", F.explode("goals").alias("target")).drop("goals").where(F.col("most") >= 2 * F.col("target"))
-    over = Window.partitionBy(*key, "target")
-    reached = F.col("cs") >= F.col("target")
-    tried = tried.withColumns({"i1": F.min(F.when(reached, F.col("rn"))).over(over), "cs1": F.min(F.when(reached, F.col("cs"))).over(over)})
-    tried = tried.withColumn("i2", F.min(F.when((F.col("rn") > F.col("i1")) & (F.col("cs") - F.col("cs1") >= F.col("target")), F.col("rn"))).over(over))
-    one, two = F.col("rn") <= F.col("i1"), (F.col("rn") > F.col("i1")) & (F.col("rn") <= F.col("i2"))
-    sums = tried.where(F.col("i2").isNotNull()).groupBy(*key, "target").agg(*[F.sum(F.when(m, F.col(c))).alias(f"{c}{i}") for i, m in ((1, one), (2, two)) for c in ("num", "den")])
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*key, "goals", "den", F.row_number().over(order).alias("rn"), F.sum("den").over(upto).alias("cs"), F.sum("num").over(upto).alias("cn"))
+    # a target is first reached by the one row whose running sum passes it
+    passed = F.filter("goals", lambda t: (t > F.col("cs") - F.col("den")) & (t <= F.col("cs")))
+    one = rows.where(F.size(passed) > 0).select(*key, F.explode(passed).alias("target"), F.col("cs").alias("den1"), F.col("cn").alias("num1"))
+    # where it is reached again: the first row from den1 + target on, found by standing the wanted sums among the rows, largest first
+    wanted = one.select(*key, (F.col("den1") + F.col("target")).alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("rn"), "target", "den1", "num1", F.lit(None).cast("double").alias("cs"), F.lit(None).cast("double").alias("cn"))
+    there = rows.select(*key, F.col("cs").alias("at"), F.lit(0).alias("kind"), "rn", F.lit(None).cast("int").alias("target"), *[F.lit(None).cast("double").alias(c) for c in ("den1", "num1")], "cs", "cn")
+    latest = Window.partitionBy(*key).orderBy(F.desc("at"), "kind", F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    both = wanted.unionByName(there).withColumns({c: F.last(c, ignorenulls=True).over(latest) for c in ("cs", "cn")}).where("kind = 1 and cs is not null")
+    sums = both.select(*key, "target", "den1", "num1", (F.col("cs") - F.col("den1")).alias("den2"), (F.col("cn") - F.col("num1")).alias("num2"))
     if strict:
         sums = sums.where("den1 > 0 and den2 > 0")
     part = lambda i: (F.col(f"num{i}") / F.greatest(F.col(f"den{i}"), F.lit(1e-300 if strict else 1.0)))
@@ -146,18 +155,14 @@ def stabilization_by_denominator(df: DataFrame, plan: Mapping[tuple[str, str], b
 def bootstrap(pairs: DataFrame, n_boot: int = 300, least: int = 20, seed: int = 42, by: Sequence[str] = ("stat", "denom")) -> DataFrame:
     """(by, target, median, low, high, valid): quantiles of r over resamples of players, duplicates kept.
 
-    A player's number of draws is Poisson(1), found from a hash of seed, resample and player, so a resample needs no list of players and
-    no join, and reruns agree; draws weigh a player's pair in weighted moments. Resamples are rows, all at once.
+    Each resample draws as many players as there are, by a hash of seed, resample and place, so reruns agree. Resamples are rows, all at
+    once; a draw meets its player by an equi-join on its number.
     """
-    u = (F.xxhash64(F.lit(seed), F.col("boot"), F.col("player")).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    # inverse of the Poisson(1) distribution function, which is above 1 - 1e-15 at 16
-    steps, p, upto = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 17):
-        upto += p
-        steps.append(upto)
-        p /= k
-    weight = sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
-    tried = pairs.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).withColumn("w", weight).where("w > 0")
+    group = [*by, "target"]
+    numbered = pairs.select(*group, "a", "b", F.row_number().over(Window.partitionBy(*group).orderBy("player")).alias("i"), F.count("*").over(Window.partitionBy(*group)).alias("players"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "boot", "i"), F.col("players")) + 1
+    draws = numbered.select(*group, "players", "i", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).select(*group, "players", "boot", draw.alias("i"))
+    tried = draws.join(numbered.select(*group, "i", "a", "b"), [*group, "i"]).withColumn("w", F.lit(1))
     key = [*by, "target", "boot"]
     w, a, b = F.col("w"), F.col("a"), F.col("b")
     m = tried.groupBy(*key).agg(F.count("*").alias("players"), F.sum(w).alias("n"), *[F.sum(w * x).alias(f"s{i}") for i, x in enumerate((a, b, a * a, b * b, a * b))])
@@ -177,6 +182,43 @@ def study(df: DataFrame, specs: Mapping[str, tuple[str, str, Sequence[int]]], pl
     return crossings(curve.join(interval, [*key, "target"], "left"), key, least)
 
 
+def curves(df: DataFrame, specs: Mapping[str, tuple[str, str, Sequence[int]]], player: str = "player_name", by: Sequence[str] = (), n_boot: int = 300, least: int = 50) -> DataFrame:
+    """(by, stat, denom, target, observed_r, n_qualified_players, median, low, high, valid, median_denominator, typical_starts): the study's curve of each statistic at each target."""
+    targets = {(num, den): goals for num, den, goals in specs.values()}
+    plan, key = dict.fromkeys(targets, True), [*by, "stat", "denom"]
+    seen = denominator_pairs(df, plan, targets, player, by=by).groupBy(*key, "target").agg(F.when(F.count("*") >= least, pearson("a", "b")).alias("observed_r"))
+    strict = denominator_pairs(df, plan, targets, player, strict=True, by=by)
+    qualified = strict.groupBy(*key, "target").agg(F.count("*").alias("n_qualified_players"))
+    denominators = F.array(*[F.struct(F.lit(d).alias("denom"), F.col(d).cast("double").alias("x")) for d in dict.fromkeys(d for _, d in targets)])
+    median = df.select(*by, F.explode(denominators).alias("d")).groupBy(*by, "d.denom").agg(F.percentile("d.x", 0.5).alias("median_denominator"))
+    out = qualified.join(seen, [*key, "target"], "left").join(bootstrap(strict, n_boot, by=key), [*key, "target"], "left").join(median, [*by, "denom"], "left")
+    return out.withColumn("typical_starts", F.try_divide("target", "median_denominator")).select(*key, "target", "observed_r", "n_qualified_players", "median", "low", "high", "valid", "median_denominator", "typical_starts")
+
+
+def analyze(curve: DataFrame, by: Sequence[str] = (), thresholds: Sequence[float] = (0.5, 0.7)) -> DataFrame:
+    """Of each statistic of curves() and each threshold: the first targets at which median, lower and upper bound reach it, the players there, and whether
+    the lower bound does with 50 of them."""
+    rows = curve.select("*", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
+    first = lambda c: F.min(F.when(F.col(c) >= F.col("threshold"), F.struct("target", "n_qualified_players")))
+    names = {"median": "median", "ci_low": "low", "ci_high": "high"}
+    out = rows.groupBy(*by, "stat", "denom", "threshold").agg(*[first(c).alias(f"_{n}") for n, c in names.items()], F.first("median_denominator").alias("median_denominator"))
+    return out.select(
+        *by, "stat", "denom", "threshold",
+        *[F.col(f"_{n}.target").alias(f"{n}_crossing") for n in names],
+        *[F.col(f"_{n}.n_qualified_players").alias(f"qualified_at_{n}_crossing") for n in names],
+        F.coalesce(F.col("_ci_low.n_qualified_players") >= 50, F.lit(False)).alias("reliably_estimable"),
+        "median_denominator",
+        F.try_divide("_median.target", "median_denominator").alias("typical_starts_at_median_crossing"),
+    )
+
+
+def qualifiers(df: DataFrame, denom: str, targets: Sequence[int], player: str) -> DataFrame:
+    """(target, ever, twice): players whose running denominator reaches a target, and those whose whole one reaches it twice over."""
+    whole = df.groupBy(player).agg(F.sum(denom).alias("total"))
+    rows = whole.select("total", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
+    return rows.groupBy("target").agg(F.count_if(F.col("total") >= F.col("target")).alias("ever"), F.count_if(F.col("total") >= 2 * F.col("target")).alias("twice"))
+
+
 def crossings(curve: DataFrame, by: Sequence[str] = ("stat", "denom"), least: int = 50) -> DataFrame:
     """curve(by, target, r, n and, if there, low, high): first targets at which each reaches .5 and .7, and whether the lower bound ever does with enough players."""
     have = [c for c in ("r", "low", "high") if c in curve.columns]

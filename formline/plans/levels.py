@@ -82,8 +82,8 @@ def run_training(spark: SparkSession, paths: Paths) -> None:
     files.write(training.batter_training(batters, factors), paths.artifact("batter_training"))
 
 
-def run_all(spark: SparkSession, paths: Paths, years: Sequence[int], least: int = vocab.LEAST_APPEARANCES, players: DataFrame | None = None) -> None:
-    run_games(spark, paths, years, least, players)
+def run_all(spark: SparkSession, paths: Paths, years: Sequence[int], least: int = vocab.LEAST_APPEARANCES, players: DataFrame | None = None, official: dict[int, Sequence[int]] | None = None) -> None:
+    run_games(spark, paths, years, least, players, official)
     run_rolling(spark, paths)
     run_training(spark, paths)
 
@@ -95,10 +95,12 @@ def main(args: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=main.__doc__)
     parser.add_argument("years", nargs="+", type=int)
     parser.add_argument("--register", help="CSV of player ids and names")
+    parser.add_argument("--schedules", help="folder with a schedule feed YEAR.json of each season, to hold the seasons against")
     given = parser.parse_args(args)
     spark = session()
     players = identity.player_map(files.register(spark, given.register), "_place") if given.register else None
-    run_all(spark, Paths.from_environment(), given.years, players=players)
+    official = {y: files.schedule_ids(files.read_schedule(spark, f"{given.schedules}/{y}.json")).first()["games"] for y in given.years} if given.schedules else None
+    run_all(spark, Paths.from_environment(), given.years, players=players, official=official)
 
 
 if __name__ == "__main__":

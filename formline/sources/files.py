@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from formline import vocab
 from formline.functions import expr as X
+from formline.operators import checks
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,17 @@ def load_seasons(spark: SparkSession, root: str, years: Sequence[int], columns:
     return out
 
 
+def publish_season(df: DataFrame, year: int, official: Sequence[int], root: str) -> str:
+    """A fetched season to its file: NaN to null, keys cast, regular games alone, held against the official games before anything is written."""
+    df = nan_to_null(df).withColumns({"game_date": F.col("game_date").cast("date"), "game_year": F.col("game_year").cast("int"), "game_pk": F.col("game_pk").cast("long")})
+    if "game_type" in df.columns:
+        df = df.where("game_type = 'R'")
+    checks.season_table(df, year, official)
+    path = season_path(root, year)
+    write(df, path)
+    return path
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN of float columns becomes null, as everything behind expects."""
     return df.withColumns({f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")})
@@ -81,11 +93,11 @@ def schedule_ids(feed: DataFrame, kind: str = "R") -> DataFrame:
     return out.withColumn("games", F.when(F.size("games") == 0, F.raise_error("the schedule has no such games")).otherwise(F.col("games")))
 
 
-_SCHEDULE = "dates array<struct<date:string,games:array<struct<gamePk:bigint,gameType:string,gameDate:string,status:struct<detailedState:string>,teams:struct<away:struct<team:struct<id:bigint>,probablePitcher:struct<id:bigint>>,home:struct<team:struct<id:bigint>,probablePitcher:struct<id:bigint>>>>>>>"
+SCHEDULE = "dates array<struct<date:string,games:array<struct<gamePk:bigint,gameType:string,gameDate:string,status:struct<detailedState:string>,teams:struct<away:struct<team:struct<id:bigint>,probablePitcher:struct<id:bigint>>,home:struct<team:struct<id:bigint>,probablePitcher:struct<id:bigint>>>>>>>"
 
 
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_SCHEDULE).option("multiLine", True).json(path)
+    return spark.read.schema(SCHEDULE).option("multiLine", True).json(path)
 
 
 def schedule(feed: DataFrame) -> DataFrame:
@@ -104,16 +116,26 @@ def schedule(feed: DataFrame) -> DataFrame:
     return out.where("away_team is not null and home_team is not null")
 
 
+ROSTER = "team_id bigint, roster array<struct<person:struct<id:bigint,fullName:string>>>"
+PEOPLE = "people array<struct<id:bigint,fullName:string>>"
+
+
 def read_rosters(spark: SparkSession, path: str) -> DataFrame:
+    return rosters(spark.read.schema(ROSTER).option("multiLine", True).json(path))
+
+
+def rosters(feed: DataFrame) -> DataFrame:
     """(team_id, mlb_id, player_name), once for each team and player, from feeds {team_id, roster: [{person: {id, fullName}}]}."""
-    feed = spark.read.schema("team_id bigint, roster array<struct<person:struct<id:bigint,fullName:string>>>").option("multiLine", True).json(path)
     rows = feed.select("team_id", F.explode("roster").alias("r")).select("team_id", F.col("r.person.id").alias("mlb_id"), F.col("r.person.fullName").alias("player_name"))
     return rows.groupBy("team_id", "mlb_id").agg(F.min("player_name").alias("player_name"))
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:
+    return people(spark.read.schema(PEOPLE).option("multiLine", True).json(path))
+
+
+def people(feed: DataFrame) -> DataFrame:
     """(mlb_id, player_name) of people feeds."""
-    feed = spark.read.schema("people array<struct<id:bigint,fullName:string>>").option("multiLine", True).json(path)
     return feed.select(F.explode("people").alias("p")).select(F.col("p.id").alias("mlb_id"), F.col("p.fullName").alias("player_name"))
 
 

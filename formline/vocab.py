@@ -94,8 +94,49 @@ PITCH_TYPE_SPECS = {
     "xBA": ("xBA_num", "xBA_den", 400, 10), "wOBA": ("wOBA_num", "wOBA_den", 400, 10), "xwOBA": ("xwOBA_num", "wOBA_den", 400, 10),
 }
 
+# Families of features that ablations add to a core, by name or by how names begin.
+FAMILIES = {
+    "pitcher_whiff": "whiff_rate_", "pitcher_swstr": "swstr_rate_", "pitcher_ball": "ball_rate_", "pitcher_gb": "gb_rate_",
+    "batter_whiff": "opp_lineup_whiff", "batter_swstr": "opp_lineup_swstr",
+}
+# Column sets of the feature ablation as families, with the endings that are taken of them.
+FEATURE_SETS = {
+    "core": (),
+    "pitcher_whiff": ("pitcher_whiff",),
+    "pitcher_swstr": ("pitcher_swstr",),
+    "pitcher_both": ("pitcher_whiff", "pitcher_swstr"),
+    "batter_whiff": ("batter_whiff",),
+    "batter_swstr": ("batter_swstr",),
+    "batter_both": ("batter_whiff", "batter_swstr"),
+    "pitcher_ball": ("pitcher_ball",),
+    "pitcher_gb": ("pitcher_gb",),
+    "preferred_raw": ("pitcher_swstr", "batter_whiff", "pitcher_ball", "pitcher_gb"),
+    "compact_candidate": ("pitcher_whiff _P20", "pitcher_swstr _P20", "pitcher_ball _P20", "batter_whiff", "batter_swstr"),
+    "all_candidates": None,
+}
+# Column sets of the window ablation, in the same form.
+WINDOW_SETS = {
+    "core": (),
+    "whiff_P5": ("pitcher_whiff _P5",),
+    "whiff_P10": ("pitcher_whiff _P10",),
+    "whiff_P20": ("pitcher_whiff _P20",),
+    "whiff_std": ("pitcher_whiff _std",),
+    "whiff_P5_P10": ("pitcher_whiff _P5 _P10",),
+    "swstr_P5": ("pitcher_swstr _P5",),
+    "swstr_P10": ("pitcher_swstr _P10",),
+    "swstr_P20": ("pitcher_swstr _P20",),
+    "swstr_std": ("pitcher_swstr _std",),
+    "swstr_P5_P10": ("pitcher_swstr _P5 _P10",),
+    "ball_P5": ("pitcher_ball _P5",),
+    "ball_P20": ("pitcher_ball _P20",),
+    "ball_std": ("pitcher_ball _std",),
+    "whiff_swstr_P20": ("pitcher_whiff _P20", "pitcher_swstr _P20"),
+    "discipline_short": ("pitcher_whiff _P5", "pitcher_swstr _P5", "pitcher_ball _P5"),
+    "discipline_short_long": ("pitcher_whiff _P5 _P10", "pitcher_swstr _P5 _P10", "pitcher_ball _P5 _std"),
+}
+
 # What a model may see.
-METADATA = ("game_pk", "game_date", "season", "pitcher", "batter", "player_name", "pitcher_name", "batter_name", "home_team", "away_team", "opp_team", "p_throws", "stand", "bat_team", "opp_lineup_size")
+METADATA = ("game_pk", "game_date", "season", "pitcher", "batter", "player_name", "pitcher_name", "batter_name", "home_team", "away_team", "opp_team", "p_throws", "stand", "bat_team", "opp_lineup_size", "is_initial_lineup")
 FORBIDDEN_FEATURES = ("PA", "K", "Outs", "k_rate", "actual_k", "actual_outs", "actual_pa", "actual_tbf")
 CONTEXT_FEATURES = ("is_home", "park_k_factor", "opp_lineup_k", "opp_lineup_k_vs_hand", "opp_lineup_whiff", "opp_lineup_swstr", "opp_lineup_chase")
 LAGGED_FEATURE = r"(_P\d+|_std(?:_vL|_vR|_shrunk)?)$"

@@ -55,8 +55,8 @@ def test_starters_and_counts(spark):
     assert games.pitcher_games(df).count() == 0  # fewer than nine plate appearances
     types = {r["pitch_type"]: r for r in games.pitch_type_games(df, 3).collect()}
     assert set(types) == {"ff", "sl"} and types["ff"]["TotalPitches"] == 4 and types["ff"]["usage_rate"] == 0.5
-    with pytest.raises(ValueError):
-        games.pitch_type_games(pitch_frame(spark, {"type": None, "events": "walk"}), 0)
+    with pytest.raises(Exception, match="not exclusive"):
+        games.pitch_type_games(pitch_frame(spark, {"type": None, "events": "walk"}), 0).collect()
 
 
 def test_batters(spark):
