@@ -214,7 +214,7 @@ def chains(sketch: DataFrame) -> DataFrame:
 def units(members: DataFrame, most: int) -> DataFrame:
     """members(g, n, f1, f2, ...) with units, the units of work that each belongs to: structs of u (array of numbers) and side (0 or 1).
 
-    u is [hash of g] for groups of up to most shingles, and [g, band, block, band, block] for pairs of blocks of larger ones, whose smaller
+    u is [hash of g] for groups of up to most shingles, some sixteenth of most in a unit, and [g, band, block, band, block] for pairs of blocks of larger ones, whose smaller
     block is side 0. A row adds 50 to its shingles, for what it costs by itself.
     """
     weighed = members.withColumns({"w": F.col("n") + 50, "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")})
@@ -237,7 +237,7 @@ def units(members: DataFrame, most: int) -> DataFrame:
 
         return F.transform(F.when(blocks > 0, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array().cast("array<long>")), unit)
 
-    small = F.array(F.struct(F.array(F.pmod(F.xxhash64("g"), F.lit(max(1, content // most)))).alias("u"), F.lit(0).alias("side")))
+    small = F.array(F.struct(F.array(F.pmod(F.xxhash64("g"), F.lit(max(1, 16 * content // most)))).alias("u"), F.lit(0).alias("side")))
     found = F.when(F.col("total") <= most, small).otherwise(F.concat(pairs(-1), pairs(0), pairs(1)))
     return rows.select(*members.columns, found.alias("units"))
 
