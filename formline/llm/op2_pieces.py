@@ -30,7 +30,9 @@ from formline.llm.common import CHUNK, arrow_map, documents, type_of
 SAMPLES = 2
 THETA = 1.0
 #: Lattice nodes that a worker keeps; beyond them it starts anew. Results do not depend on it.
-NODES = 2_500_000
+NODES = 800_000
+#: Characters of texts that are sampled together.
+TOGETHER = 1 << 19
 #: A set of ways through a word that holds less than this share of its mass cannot be told from rounding and counts as empty.
 LEAST_MASS = 1e-12
 _CUT = re.compile(r" *[^ \n]+| +|\n")
@@ -173,7 +175,7 @@ class Lattices:
         for name, more in parts.items():
             old = getattr(self, name)
             if used + len(more) > len(old):
-                wider = np.zeros(max(2 * len(old), used + len(more)), old.dtype)
+                wider = np.zeros(max(3 * len(old) // 2, used + len(more)), old.dtype)
                 wider[:used] = old[:used]
                 setattr(self, name, old := wider)
             old[used : used + len(more)] = more
@@ -448,13 +450,13 @@ def _keys(ids: list) -> np.ndarray:
 
 
 def _batches(batch: pa.RecordBatch, path: str, k: int):
-    """(row, text, samples) of a batch, of which parts of about a quarter of CHUNK are sampled together."""
+    """(row, text, samples) of a batch, of which parts of about TOGETHER characters are sampled together."""
     lat = _lattices(path)
     ids, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK // 4):
+        while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
             size += len(texts[end])
             end += 1
         yield from zip(range(at, end), texts[at:end], sample_texts(lat, texts[at:end], _keys(ids[at:end]), k), strict=True)
@@ -478,7 +480,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, path: str | None = None) -> DataFr
                     out[c].append(x)
         return {"doc_id": batch.column("doc_id").take(pa.array(out.pop("row"), pa.int64()))} | out
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double", after=lambda: _lattices(path).clear())
+    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double", CHUNK // 2, lambda: _lattices(path).clear())
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -512,4 +514,4 @@ def op2_pieces(spark: SparkSession, sf_dir: str, k: int = SAMPLES) -> DataFrame:
             out["decoded"].append(all(x == raw for x in vocabulary.decode(ids)))
         return {"doc_id": batch.column("doc_id")} | out
 
-    return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean", after=lambda: _lattices(path).clear())
+    return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean", CHUNK // 2, lambda: _lattices(path).clear())
