@@ -74,7 +74,8 @@ def half_pairs(rows: DataFrame, windows: Sequence[int]) -> DataFrame:
 def split_half(df: DataFrame, stats: Mapping[str, bool], window: int, player: str = "player_name", least: int = 50) -> DataFrame:
     """(stat, n, pearson, spearman, sem, slope); correlations null below `least` players or with hardly any spread (sample)."""
     pairs = half_pairs(long(df, stats, player), [window])
-    ranked = pairs.withColumns({"ra": average_rank("a", ["stat"]), "rb": average_rank("b", ["stat"])})
+    # running sums are not exact: what agrees to nine places is a tie
+    ranked = pairs.withColumns({"qa": F.round("a", 9), "qb": F.round("b", 9)}).withColumns({"ra": average_rank("qa", ["stat"]), "rb": average_rank("qb", ["stat"])})
     out = ranked.groupBy("stat").agg(F.count("*").alias("n"), pearson("a", "b", 1e-6, True).alias("pearson"), pearson("ra", "rb").alias("spearman"), F.stddev_samp("a").alias("_sd"), slope("a", "b").alias("slope"))
     enough = F.col("n") >= least
     return out.select("stat", "n", *[F.when(enough, F.col(c)).alias(c) for c in ("pearson", "spearman")], F.when(enough, F.col("_sd") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("pearson")))).alias("sem"), F.when(enough, F.col("slope")).alias("slope"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from formline import vocab
 from formline.functions import expr as X
-from formline.operators import games, identity, modelling, park, pitches, priors, reliability, rolling, training
+from formline.operators import checks, games, identity, modelling, park, pitches, priors, reliability, rolling, training
 from formline.sources import adapter, html
 from formline.sources.adapter import PITCH_SQL, table
 
@@ -38,10 +38,13 @@ def query(sql: str | None = None, ctes: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from formline.plans import feeds  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -76,7 +79,9 @@ _SEASON = "(PARTITION BY {e}, season ORDER BY game_date RANGE BETWEEN UNBOUNDED
 
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem", ctes=False)
 def scan_projection(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    from formline.sources import files
+
+    return files.united(spark, [f"{d}/lineitem.parquet"], ["l_orderkey", "l_partkey", "l_quantity"])
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS season, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 1000", ctes=False)
@@ -84,10 +89,11 @@ def scan_filter_pushdown(spark, d):
     return table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "P") & (F.col("o_totalprice") > 1000)).select("o_orderkey", F.year("o_orderdate").alias("season"), "o_totalprice")
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_suppkey AS id, s_acctbal AS balance FROM supplier", ctes=False)
+@query("SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier", ctes=False)
 def union_by_name_relaxed(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    return a.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), allowMissingColumns=True)
+    from formline.sources import files
+
+    return files.united(spark, [f"{d}/customer.parquet", f"{d}/supplier.parquet"])
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1", ctes=False)
@@ -215,32 +221,53 @@ def pitcher_starts(spark, d):
     return rounded(_starts(spark, d).select(*names))
 
 
+#: The approach angle of a pitch of the adapter, in SQL.
+_VAA = "(-degrees(atan(((-5 - 10 * l_tax) + -15 * (-sqrt((-130 - 100 * l_discount) ** 2 - 2 * (25 + l_quantity / 10) * (50 - 17.0::DOUBLE / 12)) - (-130 - 100 * l_discount)) / (25 + l_quantity / 10)) / -sqrt((-130 - 100 * l_discount) ** 2 - 2 * (25 + l_quantity / 10) * (50 - 17.0::DOUBLE / 12)))))"
+
+
 def _arsenal_sql(t: str) -> str:
-    return f"""round(avg(velo) FILTER (canon = '{t}'), 6) AS {t}_velo, round(avg(spin) FILTER (canon = '{t}'), 6) AS {t}_spinrate, CAST(count(*) FILTER (canon = '{t}') > 0 AS TINYINT) AS throws_{t},
-    CASE WHEN count(*) FILTER (stand = 'R') > 0 THEN round(count(*) FILTER (canon = '{t}' AND stand = 'R') / count(*) FILTER (stand = 'R'), 6) ELSE 0.0::DOUBLE END AS {t}_usage_vR,
-    CASE WHEN sum(woba_denom) FILTER (canon = '{t}') > 0 THEN round(sum(xwoba_num) FILTER (canon = '{t}') / sum(woba_denom) FILTER (canon = '{t}'), 6) END AS {t}_xwoba"""
+    usage = lambda h: f"CASE WHEN count(*) FILTER (stand = '{h}') > 0 THEN round(count(*) FILTER (canon = '{t}' AND stand = '{h}') / count(*) FILTER (stand = '{h}'), 6) ELSE 0.0::DOUBLE END AS {t}_usage_v{h}"
+    woba = lambda name, c: f"CASE WHEN sum(woba_denom) FILTER (canon = '{t}') > 0 THEN round(sum({c}) FILTER (canon = '{t}') / sum(woba_denom) FILTER (canon = '{t}'), 6) END AS {t}_{name}"
+    means = ", ".join(f"round(avg({c}) FILTER (canon = '{t}'), 6) AS {t}_{n}" for n, c in (("velo", "velo"), ("spinrate", "spin"), ("ivb", "l_tax * 12"), ("hb", "l_discount * 12")))
+    angle = f"round(avg({_VAA}) FILTER (canon = '{t}'), 6) AS {t}_vaa"
+    return f"{means}, {angle}, CAST(count(*) FILTER (canon = '{t}') > 0 AS TINYINT) AS throws_{t}, {usage('R')}, {usage('L')}, {woba('woba', 'woba_value')}, {woba('xwoba', 'xwoba_num')}"
 
 
 @query("SELECT game_pk, pitcher, " + ", ".join(map(_arsenal_sql, vocab.PITCH_TYPES)) + " FROM flag SEMI JOIN starter USING (game_pk, pitcher) GROUP BY game_pk, pitcher")
 def arsenal_wide(spark, d):
-    return rounded(_starts(spark, d).select("game_pk", "pitcher", *[f"{p}{t}{s}" for t in vocab.PITCH_TYPES for p, s in (("", "_velo"), ("", "_spinrate"), ("throws_", ""), ("", "_usage_vR"), ("", "_xwoba"))]))
+    names = [f"{p}{t}{s}" for t in vocab.PITCH_TYPES for p, s in (*(("", f"_{m}") for m in vocab.PHYSICS), ("throws_", ""), ("", "_usage_vR"), ("", "_usage_vL"), ("", "_woba"), ("", "_xwoba"))]
+    return rounded(_starts(spark, d).select("game_pk", "pitcher", *names))
+
+
+_TYPE_COUNTS = {
+    "Pitches": "true", "PA": "is_pa", "K": "is_k", "BB": "is_bb", "Whiffs": "is_whiff", "CS": "is_cs", "CSW": "is_cs OR is_whiff", "Strikes": "type = 'S'", "Balls": "type = 'B'", "BIP": "type = 'X'", "FB": "bb_type IN ('fly_ball', 'popup')", "GB": "bb_type = 'ground_ball'",
+    "InZone": "in_zone", "OutZone": "out_zone", "Swings": "is_swing", "Chases": "out_zone AND is_swing", "ZSwings": "in_zone AND is_swing", "Contacts": "is_contact", "ZContacts": "in_zone AND is_contact", "OContacts": "out_zone AND is_contact",
+    "HardHit": "type = 'X' AND 60 + q >= 95", "Barrels": "type = 'X' AND q % 6 + 1 = 6", "WeakContact": "type = 'X' AND q % 6 + 1 = 1", "EV_den": "type = 'X'", "LA_den": "type = 'X'", "xBA_den": "est_ba IS NOT NULL", "velo_den": "true", "spin_den": "true", "ivb_den": "true", "hb_den": "true", "vaa_den": "true",
+}
+_TYPE_SUMS = {"wOBA_num": "woba_value", "wOBA_den": "woba_denom", "xwOBA_num": "xwoba_num", "EV_num": "CASE WHEN type = 'X' THEN 60 + l_quantity END", "LA_num": "CASE WHEN type = 'X' THEN l_quantity - 20 END", "xBA_num": "est_ba", "velo_num": "velo", "spin_num": "spin", "ivb_num": "l_tax * 12", "hb_num": "l_discount * 12", "vaa_num": _VAA}
+_TYPE_RATIOS = {
+    "usage_rate": ("Pitches", "TotalPitches"), "swstr_rate": ("Whiffs", "Pitches"), "whiff_rate": ("Whiffs", "Swings"), "ball_rate": ("Balls", "Pitches"), "csw_rate": ("CSW", "Pitches"), "chase_rate": ("Chases", "OutZone"), "gb_rate": ("GB", "BIP"),
+    "hard_hit_rate": ("HardHit", "EV_den"), "barrel_rate": ("Barrels", "xBA_den"), "weak_contact_rate": ("WeakContact", "xBA_den"), "wOBA": ("wOBA_num", "wOBA_den"), "xwOBA": ("xwOBA_num", "wOBA_den"),
+}
+_TYPE_MEANS = ("EV", "LA", "xBA", "velo", "spin", "ivb", "hb", "vaa")
+_TYPES = f"""mine AS (SELECT *, count(*) OVER (PARTITION BY game_pk, pitcher) AS total, count(*) FILTER (is_pa) OVER (PARTITION BY game_pk, pitcher) AS pas FROM flag SEMI JOIN starter USING (game_pk, pitcher)),
+  typed AS (SELECT game_pk, pitcher, canon AS pitch_type, min(game_date) AS game_date, CAST(year(min(game_date)) AS INT) AS season, min(home_team) AS home_team, min(away_team) AS away_team, min(p_throws) AS p_throws, 'Last' || pitcher || ', First' AS player_name, max(total) AS TotalPitches, max(pas) AS pas,
+    {", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _TYPE_COUNTS.items())}, {", ".join(f"coalesce(sum({c}), 0)::DOUBLE AS {n}" for n, c in _TYPE_SUMS.items())} FROM mine WHERE canon IS NOT NULL GROUP BY game_pk, pitcher, canon)"""
+_RATIO_SQL = ", ".join(f"CASE WHEN {b} > 0 THEN round({a} / {b}, 6) END AS {n}" for n, (a, b) in {**_TYPE_RATIOS, **{f"{m}_mean": (f"{m}_num", f"{m}_den") for m in _TYPE_MEANS if m != "vaa"}}.items())
 
 
 @query(
-    """WITH mine AS (SELECT *, count(*) OVER (PARTITION BY game_pk, pitcher) AS total, count(*) FILTER (is_pa) OVER (PARTITION BY game_pk, pitcher) AS pas FROM flag SEMI JOIN starter USING (game_pk, pitcher))
-    SELECT game_pk, pitcher, canon AS pitch_type, max(total) AS TotalPitches, count(*) AS Pitches, count(*) FILTER (is_k) AS K, round(count(*) / max(total), 6) AS usage_rate, count(*) FILTER (type = 'X' AND 60 + q >= 95) AS HardHit,
-    count(*) FILTER (type = 'X' AND q % 6 + 1 = 6) AS Barrels, CASE WHEN count(*) FILTER (type = 'X') > 0 THEN round(count(*) FILTER (type = 'X' AND 60 + q >= 95) / count(*) FILTER (type = 'X'), 6) END AS hard_hit_rate, round(avg(velo), 6) AS velo_mean
-    FROM mine WHERE canon IS NOT NULL AND pas >= 1 GROUP BY game_pk, pitcher, canon"""
+    f"""WITH {_TYPES} SELECT game_pk, pitcher, pitch_type, game_date, season, home_team, away_team, p_throws, player_name, TotalPitches, {", ".join(_TYPE_COUNTS)}, {", ".join(f"round({n}, 6) AS {n}" for n in _TYPE_SUMS)},
+    {_RATIO_SQL}, CASE WHEN vaa_den > 0 THEN round(vaa_num / vaa_den, 6) END AS vaa_mean FROM typed WHERE pas >= 1"""
 )
 def pitch_type_games(spark, d):
-    return rounded(games.pitch_type_games(adapter.pitches(spark, d), 1).select("game_pk", "pitcher", "pitch_type", "TotalPitches", "Pitches", "K", "usage_rate", "HardHit", "Barrels", "hard_hit_rate", "velo_mean"))
+    return rounded(games.pitch_type_games(adapter.pitches(spark, d), 1))
 
 
-@query("SELECT count(*) AS games FROM (SELECT game_pk, pitcher, canon FROM flag WHERE canon IS NOT NULL GROUP BY ALL HAVING count(*) <> count(*) FILTER (type IN ('S', 'B', 'X')))")
+@query("SELECT game_pk, pitcher, canon AS pitch_type, count(*) FILTER (type IN ('S', 'B', 'X')) AS Pitches FROM flag SEMI JOIN starter USING (game_pk, pitcher) WHERE canon IS NOT NULL GROUP BY ALL")
 def mutual_exclusivity_check(spark, d):
-    p = pitches.pitch_level(adapter.pitches(spark, d)).where("canon_pitch is not null").groupBy("game_pk", "pitcher", "canon_pitch")
-    out = p.agg(F.count("*").alias("Pitches"), *[F.count_if(F.col("type") == t).alias(t) for t in "SBX"])
-    return out.where("Pitches <> S + B + X").agg(F.count("*").alias("games"))
+    """Pitches of each start and type, held against its outcomes on the way."""
+    return checks.with_exclusive_outcomes(games.pitch_type_games(adapter.pitches(spark, d), 0, check=False)).select("game_pk", "pitcher", "pitch_type", "Pitches")
 
 
 _BATTER = """bat AS (
@@ -359,17 +386,21 @@ def prior_season_shrunk(spark, d):
     return rounded(priors.prior_season_shrunk(_counted(spark, d), fallback=0.22).select("game_pk", "pitcher", "k_rate_std_shrunk"))
 
 
-_FIP_ROLL = ", ".join(f"sum({c}) OVER w AS r{c}" for c in vocab.FIP_COUNTS)
+def _fip_sql(w: int) -> str:
+    core = f"(3 * (rBB{w} + rHBP{w}) - 2 * rK{w})"
+    good = f"WHEN rOuts{w} >= 9 AND season BETWEEN 2021 AND 2026 THEN"
+    constant = "[3.170::DOUBLE, 3.112, 3.255, 3.166, 3.135, 3.099][season - 2020]"
+    return f"CASE {good} round((13 * rHR{w} + {core}) / (rOuts{w} / 3) + {constant}, 6) END AS f{w}, CASE {good} round((13 * rFB{w} * 0.1 + {core}) / (rOuts{w} / 3) + {constant}, 6) END AS x{w}"
 
 
 @query(
-    f"""WITH {_COUNTED}, moved AS (SELECT * REPLACE (season + 26 AS season) FROM counted), r AS (SELECT *, {_FIP_ROLL} FROM moved WINDOW w AS {_ROWS5.format(w=3)}),
-    v AS (SELECT *, CASE WHEN rOuts >= 9 AND season BETWEEN 2021 AND 2026 THEN round((13 * rHR + 3 * (rBB + rHBP) - 2 * rK) / (rOuts / 3) + [3.170::DOUBLE, 3.112, 3.255, 3.166, 3.135, 3.099][season - 2020], 6) END AS f FROM r)
-    SELECT game_pk, pitcher, first(f) OVER (PARTITION BY pitcher, game_date ORDER BY game_pk) AS FIP_P3 FROM v"""
+    f"""WITH {_COUNTED}, moved AS (SELECT * REPLACE (season + 26 AS season) FROM counted), r AS (SELECT *, {", ".join(f"sum({c}) OVER w{w} AS r{c}{w}" for w in vocab.MEAN_WINDOWS for c in vocab.FIP_COUNTS)} FROM moved
+      WINDOW {", ".join(f"w{w} AS {_ROWS5.format(w=w)}" for w in vocab.MEAN_WINDOWS)}), v AS (SELECT *, {", ".join(map(_fip_sql, vocab.MEAN_WINDOWS))} FROM r)
+    SELECT game_pk, pitcher, {", ".join(f"first(f{w}) OVER o AS FIP_P{w}, first(x{w}) OVER o AS xFIP_P{w}" for w in vocab.MEAN_WINDOWS)} FROM v WINDOW o AS (PARTITION BY pitcher, game_date ORDER BY game_pk)"""
 )
 def rolling_fip(spark, d):
     starts = _counted(spark, d).withColumns({"season": F.col("season") + 26, "lg_hr_fb_prior": F.lit(0.1)})
-    return rounded(rolling.pitcher_features(starts, {}, (), mean_windows=(3,), check=False).select("game_pk", "pitcher", "FIP_P3"))
+    return rounded(rolling.pitcher_features(starts, {}, (), check=False).select("game_pk", "pitcher", *[f"{n}_P{w}" for w in vocab.MEAN_WINDOWS for n in ("FIP", "xFIP")]))
 
 
 # --- parks ----------------------------------------------------------------------------------------------------------------------
@@ -429,17 +460,17 @@ def name_normalise(spark, d):
     return adapter.pitches(spark, d).select("pitcher", X.first_last("player_name").alias("pitcher_name")).distinct()
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(strip_accents(left(text, 60))), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '', 'g') AS name_key FROM documents WHERE NOT regexp_matches(lower(strip_accents(left(text, 60))), '\b(jr|sr|ii|iii|iv)\b')", ctes=False)
+@query(
+    r"""SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '\b(jr|sr|ii|iii|iv)\b\.?', '', 'g'), '[^a-z0-9]+', '', 'g') AS name_key FROM documents
+    UNION ALL SELECT -c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'jose' WHEN 1 THEN 'nguyen' WHEN 2 THEN 'hasan' ELSE 'finn' END || 'customer' || substring(c_name, 10) FROM customer""",
+    ctes=False,
+)
 def name_key(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"))
-    plain = F.lower(F.translate("t", "áéíóúñüäöàèìòùâêîôûëïçãõÁÉÍÓÚÑÜÄÖÀÈÌÒÙÂÊÎÔÛËÏÇÃÕ", "aeiounuaoaeiouaeioueicaoAEIOUNUAOAEIOUAEIOUEICAO"))
-    return df.where(~plain.rlike(r"\b(jr|sr|ii|iii|iv)\b")).select("doc_id", X.name_key("t").alias("name_key"))
-
-
-@query()
-def name_key_whole(spark, d):
-    """The key of every document's whole text, suffixes removed. No SQL: tests hold it against plain Python."""
-    return table(spark, d, "documents").select("doc_id", X.name_key("text").alias("name_key"))
+    """Keys of whole texts, and of names with marks, ligatures and generation suffixes."""
+    names = F.element_at(F.array(*map(F.lit, ("José", "Nguyễn", "Ḥasan", "Ｆｉnn"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    suffix = F.element_at(F.array(*map(F.lit, (" Jr.", ", Sr", " III", " iv."))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    customers = table(spark, d, "customer").select((-F.col("c_custkey")).alias("doc_id"), F.concat(names, F.lit(" "), "c_name", suffix).alias("text"))
+    return table(spark, d, "documents").select("doc_id", "text").unionByName(customers).select("doc_id", X.name_key("text").alias("name_key"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]')) AS BIGINT) AS n_links FROM pages", ctes=False)
@@ -469,9 +500,9 @@ def _half_df(spark, d):
     return _counted(spark, d)
 
 
-@query(f"WITH {_pairs_sql('[10]')}, r AS (SELECT *, rank() OVER (PARTITION BY stat ORDER BY a) + (count(*) OVER (PARTITION BY stat, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY stat ORDER BY b) + (count(*) OVER (PARTITION BY stat, b) - 1) / 2 AS rb FROM pairs) SELECT stat, count(*) AS n, round(corr(a, b), 6) AS pearson, round(regr_slope(b, a), 6) AS slope FROM r GROUP BY stat")
+@query(f"WITH {_pairs_sql('[10]')}, r AS (SELECT *, rank() OVER (PARTITION BY stat ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY stat, round(a, 9)) - 1) / 2 AS ra, rank() OVER (PARTITION BY stat ORDER BY round(b, 9)) + (count(*) OVER (PARTITION BY stat, round(b, 9)) - 1) / 2 AS rb FROM pairs) SELECT stat, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(stddev_samp(a) * sqrt(greatest(0, 1 - corr(a, b))), 6) AS sem, round(regr_slope(b, a), 6) AS slope FROM r GROUP BY stat")
 def split_half(spark, d):
-    return rounded(reliability.split_half(_half_df(spark, d), _STATS, 10, "pitcher", 10).select("stat", "n", "pearson", "slope"))
+    return rounded(reliability.split_half(_half_df(spark, d), _STATS, 10, "pitcher", 10))
 
 
 @query(f"WITH {_pairs_sql('[5, 10, 20]')} SELECT stat, CAST(win AS INT) AS \"window\", count(*) AS n, round(corr(a, b), 6) AS r FROM pairs GROUP BY stat, win")
@@ -563,11 +594,12 @@ def feature_tier(spark, d):
 @query(
     f"""WITH {_pairs_sql('[10]')}, y AS (SELECT stat, player, year(game_date) AS s, CASE WHEN stat = 'ff_velo' THEN avg(v) ELSE sum(v) / greatest(sum(w), 1) END AS v FROM num GROUP BY stat, player, year(game_date) HAVING count(*) >= 5),
     q AS (SELECT p.stat, corr(p.v, q.v) AS yoy FROM y p JOIN y q ON p.stat = q.stat AND p.player = q.player AND q.s = p.s + 1 GROUP BY p.stat),
-    h AS (SELECT stat, count(*) AS n, corr(a, b) AS r, stddev_pop(a) AS sd FROM pairs GROUP BY stat)
-    SELECT stat, n, round(r, 6) AS pearson, round(sd * sqrt(greatest(0, 1 - r)), 6) AS sem, round(yoy, 6) AS yoy, CASE WHEN yoy IS NULL THEN 'Unknown' WHEN yoy >= 0.7 THEN 'Tier 1' WHEN yoy >= 0.5 THEN 'Tier 2' ELSE 'Tier 3' END AS tier FROM h LEFT JOIN q USING (stat)"""
+    k AS (SELECT *, rank() OVER (PARTITION BY stat ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY stat, round(a, 9)) - 1) / 2 AS ra, rank() OVER (PARTITION BY stat ORDER BY round(b, 9)) + (count(*) OVER (PARTITION BY stat, round(b, 9)) - 1) / 2 AS rb FROM pairs),
+    h AS (SELECT stat, count(*) AS n, corr(a, b) AS r, corr(ra, rb) AS rho, regr_slope(b, a) AS slope, stddev_pop(a) AS sd, avg(a) AS ma, avg(b) AS mb, 2 * var_samp((a + b) / 2) AS msr, var_samp(a - b) / 2 AS mse FROM k GROUP BY stat)
+    SELECT stat, n, round(r, 6) AS pearson, round(rho, 6) AS spearman, round((msr - mse) / (msr + mse + 2 * (n * ((ma - mb) ** 2) / 2 - mse) / n), 6) AS icc2, round(slope, 6) AS slope, round(sd * sqrt(greatest(0, 1 - r)), 6) AS sem, round(yoy, 6) AS yoy, CASE WHEN yoy IS NULL THEN 'Unknown' WHEN yoy >= 0.7 THEN 'Tier 1' WHEN yoy >= 0.5 THEN 'Tier 2' ELSE 'Tier 3' END AS tier FROM h LEFT JOIN q USING (stat)"""
 )
 def reliability_table(spark, d):
-    return rounded(reliability.reliability_table(_half_df(spark, d), _STATS, 10, "pitcher", 10, 10).select("stat", "n", "pearson", "sem", "yoy", "tier"))
+    return rounded(reliability.reliability_table(_half_df(spark, d), _STATS, 10, "pitcher", 10, 10))
 
 
 @query(f"WITH {_COUNTED}, p AS (SELECT unnest(['K', 'K', 'PA']) AS a, unnest(['PA', 'Whiffs', 'Whiffs']) AS b, unnest([K, K, PA]) AS x, unnest([PA, Whiffs, Whiffs]) AS y FROM counted) SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS r FROM p GROUP BY a, b")
@@ -575,17 +607,17 @@ def correlation_pairs(spark, d):
     return rounded(reliability.correlations(_half_df(spark, d), ["K", "PA", "Whiffs"]))
 
 
-@query(f"WITH {_COUNTED}, p AS (SELECT K, unnest(['ff_velo', 'PA']) AS \"column\", unnest([ff_velo, PA::DOUBLE]) AS x FROM counted) SELECT \"column\", round(avg((x IS NULL)::INT), 6) AS missing, round(corr(x, K), 6) AS r FROM p GROUP BY 1")
+@query(f"WITH {_COUNTED}, p AS (SELECT K, unnest(['ff_velo', 'PA']) AS \"column\", unnest([ff_velo, PA::DOUBLE]) AS x FROM counted) SELECT \"column\", round(avg((x IS NULL)::INT), 6) AS missing, round((avg(x ** 3) - 3 * avg(x) * avg(x ** 2) + 2 * avg(x) ** 3) / stddev_pop(x) ** 3, 4) AS skew, round(corr(x, K), 6) AS r FROM p GROUP BY 1")
 def null_audit(spark, d):
-    return rounded(reliability.audit(_half_df(spark, d), ["ff_velo", "PA"], "K").select("column", "missing", "r"))
+    return rounded(reliability.audit(_half_df(spark, d), ["ff_velo", "PA"], "K")).withColumn("skew", F.round("skew", 4) + 0.0)
 
 
-@query(
-    """WITH mine AS (SELECT *, count(*) OVER (PARTITION BY game_pk, pitcher) AS total FROM flag SEMI JOIN starter USING (game_pk, pitcher)), g AS (SELECT game_pk, pitcher, canon, max(total) AS total, count(*) AS n, count(*) FILTER (is_whiff) AS wh, count(*) FILTER (is_swing) AS sw FROM mine WHERE canon IS NOT NULL GROUP BY ALL)
-    SELECT canon AS pitch_type, CAST(sum(n) AS BIGINT) AS Pitches, round(sum(n) / sum(total), 6) AS usage_rate, round(sum(wh) / sum(sw), 6) AS whiff_rate FROM g GROUP BY canon"""
-)
+_SUMMED = {n: r for n, r in _TYPE_RATIOS.items() if n != "wOBA"}
+
+
+@query(f"WITH {_TYPES} SELECT pitch_type, CAST(sum(Pitches) AS BIGINT) AS Pitches, " + ", ".join(f"round(sum({a}) / nullif(sum({b}), 0), 6) AS {n}" for n, (a, b) in _SUMMED.items()) + " FROM typed GROUP BY pitch_type")
 def pitch_type_summary(spark, d):
-    return rounded(reliability.pitch_type_summary(games.pitch_type_games(adapter.pitches(spark, d), 0, check=False)).select("pitch_type", "Pitches", "usage_rate", "whiff_rate"))
+    return rounded(reliability.pitch_type_summary(games.pitch_type_games(adapter.pitches(spark, d), 0, check=False)))
 
 
 # --- modelling ------------------------------------------------------------------------------------------------------------------

@@ -39,12 +39,15 @@ def load_seasons(spark: SparkSession, root: str, years: Sequence[int], columns:
     """Season files united by name: columns that a file lacks are null, ones that no file has are left out, types widen. Only what is asked for is read, and the keys that validation wants."""
     if not years:
         raise ValueError("no seasons")
+    return united(spark, [season_path(root, year) for year in years], None if columns is None else [*columns, "game_pk", "game_date", "game_year"])
+
+
+def united(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Parquet tables united by name, see load_seasons()."""
     frames = []
-    for year in years:
-        df = spark.read.parquet(season_path(root, year))
-        if columns is not None:
-            df = df.select(*[c for c in dict.fromkeys([*columns, "game_pk", "game_date", "game_year"]) if c in df.columns])
-        frames.append(df)
+    for path in paths:
+        df = spark.read.parquet(path)
+        frames.append(df if columns is None else df.select(*[c for c in dict.fromkeys(columns) if c in df.columns]))
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)

@@ -1,21 +1,23 @@
+import hashlib
 import json
 from datetime import date, datetime
 
 import pytest
 from helpers import pitch_frame
+from pyspark.sql import functions as F
 
 from formline import vocab
 from formline.functions import expr as X
 from formline.operators import checks, identity, slate, training
-from formline.plans import levels
+from formline.plans import levels, studies, trainer
 from formline.sources import files, html
 from formline.sources.files import Paths
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("Doe, Jo",), (" Jo Doe ",), ("Solo,",), (None,), ("O’Neill-Peña Jr.",), ("José  Ramírez III",), ("Iván",)], "n string")
+    df = spark.createDataFrame([("Doe, Jo",), (" Jo Doe ",), ("Solo,",), (None,), ("D’Arcy-Muñoz Jr.",), ("Zoë  Ibáñez III",), ("Jürgen",)], "n string")
     assert [r[0] for r in df.select(X.first_last("n")).collect()][:4] == ["Jo Doe", "Jo Doe", "Solo,", None]
-    assert [r[0] for r in df.select(X.name_key("n")).collect()][4:] == ["oneillpena", "joseramirez", "ivan"]
+    assert [r[0] for r in df.select(X.name_key("n")).collect()][4:] == ["darcymunoz", "zoeibanez", "jurgen"]
     codes = spark.createDataFrame([(" sdp",), ("ATL",), (None,)], "c string").select(X.team_code("c")).collect()
     assert [r[0] for r in codes] == ["SD", "ATL", None]
     with pytest.raises(Exception, match="unknown team code"):
@@ -51,8 +53,11 @@ def test_lineups(spark):
     assert got[1]["opp_lineup_size"] == 9 and got[1]["opp_lineup_k"] == pytest.approx(0.5)
     assert got[1]["opp_lineup_k_vs_hand"] == pytest.approx(0.3) and got[2]["opp_lineup_k_vs_hand"] == pytest.approx(0.2)
     assert got[1]["opp_lineup_whiff"] is None
+    for bad in (b.where("batter > 3"), b.where("game_pk = 1"), b.where("false")):
+        with pytest.raises(ValueError):
+            checks.lineups(training.opposing_lineup(s, bad))
     with pytest.raises(ValueError):
-        checks.lineups(training.opposing_lineup(s, b.where("batter > 3")))
+        checks.lineups(training.opposing_lineup(s, b).withColumn("opp_lineup_size", F.lit(None).cast("long")))
 
 
 def test_parks_cover(spark):
@@ -75,71 +80,83 @@ def test_feature_gate(spark):
     assert len(vocab.RATES) * 4 + len(vocab.MEANS) * 3 + 6 + len(vocab.CONTEXT_FEATURES) == 256
 
 
-def player(name, order, salary=None, small=True):
-    return f'<li class="lineup-card-player"><span class="player-nameplate" data-position="OF" data-salary="{salary}"><span class="small">{order}</span><div><a class="player-nameplate-name" href="/p/{order}">{name}</a><span class="player-nameplate-stats"><span class="small">(R)</span></span></div></span></li>'
+GUEST, HOST = ("WSN", "WSH", 120), ("COL", "COL", 115)  # code on the page, canonical code, id
+
 
+def plate(tag_attributes, inner, name, path, hand):
+    link = f'<a class="player-nameplate-name" href="{path}">{name}</a>'
+    return f'<span class="player-nameplate"{tag_attributes}>{inner}<div>{link}<span class="player-nameplate-stats"><span class="small">({hand})</span></span></div></span>'
 
-def side(name, confirmed, pitcher):
-    rows = "".join(player(f"{name} Batter {i}", i, 3000 + i) for i in range(1, 10))
-    body = "lineup-card-body" + ("" if confirmed else " unconfirmed")
-    plate = f'<span class="player-nameplate"><div><a class="player-nameplate-name" href="/s">{pitcher}</a><span class="player-nameplate-stats"><span class="small">(L)</span></span></div></span>'
-    return f'<div class="lineup-card"><div class="lineup-card-pitcher">{plate}</div><div class="{body}"><ul>{rows}</ul></div></div>'
 
+def lineup_card(who, confirmed, pitcher):
+    lines = [f'<li class="lineup-card-player">{plate(f""" data-position="2B" data-salary="{4100 + 10 * k}" """, f"""<span class="small">{k}</span>""", f"{who} Hitter No{k}", f"/hitter/{k}", "S")}</li>' for k in range(1, 10)]
+    status = "lineup-card-body" if confirmed else "lineup-card-body unconfirmed"
+    return f'<div class="lineup-card"><div class="lineup-card-pitcher">{plate("", "", pitcher, "/arm", "R")}</div><div class="{status}"><ul>{"".join(lines)}</ul></div></div>'
 
-def page(away="SDP", home="ATL", pitcher="Away Starter"):
-    return f'<html><br><div class="module game-card"><div class="game-card-teams"><span class="team-nameplate-title" data-abbr="{away}"></span><span class="team-nameplate-title" data-abbr="{home}"></span></div><div class="game-card-lineups">{side("Away", False, pitcher)}{side("Home", True, "Home Starter")}</div></div></html>'
+
+def page(guest=GUEST[0], guest_arm="Guest Ärm", confirmed=(False, True)):
+    titles = "".join(f'<span class="team-nameplate-title" data-abbr="{t}"></span>' for t in (guest, HOST[0]))
+    cards = lineup_card("Guest", confirmed[0], guest_arm) + lineup_card("Host", confirmed[1], "Host Arm")
+    return f'<html><br><div class="module game-card"><div class="game-card-teams">{titles}</div><div class="game-card-lineups">{cards}</div></div></html>'
 
 
 def pages(spark, *texts):
-    return spark.createDataFrame([(t, date(2025, 6, 1), datetime(2025, 6, 1, 12)) for t in texts], "html string, game_date date, fetched_at timestamp")
+    return spark.createDataFrame([(t, date(2023, 8, 9), datetime(2023, 8, 9, 7)) for t in texts], "html string, game_date date, fetched_at timestamp")
 
 
-def schedule_file(tmp_path, probable=901):
-    game = {"gamePk": 77, "gameType": "R", "gameDate": "2025-06-01T23:05:00Z", "status": {"detailedState": "Scheduled"}, "teams": {"away": {"team": {"id": 135}, "probablePitcher": {"id": 900}}, "home": {"team": {"id": 144}, "probablePitcher": {"id": probable}}}}
-    other = {**game, "gamePk": 78, "gameType": "S", "teams": {"away": {"team": {"id": 1}}, "home": {"team": {"id": 144}}}}
-    (tmp_path / "s.json").write_text(json.dumps({"dates": [{"date": "2025-06-01", "games": [game, other]}]}))
+def schedule_file(tmp_path, host_probable=6002):
+    team = lambda i, probable=None: {"team": {"id": i}, **({"probablePitcher": {"id": probable}} if probable else {})}
+    game = lambda pk, kind, guest, host: {"gamePk": pk, "gameType": kind, "gameDate": "2023-08-09T17:35:00Z", "status": {"detailedState": "Pre-Game"}, "teams": {"away": guest, "home": host}}
+    games = [game(5511, "R", team(GUEST[2], 6001), team(HOST[2], host_probable)), game(5512, "E", team(9), team(HOST[2]))]
+    (tmp_path / "s.json").write_text(json.dumps({"dates": [{"date": "2023-08-09", "games": games}]}))
     return str(tmp_path / "s.json")
 
 
 def roster(spark, extra=()):
-    rows = [(135, 100 + i, f"Away Batter {i}") for i in range(1, 10)] + [(144, 200 + i, f"Home Batter {i}") for i in range(1, 10)] + [(135, 900, "Away Stárter"), *extra]
-    return spark.createDataFrame(rows, "team_id long, mlb_id long, player_name string")
+    rows = [(team, first + k, f"{who} Hitter No{k}") for team, first, who in ((GUEST[2], 5100, "Guest"), (HOST[2], 5200, "Host")) for k in range(1, 10)]
+    return spark.createDataFrame([*rows, (GUEST[2], 6001, "Guest Arm"), *extra], "team_id long, mlb_id long, player_name string")
+
+
+HOST_ARM = (HOST[2], 6002, "Host Arm")
 
 
 def test_parsing(spark):
-    lineups, starters = html.parse_slates(pages(spark, page(), page(pitcher="TBD"), "<p>none</p>", None))
+    lineups, starters = html.parse_slates(pages(spark, page(), page(guest_arm="TBD"), "<p>none</p>", None))
     assert lineups.count() == 36 and starters.count() == 4
-    first = lineups.where("team = 'SD' and batting_order = 1").first()
-    assert (first["salary"], first["bats"], first["lineup_status"], first["player_path"], first["is_home"], first["team_id"]) == (3001, "R", "projected", "/p/1", False, 135)
-    assert starters.where("player_name is null").count() == 1 and starters.where("throws = 'L'").count() == 3
+    first = lineups.where("team = 'WSH' and batting_order = 1").first()
+    assert (first["salary"], first["bats"], first["lineup_status"], first["player_path"], first["is_home"], first["team_id"]) == (4110, "S", "projected", "/hitter/1", False, GUEST[2])
+    assert starters.where("player_name is null").count() == 1 and starters.where("throws = 'R'").count() == 3
     with pytest.raises(Exception, match="unknown team code"):
-        html.parse_slates(pages(spark, page(away="QQQ")))[0].collect()
+        html.parse_slates(pages(spark, page(guest="QQQ")))[0].collect()
 
 
 def test_slate(spark, tmp_path):
     feed = files.read_schedule(spark, schedule_file(tmp_path))
     plan = files.schedule(feed)
-    assert [r["game_pk"] for r in plan.collect()] == [77]
-    assert files.schedule_ids(feed).first()["games"] == [77]
-    wider = roster(spark, [(144, 901, "Home Starter")])
+    assert [r["game_pk"] for r in plan.collect()] == [5511]
+    assert files.schedule_ids(feed).first()["games"] == [5511]
+    wider = roster(spark, [HOST_ARM])
     built = slate.build(pages(spark, page()), plan, roster(spark), wider)
     ids = {r["team_id"]: (r["mlb_id"], r["probable_pitcher_id"], r["game_pk"]) for r in built.starters.collect()}
-    assert ids == {135: (900, 900, 77), 144: (901, 901, 77)}
-    assert built.lineups.where("mlb_id = 201").first()["player_name"] == "Home Batter 1"
+    assert ids == {GUEST[2]: (6001, 6001, 5511), HOST[2]: (6002, 6002, 5511)}
+    assert built.lineups.where("mlb_id = 5201").first()["player_name"] == "Host Hitter No1"
     paths = slate.write(built, str(tmp_path / "out"))
-    assert spark.read.parquet(paths[0]).count() == 18 and paths[0].endswith("daily_lineups_2025-06-01.parquet")
-    aliased = slate.build(pages(spark, page()), plan, roster(spark), aliases=spark.createDataFrame([(144, "Home Starter", 901)], "team_id long, player_name string, mlb_id long"))
-    assert aliased.starters.where("mlb_id = 901").count() == 1
+    assert spark.read.parquet(paths[0]).count() == 18 and paths[0].endswith("daily_lineups_2023-08-09.parquet")
+    aliased = slate.build(pages(spark, page()), plan, roster(spark), aliases=spark.createDataFrame([(HOST[2], "Host Arm", 6002)], "team_id long, player_name string, mlb_id long"))
+    assert aliased.starters.where("mlb_id = 6002").count() == 1
     with pytest.raises(ValueError):
-        slate.build(pages(spark, page()), plan, roster(spark))  # the home starter is on no roster
+        slate.build(pages(spark, page()), plan, roster(spark))  # the host's starter is on no roster
     with pytest.raises(ValueError):
         slate.build(pages(spark, page()), plan, wider, require_confirmed=True)
+    sure = slate.build(pages(spark, page(confirmed=(True, True))), plan, wider, require_confirmed=True)
+    with pytest.raises(ValueError, match="starters are not confirmed"):
+        checks.slate(sure.lineups, sure.starters.withColumn("lineup_status", F.lit("projected")), True)
     with pytest.raises(ValueError):
-        slate.build(pages(spark, page()), files.schedule(files.read_schedule(spark, schedule_file(tmp_path, 902))), wider)
+        slate.build(pages(spark, page()), files.schedule(files.read_schedule(spark, schedule_file(tmp_path, 6003))), wider)
     with pytest.raises(ValueError):
-        slate.resolve(built.lineups.drop("mlb_id"), wider.unionByName(spark.createDataFrame([(135, 1, "AWAY batter-1")], "team_id long, mlb_id long, player_name string")))
+        slate.resolve(built.lineups.drop("mlb_id"), wider.unionByName(spark.createDataFrame([(GUEST[2], 1, "GUEST hitter-no1")], "team_id long, mlb_id long, player_name string")))
     with pytest.raises(ValueError):
-        slate.build(pages(spark, page(away="MIA")), plan, wider)
+        slate.build(pages(spark, page(guest="MIA")), plan, wider)
 
 
 def test_levels_end_to_end(spark, tmp_path):
@@ -151,12 +168,27 @@ def test_levels_end_to_end(spark, tmp_path):
             for i in range(1, 10):
                 rows.append({"game_pk": g, "game_date": day, "inning_topbot": half, "pitcher": pitcher, "batter": 100 * pitcher + i, "at_bat_number": i + (50 if half == "Bot" else 0), "events": "strikeout" if (i + g) % 3 == 0 else "field_out", "type": "S" if (i + g) % 3 == 0 else "X", "description": "swinging_strike" if (i + g) % 3 == 0 else "hit_into_play", "woba_denom": 1, "woba_value": 0.1})
     files.write(pitch_frame(spark, *rows), files.season_path(paths.data, 2024))
-    levels.run_all(spark, paths, [2024])
+    with pytest.raises(ValueError, match="not official"):
+        levels.run_all(spark, paths, [2024], official={2024: [1, 2, 3]})
+    levels.run_all(spark, paths, [2024], official={2024: [1, 2, 3, 4]})
     out = spark.read.parquet(paths.artifact("pitcher_training"))
     assert out.count() == 8 and out.where("k_rate_std is null").count() == 2
     last = out.where("game_pk = 4 and pitcher = 1").first()
     assert last["k_rate_std"] == pytest.approx(1 / 3) and last["opp_lineup_size"] == 9 and last["park_k_factor"] == 1.0
     assert "Whiffs" not in out.columns and checks.model_features(out)
-    assert spark.read.parquet(paths.artifact("batter_training")).count() == 72
+    batters = spark.read.parquet(paths.artifact("batter_training"))
+    assert batters.count() == 72 and "is_initial_lineup" in batters.columns
+    assert {"k_rate_std", "is_home", "park_k_factor"} <= set(checks.model_features(batters)) and "is_initial_lineup" not in checks.model_features(batters)
+    report = trainer.run(spark, paths, "mean")
+    assert sum(report["rows"].values()) == 8 and report["cutoffs"]["train_end"] < report["cutoffs"]["validation_start"] <= report["cutoffs"]["validation_end"] < report["cutoffs"]["test_start"]
+    stored = json.loads((tmp_path / "out" / "mean_k_rate.json").read_text())
+    assert stored["evaluation"] == report and stored["ordered_feature_sha256"] == hashlib.sha256("\n".join(stored["features"]).encode()).hexdigest()
+    for model in ("none", "ridge"):  # there is no such model, and here the target does not vary
+        with pytest.raises(ValueError):
+            trainer.run(spark, paths, model)
+    found = studies.run(spark, paths, "pitcher", [2024], n_boot=5)
+    assert found.count() == 2 * len(vocab.PITCHER_SPECS) or found.count() == 0
+    with pytest.raises(ValueError):
+        studies.run(spark, paths, "pitcher", [2023, 2024])
     some = files.load_seasons(spark, paths.data, [2024], ["pitcher", "not_there"])
     assert some.columns == ["pitcher", "game_pk", "game_date", "game_year"]
