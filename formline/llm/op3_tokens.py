@@ -4,7 +4,7 @@ Every id is replaced by its rank by corpus frequency, so frequent ids take one b
 byte lengths (1 to 4) of four values, two bits each; data bytes follow in a column of their own. Decoding looks the control bytes
 up in a table of 256 rows and gathers the data bytes with numpy. A file is a Parquet part of blocks: documents in ascending
 doc_id order, of about BLOCK ids together, with the block's place within its shard; a codebook beside them maps ranks to ids.
-Texts are tokenised once, where they lie, into vocabulary numbers; those are counted, and then shuffled, by ranges of doc_id, in the texts' stead.
+Texts are tokenised and their ids counted once, where they lie; vocabulary numbers are then shuffled, by ranges of doc_id, in the texts' stead.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from formline.llm.common import CHUNK, arrow_map, chunks, documents, materialize, type_of
+from formline.llm.common import CHUNK, arrow_map, chunks, documents, materialize, settled, type_of
 
 BLOCK = 1 << 18
 END_ID = 2
@@ -133,27 +134,34 @@ def _tokenizer(path: str, end_id: int) -> WordTokenizer:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and body, the ids of each text by vocabulary number with the end id."""
+    """doc_id and body, the ids of each text by vocabulary number with the end id. A task's last row (last is true) has no document but, in counts, how often each id came in the task."""
+    key = to_arrow_schema(docs.select("doc_id").schema).field("doc_id").type
+    schema = pa.schema([("doc_id", key), ("body", pa.binary()), ("last", pa.bool_()), ("counts", pa.binary())])
 
-    def f(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "body": _tokenizer(path, end_id).bodies(batch.column("text"))}
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _tokenizer(path, end_id)
+        total = np.zeros(tok.size, np.int64)
+        for batch in it:
+            for piece in chunks(batch, 2 * CHUNK):
+                bodies = tok.bodies(piece.column("text"))
+                total += np.bincount(np.frombuffer(bodies.buffers()[2], tok.kind), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(key), bodies, pa.repeat(False, len(bodies)), pa.nulls(len(bodies), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"doc_id": None, "body": None, "last": True, "counts": total.astype("<i8").tobytes()}], schema=schema)
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, body binary", 2 * CHUNK)
+    return docs.select("doc_id", "text").mapInArrow(settled(f), f"doc_id {type_of(docs, 'doc_id')}, body binary, last boolean, counts binary")
 
 
-def frequencies(bodies: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(id, n) over all bodies of tokenise(); at most one row for each id of the vocabulary and task before the shuffle."""
+def frequencies(counts: DataFrame) -> DataFrame:
+    """(id, n) from the counts of tokenise()'s tasks; at most one row for each id of the vocabulary and task before the shuffle."""
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path, end_id)
-        total = np.zeros(tok.size, np.int64)
         for batch in it:
-            for piece in chunks(batch):
-                total += np.bincount(np.frombuffer(b"".join(piece.column("body").to_pylist()), tok.kind), minlength=len(total))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
+            for raw in batch.column("counts").to_pylist():
+                total = np.frombuffer(raw, "<i8")
+                ids = np.flatnonzero(total)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
 
-    return bodies.select("body").mapInArrow(f, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(f, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -192,8 +200,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     """
     path = path or tokenizer_file()
     spark = docs.sparkSession
-    bodies = materialize(tokenise(docs, path, end_id), "op3-bodies", "zstd")
-    counted = frequencies(bodies, path, end_id).collect()  # a row for each id of the vocabulary at most
+    stored = materialize(tokenise(docs, path, end_id), "op3-bodies", "zstd")
+    bodies = stored.where("not last").select("doc_id", "body")
+    counted = frequencies(stored.where("last").select("counts")).collect()  # a row for each id of the vocabulary at most
     ids = [i for i, _ in sorted(((r["id"], r["n"]) for r in counted), key=lambda x: (-x[1], x[0]))]
     codebook = materialize(spark.createDataFrame(list(enumerate(ids)), "rank int, id long"), "op3-codebook")
     rank = np.zeros(max(ids, default=0) + 1, np.uint32)
