@@ -40,7 +40,7 @@ def test_windows_share_one_exchange(spark):
 
 
 def test_native_queries(spark):
-    allowed = {"html_extract", "ridge_metrics", "boosted_metrics", "ablation_summary"}
+    allowed = {"html_extract", "lineup_pages", "starter_pages", "ridge_metrics", "boosted_metrics", "ablation_summary"}
     for name, query in registry.queries().items():
         if name not in allowed:
             assert not re.search("Python|Pandas|Arrow", plan(query(spark, SF))), name
