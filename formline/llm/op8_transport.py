@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from formline.llm.common import arrow_map, documents, materialize, texts, type_of
 
 # Fixed values of the format.
-PACKET, SYNC, PAT_PID, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x06, 0xBD
+PACKET, SYNC, PAT_PID, NULL_PID, STREAM_TYPE, STREAM_ID = 188, 0x47, 0, 0x1FFF, 0x06, 0xBD
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
 UNIT, RANDOM_EVERY, TICKS = 8192, 8, 3600
 MULTIPLE = 64
@@ -135,8 +135,11 @@ def _sections(packets: np.ndarray) -> Iterator[bytes]:
         yield raw[at : at + 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0x0FFF)]
 
 
-def demux(data: bytes) -> Stream:
-    """Parse a transport stream. A length that is no multiple of 188 or a lost sync byte raises ValueError."""
+def demux(data: bytes, program: int | None = None) -> Stream:
+    """Parse a transport stream: the first stream of a program, or of the first one. A length that is no multiple of 188 or a lost sync byte raises ValueError.
+
+    Null packets are passed over. Packets without payload do not count on; a packet sent twice is taken once; a jump that its packet announces is no error.
+    """
     if len(data) % PACKET:
         raise ValueError("not a whole number of packets")
     p = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
@@ -144,10 +147,17 @@ def demux(data: bytes) -> Stream:
         raise ValueError("sync byte lost")
     out = Stream(packets=len(p))
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    counter = p[:, 3] & 15
-    for own in np.unique(pid):
-        c = counter[pid == own].astype(np.int32)
-        out.errors += int(((c[1:] - c[:-1]) % 16 != 1).sum())
+    has_payload, has_field = (p[:, 3] & 0x10) > 0, (p[:, 3] & 0x20) > 0
+    jumps = has_field & (p[:, 4] > 0) & ((p[:, 5] & 0x80) > 0)
+    taken = has_payload & (pid != NULL_PID)
+    for own in np.unique(pid[taken]):
+        at = np.flatnonzero(taken & (pid == own))
+        again = np.append(False, (p[at[1:]] == p[at[:-1]]).all(axis=1))
+        taken[at[again]] = False
+        at = at[~again]
+        c = (p[at, 3] & 15).astype(np.int32)
+        out.errors += int((((c[1:] - c[:-1]) % 16 != 1) & ~jumps[at[1:]]).sum())
+    p, pid = p[taken], pid[taken]
 
     def tables(at: int, table_id: int) -> list[bytes]:
         good = []
@@ -161,7 +171,7 @@ def demux(data: bytes) -> Stream:
 
     programs = [struct.unpack_from(">HH", s, i) for s in tables(PAT_PID, 0)[:1] for i in range(8, len(s) - 4, 4)]
     streams = []
-    for map_pid in [x & 0x1FFF for number, x in programs if number]:
+    for map_pid in [x & 0x1FFF for number, x in programs if number and program in (None, number)]:
         for s in tables(map_pid, 2)[:1]:
             at = 12 + (struct.unpack_from(">H", s, 10)[0] & 0x0FFF)
             while at < len(s) - 4:
@@ -177,7 +187,7 @@ def demux(data: bytes) -> Stream:
     begins = np.concatenate([[0], np.cumsum(PACKET - start)])
     first = np.flatnonzero(es[:, 1] & 0x40)
     random = has_field & (es[:, 4] > 0) & ((es[:, 5] & 0x40) > 0)
-    raw, ends = body.tobytes(), [*begins[first[1:]], begins[-1]]
+    raw, ends = body.tobytes(), [*begins[first[1:]], begins[-1]][: len(first)]
     units = []
     for k, (i, end) in enumerate(zip(first, ends, strict=True)):
         at = int(begins[i])
