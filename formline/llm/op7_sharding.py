@@ -70,21 +70,23 @@ def fill(counts: dict[int, int], shards: int = SHARDS, virtual_nodes: int = VIRT
     return runs
 
 
-def cell_of(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, _HEX_DIGITS), 16, 10).cast("int")
+def cell_of(doc_id: Column, *instead: Column) -> Column:
+    """The cell of a doc_id; of a null one that of what stands instead of it."""
+    none = F.concat_ws(":", F.lit("null"), *[F.coalesce(c.cast("string"), F.lit("")) for c in instead])
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), none).cast("binary")), 1, _HEX_DIGITS), 16, 10).cast("int")
 
 
 def shard(df: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """df with shard (int, from 0) and slot (long, gapless from 0 in each shard). Row counts of shards differ by one at most.
 
     df is read twice and has to give the same rows both times. Order within a cell: doc_id, then size and text_crc32 where df has
-    them. Repeated rows take neighbouring places in any order. A null doc_id hashes as such. An empty table gives an empty result.
+    them. Repeated rows take neighbouring places in any order. A null doc_id hashes as such, with size and text_crc32. An empty table gives an empty result.
     Columns of df named shard, slot or _r_* are replaced.
     """
-    base = df.drop("shard", "slot").withColumn("_r_cell", cell_of(F.col("doc_id")))
+    ties = [c for c in ("size", "text_crc32") if c in df.columns]
+    base = df.drop("shard", "slot").withColumn("_r_cell", cell_of(F.col("doc_id"), *map(F.col, ties)))
     counts = {r[0]: r[1] for r in base.groupBy("_r_cell").count().collect()}  # CELLS rows at most
-    ties = ["doc_id", *[c for c in ("size", "text_crc32") if c in df.columns]]
-    base = base.withColumn("_r_rank", F.row_number().over(Window.partitionBy("_r_cell").orderBy(*ties)).cast("long") - 1)
+    base = base.withColumn("_r_rank", F.row_number().over(Window.partitionBy("_r_cell").orderBy("doc_id", *ties)).cast("long") - 1)
     runs = literal_rows(df.sparkSession, fill(counts, shards, virtual_nodes), "cell int, rank long, shard int, slot long")
     # a cell's runs in one row: one match a row of df, and a table of CELLS rows at most
     runs = runs.groupBy(F.col("cell").alias("_r_cell")).agg(F.array_sort(F.collect_list(F.struct("rank", "shard", "slot"))).alias("_r_runs"))
