@@ -30,11 +30,16 @@ _ORDER = list(KINDS)
 SCOPE = 160
 #: Rows with spans that are broadcast at most, and a quarter of their spans; beyond, texts meet them by a shuffled join.
 BROADCAST_ROWS = 200_000
+#: Matches whose positions are added up one by one.
+_CHUNK = 256
 _SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 
 def _spans(text: Column, pattern: str, kind: str, least: int = 0, most: int = 1 << 30, group: int = 0) -> Column:
-    """Spans of the pattern's leftmost non-overlapping matches whose group has least to most code points."""
+    """Spans of the pattern's leftmost non-overlapping matches whose group has least to most code points.
+
+    Positions are sums over the matches before; they are taken in chunks, as an array that grows by one is copied each time.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
@@ -47,9 +52,18 @@ def _spans(text: Column, pattern: str, kind: str, least: int = 0, most: int = 1
         out = F.when(F.length(x["value"]).between(least, most), F.array_append(acc["out"], span)).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
+    def spans(matches: Column, at: Column) -> Column:
+        return F.aggregate(matches, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def before(acc: Column, chunk: Column) -> Column:
+        length = F.aggregate(chunk, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["found"]))
+        return F.struct((acc["at"] + length).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
     matches = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("found"), value.alias("value"))
-    spans = F.aggregate(matches, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _CHUNK).cast("int")), lambda i: F.slice(matches, i * _CHUNK + 1, F.lit(_CHUNK)))
+    starts = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), before, lambda acc: acc["out"])
+    many = F.flatten(F.zip_with(chunks, starts, spans))
+    return F.when(~text.rlike(pattern), empty).when(F.size(found) <= _CHUNK, spans(matches, F.lit(0))).otherwise(many)
 
 
 def render(spans: Column) -> Column:
