@@ -30,9 +30,9 @@ from formline.llm.common import CHUNK, arrow_map, documents, type_of
 SAMPLES = 2
 THETA = 1.0
 #: Lattice nodes that a worker keeps; beyond them it starts anew. Results do not depend on it.
-NODES = 800_000
+NODES = 400_000
 #: Characters of texts that are sampled together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 #: A set of ways through a word that holds less than this share of its mass cannot be told from rounding and counts as empty.
 LEAST_MASS = 1e-12
 _CUT = re.compile(r" *[^ \n]+| +|\n")
@@ -480,7 +480,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, path: str | None = None) -> DataFr
                     out[c].append(x)
         return {"doc_id": batch.column("doc_id").take(pa.array(out.pop("row"), pa.int64()))} | out
 
-    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double", CHUNK // 2, lambda: _lattices(path).clear())
+    return arrow_map(docs.select("doc_id", "text"), f, f"doc_id {type_of(docs, 'doc_id')}, sample int, ids array<int>, log_p double, perturbed double, log_inclusion double", CHUNK // 4, lambda: _lattices(path).clear())
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -514,4 +514,4 @@ def op2_pieces(spark: SparkSession, sf_dir: str, k: int = SAMPLES) -> DataFrame:
             out["decoded"].append(all(x == raw for x in vocabulary.decode(ids)))
         return {"doc_id": batch.column("doc_id")} | out
 
-    return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean", CHUNK // 2, lambda: _lattices(path).clear())
+    return arrow_map(docs, f, f"doc_id {type_of(docs, 'doc_id')}, n_tokens array<long>, ids_crc32 array<long>, log_p array<double>, log_inclusion array<double>, decoded boolean", CHUNK // 4, lambda: _lattices(path).clear())
