@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm.common import arrow_map, documents, texts, type_of
+from formline.llm.common import arrow_map, chunks, documents, texts, type_of
 
 BITS = 18
 #: Labelled rows that a model is fitted on at most: those first by a hash of doc_id.
@@ -105,23 +105,26 @@ def train(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most: int = T
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, one = Ftrl(bits), np.float32([1])
-        held = []
         for batch in it:
-            for y, i, x in zip(*[batch.column(c).to_pylist() for c in "yix"], strict=True):
-                held.append((y, np.append(np.frombuffer(i, np.int32), np.int32(1 << bits)), np.append(np.frombuffer(x, np.float32), one)))
-        for _ in range(epochs):
-            for y, i, x in held:
-                model.update(i, x, y)
+            for piece in chunks(batch):
+                for y, i, x in zip(*[piece.column(c).to_pylist() for c in "yix"], strict=True):
+                    model.update(np.append(np.frombuffer(i, np.int32), np.int32(1 << bits)), np.append(np.frombuffer(x, np.float32), one), y)
         yield pa.RecordBatch.from_pydict({"w": pa.array([model.weights(slice(None)).astype("<f4").tobytes()], pa.binary())})
 
     first = rows.select("_order", "doc_id", "text", F.col("label").cast("int").alias("label"))
     made = arrow_map(first, vectors, f"o long, d {type_of(rows, 'doc_id')}, y int, i binary, x binary")
-    got = made.orderBy("o", "d", "i", "y").limit(most).repartition(1).sortWithinPartitions("o", "d", "i", "y").mapInArrow(fit, "w binary").collect()
+    # each epoch's rows come as rows of their own, so the task that takes them in order holds a few at a time
+    order = ["e", "o", "d", "i", "y"]
+    passes = made.orderBy(*order[1:]).limit(most).select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("e"))
+    got = passes.repartition(1).sortWithinPartitions(*order).mapInArrow(fit, "w binary").collect()
     return np.frombuffer(got[0]["w"], "<f4") if got else np.zeros((1 << bits) + 1, "<f4")
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of docs. Null and empty texts get the score of the intercept alone."""
+    """doc_id and score (0 to 1) of every row of docs. Null and empty texts get the score of the intercept alone.
+
+    Repeated rows each get their row and one score; texts are read whole; an empty table gives an empty result; other columns are not read, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 4 * (2 ** bits + 1) bytes
 
     def f(batch: pa.RecordBatch) -> dict:
@@ -144,7 +147,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 
 def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, held_out, score, predicted."""
+    """All documents: doc_id, held_out, score, predicted. Without labels every score is 0.5; a null doc_id is not held out; see score() for other hard rows."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     weights = train(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score(docs, weights)
