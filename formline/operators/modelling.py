@@ -28,11 +28,6 @@ def chronological_split(df: DataFrame, train: float = 0.70, validation: float =
     return df.withColumn("split", F.when(F.col("game_date") < F.lit(cuts["v"]), "train").when(F.col("game_date") < F.lit(cuts["t"]), "validation").otherwise("test"))
 
 
-def require_sorted(dates: Sequence) -> None:
-    if any(a > b for a, b in zip(dates, dates[1:], strict=False)):
-        raise ValueError("rows are not in order of date")
-
-
 # Research folds as (name, training before, validation from, validation before).
 FOLDS = (("2023_h2", "2023-07-01", "2023-07-01", "2024-01-01"), ("2024_h1", "2024-01-01", "2024-01-01", "2024-07-01"), ("2024_h2", "2024-07-01", "2024-07-01", "2025-01-01"))
 
@@ -115,11 +110,12 @@ def best_round(errors: Sequence[float], patience: int) -> int | None:
     return None
 
 
-def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 5000, rate: float = 0.03, depth: int = 5, seed: int = 42, patience: int = 200) -> DataFrame:
+def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 5000, rate: float = 0.03, depth: int = 5, seed: int = 42, patience: int | None = 200) -> DataFrame:
     """df with prediction of boosted trees, cut where the squared error of the validation rows is least. Nulls become medians with indicators, as the trees take none.
 
     Spark's own stop has no patience and its fits cannot be continued, so the fit is repeated with twice the trees until `patience`
     rounds bring no smaller error, or with all `trees`. A tree depends on the ones before it alone: a shorter fit is the start of a longer one.
+    Without patience all `trees` are fitted and taken, and no validation rows are wanted.
     """
     from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 
@@ -128,6 +124,9 @@ def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None and sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="formline-"))  # else the plan of each tree holds all earlier ones
+    if patience is None:
+        model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed).fit(data.where("split = 'train'").select("_features", target))
+        return model.transform(data).withColumn("prediction", clip(F.col("prediction"))).drop("_features", *names)
     train, validation = (data.where(F.col("split") == part).select("_features", target).persist() for part in ("train", "validation"))
     try:
         n, best = min(trees, 2 * patience), None
@@ -198,14 +197,18 @@ def ablation_summary(scores: DataFrame) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("mean_mae_gain"), "model", "configuration")
 
 
-def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], folds=FOLDS, target: str = TARGET, alpha: float = 1.0) -> DataFrame:
-    """(fold, model, configuration, n, mae, rmse, r2, mae_gain) of ridge and mean models for every fold and column set. A fit is a job of its own; their scores are rows."""
+def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], folds=FOLDS, target: str = TARGET, alpha: float = 1.0, trees: int = 0) -> DataFrame:
+    """(fold, model, configuration, n, mae, rmse, r2, mae_gain) of ridge, mean and, if there are to be trees, boosted models for every fold and column set. A fit is a job
+    of its own; their scores are rows."""
     tagged, parts = research_folds(df, folds), []
     for fold, *_ in folds:
         mine = tagged.where(F.col("fold") == fold).withColumn("split", F.when(F.col("role") == "train", "train").otherwise("test")).drop("fold", "role").persist()
         try:
             for name, columns in sets.items():
-                for model, out in (("ridge", ridge(mine, columns, target, alpha)), ("mean", mean_baseline(mine, target))):
+                fitted = {"ridge": ridge(mine, columns, target, alpha), "mean": mean_baseline(mine, target)}
+                if trees:
+                    fitted["boosted"] = boosted(mine, columns, target, trees, patience=None)
+                for model, out in fitted.items():
                     row = metrics(out.where("split = 'test'"), target=target).first()
                     parts.append((fold, model, name, row["n"], row["mae"], row["rmse"], row["r2"]))
         finally:

@@ -96,9 +96,16 @@ def main(args: Sequence[str] | None = None) -> None:
     parser.add_argument("years", nargs="+", type=int)
     parser.add_argument("--register", help="CSV of player ids and names")
     parser.add_argument("--schedules", help="folder with a schedule feed YEAR.json of each season, to hold the seasons against")
+    parser.add_argument("--players", help="where the player map is kept; made from the register if it is not there")
+    parser.add_argument("--refresh", action="store_true", help="make it anew")
+    parser.add_argument("--people", help="people feeds whose names complete the register")
     given = parser.parse_args(args)
     spark = session()
-    players = identity.player_map(files.register(spark, given.register), "_place") if given.register else None
+    players = None
+    if given.register:
+        read = lambda: files.register(spark, given.register)
+        players = identity.load_player_map(spark, given.players, read, given.refresh) if given.players else identity.player_map(read(), "_place")
+        players = identity.complete(players, files.read_people(spark, given.people)) if given.people else players
     official = {y: files.schedule_ids(files.read_schedule(spark, f"{given.schedules}/{y}.json")).first()["games"] for y in given.years} if given.schedules else None
     run_all(spark, Paths.from_environment(), given.years, players=players, official=official)
 

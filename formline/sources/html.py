@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -95,31 +95,45 @@ def _team(node: Node) -> str:
     return code
 
 
+def _plates(side: Node) -> Iterator[tuple[str, Node | None]]:
+    """The name plates of a side: its pitcher's, which is a child of his box or missing, and one of each listed batter."""
+    box = side.first("lineup-card-pitcher")
+    own = [c for c in box.children if isinstance(c, Node) and c.tag == "span" and "player-nameplate" in c.classes] if box else []
+    yield "starter", own[0] if own else None
+    for body in side.all("lineup-card-body")[:1]:
+        yield from (("lineup", line.first("player-nameplate", tag="span")) for line in body.all("lineup-card-player", tag="li"))
+
+
+#: What a batter's plate says beside the player.
+_LINE = {
+    "batting_order": lambda plate: _number(small.text() if (small := plate.first("small", tag="span")) else None),
+    "position": lambda plate: plate.attributes.get("data-position") or None,
+    "salary": lambda plate: _number(plate.attributes.get("data-salary")),
+}
+
+
+def _side_rows(side: Node, teams: Sequence[str], is_home: bool) -> Iterator[dict]:
+    """Rows of one side of a card whose teams are away and home."""
+    codes = dict(zip(("away", "home"), teams, strict=True)) | {"": teams[is_home], "opponent": teams[not is_home]}
+    named = {"away_team": "away", "home_team": "home", "team": "", "opponent": "opponent"}
+    common = {column: codes[k] for column, k in named.items()}
+    common |= {f"{column}_id" if column != "opponent" else "opponent_team_id": vocab.TEAM_IDS[codes[k]] for column, k in named.items()}
+    open_ = any("unconfirmed" in body.classes for body in side.all("lineup-card-body")[:1])
+    common |= {"is_home": is_home, "lineup_status": "projected" if open_ else "confirmed"}
+    for kind, plate in _plates(side):
+        line = {c: read(plate) if plate and kind == "lineup" else None for c, read in _LINE.items()}
+        yield {**common, "kind": kind, **_player(plate), **line}
+
+
 def slate_rows(html: str) -> list[dict]:
     """Rows of a page: kind `lineup` for each listed batter, `starter` for each side's pitcher. Cards without two teams and two lineups are skipped."""
-    rows = []
+    rows: list[dict] = []
     for card in tree(html).all("module", "game-card"):
-        box = card.first("game-card-teams")
-        teams = box.all("team-nameplate-title") if box else []
+        titles = [t for box in card.all("game-card-teams")[:1] for t in box.all("team-nameplate-title")]
         sides = [n for box in card.all("game-card-lineups") for n in box.children if isinstance(n, Node) and "lineup-card" in n.classes]
-        if len(teams) != 2 or len(sides) != 2:
-            continue
-        away, home = map(_team, teams)
-        for is_home, side in ((False, sides[0]), (True, sides[1])):
-            body = side.first("lineup-card-body")
-            own, other = (home, away) if is_home else (away, home)
-            common = {
-                "away_team": away, "home_team": home, "away_team_id": vocab.TEAM_IDS[away], "home_team_id": vocab.TEAM_IDS[home], "team": own, "team_id": vocab.TEAM_IDS[own],
-                "opponent": other, "opponent_team_id": vocab.TEAM_IDS[other], "is_home": is_home, "lineup_status": "projected" if body and "unconfirmed" in body.classes else "confirmed",
-            }
-            pitcher = side.first("lineup-card-pitcher")
-            plate = next((c for c in pitcher.children if isinstance(c, Node) and c.tag == "span" and "player-nameplate" in c.classes), None) if pitcher else None
-            rows.append({**common, "kind": "starter", **_player(plate), "batting_order": None, "position": None, "salary": None})
-            for line in body.all("lineup-card-player", tag="li") if body else []:
-                plate = line.first("player-nameplate", tag="span")
-                order = plate.first("small", tag="span") if plate else None
-                attributes = plate.attributes if plate else {}
-                rows.append({**common, "kind": "lineup", **_player(plate), "batting_order": _number(order.text() if order else None), "position": attributes.get("data-position") or None, "salary": _number(attributes.get("data-salary"))})
+        if len(titles) == len(sides) == 2:
+            teams = [_team(t) for t in titles]
+            rows += [row for k, side in enumerate(sides) for row in _side_rows(side, teams, bool(k))]
     return rows
 
 

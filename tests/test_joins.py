@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from formline import vocab
 from formline.functions import expr as X
 from formline.operators import checks, identity, slate, training
-from formline.plans import levels, studies, trainer
+from formline.plans import levels, slates, studies, trainer
 from formline.sources import files, html
 from formline.sources.files import Paths
 
@@ -159,6 +159,23 @@ def test_slate(spark, tmp_path):
         slate.build(pages(spark, page(guest="MIA")), plan, wider)
 
 
+def test_slate_of_files(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_text(page())
+    players = {}
+    for team, mlb_id, name in (tuple(r) for r in roster(spark, [HOST_ARM]).collect()):
+        players.setdefault(team, []).append({"person": {"id": mlb_id, "fullName": name}})
+    host = players[HOST[2]].pop()  # aliased instead
+    (tmp_path / "active").mkdir()
+    for team, some in players.items():
+        (tmp_path / "active" / f"{team}.json").write_text(json.dumps({"team_id": team, "roster": some}))
+    (tmp_path / "aliases.csv").write_text(f"team_id,player_name,mlb_id\n{HOST[2]},Host Arm,{host['person']['id']}\n")
+    paths = slates.run(spark, "2023-08-09", str(tmp_path / "pages"), schedule_file(tmp_path), str(tmp_path / "active"), str(tmp_path / "out"), aliases=str(tmp_path / "aliases.csv"))
+    assert [spark.read.parquet(p).count() for p in paths] == [18, 2]
+    (tmp_path / "people.json").write_text(json.dumps({"people": [{"id": 5, "fullName": "Some One"}]}))
+    assert [tuple(r) for r in files.read_people(spark, str(tmp_path / "people.json")).collect()] == [(5, "Some One")]
+
+
 def test_levels_end_to_end(spark, tmp_path):
     paths = Paths(str(tmp_path / "data"), str(tmp_path / "out"))
     rows = []

@@ -121,7 +121,7 @@ def test_split(spark):
         with pytest.raises(ValueError):
             modelling.chronological_split(bad)
     with pytest.raises(ValueError):
-        modelling.require_sorted([2, 1])
+        modelling.research_folds(df, [("x", "2024-02-01", "2024-01-01", "2024-03-01")])
 
 
 def test_ridge_is_the_closed_form(spark):
@@ -149,9 +149,10 @@ def test_ablation(spark):
     sets = modelling.configurations(["a", "b"], {"second": "^b$"})
     assert sets == {"core": ["a"], "core+second": ["a", "b"], "all": ["a", "b"]}
     folds = (("one", "2023-04-01", "2023-04-01", "2023-05-01"),)
-    out = modelling.ablation_summary(modelling.ablation(df, sets, folds)).collect()
-    best = next(r for r in out if r["model"] == "ridge" and r["configuration"] == "all")
-    assert best["mean_mae_gain"] > 0 and best["folds_with_gain"] == 1
+    out = modelling.ablation_summary(modelling.ablation(df, sets, folds, trees=4)).collect()
+    for model in ("ridge", "boosted"):
+        best = next(r for r in out if r["model"] == model and r["configuration"] == "all")
+        assert best["mean_mae_gain"] > 0 and best["folds_with_gain"] == 1
     with pytest.raises(ValueError):
         modelling.configurations(["a"], {"none": "^z"})
     with pytest.raises(ValueError):
