@@ -53,14 +53,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     taken is epochs * size and, for rows before the point where the source's budget ends, once more the size; the row in which it
     ends adds just what is missing, so a source's taken words add up to its target rounded down. size names a column that
-    has the sizes already. Nulls: a null text has size 0, a null source is a source of its own that comes last, a null doc_id
-    is hashed as such. Ties and repeated rows: rows with equal doc_id stand together, by size; equal rows are interchangeable.
+    has the sizes already. Nulls: a null text has size 0, a null source is a source of its own that comes last, rows with a null doc_id
+    are hashed by size. Ties and repeated rows: rows with equal doc_id stand together, by size; equal rows are interchangeable.
     Columns of docs named like a result column or like _m_* give way to the result. An empty table gives an empty result.
     """
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))).cast("binary"))
     base = docs.drop("source_size", "target", "epochs", "taken", *([] if size == "size" else ["size"]))
-    base = base.withColumns({"size": F.col(size) if size else n_words(F.col("text")), "_m_key": key})
-    base = base.withColumn("_m_range", F.conv(F.substring("_m_key", 1, _HEX_DIGITS), 16, 10).cast("int"))
+    base = base.withColumn("size", F.col(size) if size else n_words(F.col("text")))
+    # rows without doc_id are spread by size
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size").cast("string"))), F.lit(str(seed)))
+    base = base.withColumn("_m_key", F.md5(key.cast("binary"))).withColumn("_m_range", F.conv(F.substring("_m_key", 1, _HEX_DIGITS), 16, 10).cast("int"))
     ranges = base.groupBy("source", "_m_range").agg(F.sum("size").alias("n"))
     sizes = source_targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     sizes = sizes.withColumn("budget", F.floor("target"))
@@ -105,7 +106,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{SEED}') AS k
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) || ':{SEED}') AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
