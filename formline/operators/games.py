@@ -43,8 +43,7 @@ def _constant(name: str) -> Column:
 
 def pitcher_games(df: DataFrame, least: int = vocab.LEAST_APPEARANCES) -> DataFrame:
     """Starts: counts, pairs, release, arsenal and rates by (game_pk, pitcher), starters with `least` plate appearances or more (0: all)."""
-    p = pitches.pitch_level(df)
-    p = p.join(pitches.starter_keys(df), ["game_pk", "pitcher"], "left_semi")
+    p = pitches.of_starters(pitches.pitch_level(df))
     in_play = F.col("type") == "X"
     out = p.groupBy("game_pk", "pitcher").agg(
         *map(_constant, ("game_date", "player_name", "home_team", "away_team", "p_throws", "inning_topbot")),
@@ -87,7 +86,7 @@ def pitcher_games(df: DataFrame, least: int = vocab.LEAST_APPEARANCES) -> DataFr
 
 def pitch_type_games(df: DataFrame, least: int = vocab.LEAST_APPEARANCES, check: bool = True) -> DataFrame:
     """Counts, pairs and rates by (game_pk, pitcher, pitch_type). TotalPitches counts all of the starter's pitches, tracked or not."""
-    p = pitches.pitch_level(df).join(pitches.starter_keys(df), ["game_pk", "pitcher"], "left_semi")
+    p = pitches.of_starters(pitches.pitch_level(df))
     start = Window.partitionBy("game_pk", "pitcher")
     p = p.withColumns({"TotalPitches": F.count("*").over(start), "_pa": F.count_if("is_pa").over(start)})
     if least > 0:

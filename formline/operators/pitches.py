@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import vocab
@@ -73,6 +73,15 @@ def starter_keys(df: DataFrame) -> DataFrame:
     return first.select("game_pk", "pitcher").distinct()
 
 
+def of_starters(df: DataFrame) -> DataFrame:
+    """The rows of starter_keys() pitchers, in one exchange by game that groups within games can go on with."""
+    first = F.struct("at_bat_number", "pitch_number")
+    opening = F.col("inning") == 1
+    half, game = Window.partitionBy("game_pk", "inning_topbot"), Window.partitionBy("game_pk")
+    out = df.repartition("game_pk").withColumn("_first", F.min_by(F.when(opening, F.col("pitcher")), F.when(opening, first)).over(half))
+    return out.withColumn("_starters", F.collect_set("_first").over(game)).where(F.array_contains("_starters", F.col("pitcher"))).drop("_first", "_starters")
+
+
 def batter_k_rate(df: DataFrame, least: int = 0) -> DataFrame:
     """Plate appearances, strikeouts and their ratio by batter, highest ratio first."""
     out = plate_appearances(df).groupBy("batter").agg(F.count("*").alias("PA"), F.count_if("is_k").alias("K"))

@@ -5,7 +5,9 @@ import re
 import pytest
 
 import __spark_entry__
+from formline.operators import games
 from formline.plans import registry
+from formline.sources import adapter
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +41,14 @@ def test_windows_share_one_exchange(spark):
     assert plan(out).count("Exchange hashpartitioning") == alone + 1
 
 
+def test_games_are_exchanged_once(spark):
+    raw = adapter.pitches(spark, SF)
+    before = plan(raw).count("Exchange hashpartitioning")
+    for build in (games.pitcher_games, games.pitch_type_games):
+        text = plan(build(raw, 0))
+        assert text.count("Exchange hashpartitioning") == before + 1 and text.count("lineitem.parquet") == plan(raw).count("lineitem.parquet")
+
+
 def test_native_queries(spark):
     allowed = {"html_extract", "lineup_pages", "starter_pages", "ridge_metrics", "boosted_metrics", "ablation_summary"}
     for name, query in registry.queries().items():
