@@ -35,6 +35,8 @@ NODES = 400_000
 TOGETHER = 1 << 18
 #: A set of ways through a word that holds less than this share of its mass cannot be told from rounding and counts as empty.
 LEAST_MASS = 1e-12
+#: Steps of a way for which numbers are drawn for all texts at once.
+_STEPS = 6
 _CUT = re.compile(r" *[^ \n]+| +|\n")
 
 _state: dict = {}
@@ -378,13 +380,15 @@ def sample_texts(lat: Lattices, texts: list[str], keys: np.ndarray, k: int = SAM
         steps = _draw(lat, first, idx, seed_of, s, place, new)
         ways: dict[int, tuple] = {}
         if s:
-            for t in np.flatnonzero(alive).tolist():
+            there = np.flatnonzero(alive)
+            first_steps = [_uniform(seed[there], s, step, leave[there]).tolist() for step in range(_STEPS)]
+            for j, t in enumerate(there.tolist()):
                 at = int(begins[t] + leave[t])
                 old = samples[parent[t]]
                 word, taken = old.special.get(t, (-1, []))
                 if word != leave[t]:
                     taken = [tuple(old.edge[old.at[at] : old.at[at] + old.count[at]].tolist())]
-                way = _otherwise(lat, int(first[at]), taken, lambda step, t=t, s=s: float(_uniform(seed[t : t + 1], s, step, np.array([leave[t]]))[0]))
+                way = _otherwise(lat, int(first[at]), taken, lambda step, t=t, s=s, j=j: first_steps[step][j] if step < _STEPS else float(_uniform(seed[t : t + 1], s, step, leave[t : t + 1])[0]))
                 if way is None:
                     raise ArithmeticError("a set of paths that has mass has no path")
                 ways[at] = way
