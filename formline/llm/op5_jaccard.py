@@ -109,8 +109,8 @@ def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
         return pd.DataFrame({"part": pdf["part"][:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     schema = "part int, counts binary"
-    # in two steps, so that no group has more than a thousandth of the tasks' tables
-    some = docs.select("text").mapInArrow(settled(f), schema).withColumn("some", F.spark_partition_id() % 1024)
+    # in two steps of 64 tasks' tables, and of the sums of 64 tasks
+    some = docs.select("text").mapInArrow(settled(f), schema).withColumn("some", F.floor(F.spark_partition_id() / 64))
     once = some.groupBy("part", "some").applyInPandas(add, schema)
     rows = once.groupBy("part").applyInPandas(add, schema).collect()
     out = np.zeros((parts, counters // parts), "<u4")
