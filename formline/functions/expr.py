@@ -91,6 +91,11 @@ def team_code(value: Column | str) -> Column:
 
 
 
+def local_date(moment: Column | str, zone: str = "America/New_York") -> Column:
+    """The date in a time zone at a moment of a session in UTC."""
+    return F.to_date(F.from_utc_timestamp(col(moment), zone))
+
+
 def sum_horizontal(names: Sequence[str]) -> Column:
     """Sum of columns in a row; null ones count 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in names])

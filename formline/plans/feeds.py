@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from formline import vocab
 from formline.functions import expr as X
-from formline.operators import checks, games, identity, modelling, reliability, rolling, slate, training
+from formline.operators import checks, games, identity, modelling, priors, reliability, rolling, slate, training
 from formline.plans import levels
-from formline.plans.registry import _BATTER, _COUNTED, _SEASON, _counted, _starts, query, rounded
+from formline.plans.registry import _BATTER, _CONSTANTS, _COUNTED, _SEASON, _counted, _starts, query, rounded
 from formline.sources import adapter, files, html
 from formline.sources.adapter import table
 
@@ -282,6 +282,33 @@ def ablation_gains(spark, d):
     return rounded(modelling.ablation_summary(modelling.with_gain(scores)), 4)
 
 
+@query("SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS day FROM events", ctes=False)
+def local_dates(spark, d):
+    """Dates of events in New York; the tables' times are UTC."""
+    return table(spark, d, "events").select("event_id", X.local_date(F.col("ts").cast("timestamp")).alias("day"))
+
+
+@query(
+    f"""WITH {_COUNTED}, s AS (SELECT season, CASE WHEN Outs >= 1 THEN (13 * HR + 3 * (BB + HBP) - 2 * K) / (Outs / 3) END AS core FROM counted)
+    SELECT season, count(core) AS n, round(avg(core), 6) AS core, round(avg(core) + 3.1::DOUBLE + (season - 1995)::DOUBLE / 100, 6) AS whole, round(3.1::DOUBLE + (season - 1995)::DOUBLE / 100, 6) AS least, round(3.1::DOUBLE + (season - 1995)::DOUBLE / 100, 6) AS most FROM s GROUP BY season"""
+)
+def fip_constant_audit(spark, d):
+    """Estimators with their constants joined to those without: the constant is all that tells them apart."""
+    starts = _counted(spark, d).withColumn("lg_hr_fb_prior", F.lit(0.1))
+    whole = priors.fip(starts, _CONSTANTS, least_outs=1).select("game_pk", "pitcher", "season", "FIP")
+    core = priors.fip(starts, include_constant=False, least_outs=1).select("game_pk", "pitcher", F.col("FIP").alias("core"))
+    both = whole.join(core, ["game_pk", "pitcher"]).withColumn("diff", F.col("FIP") - F.col("core"))
+    return rounded(both.groupBy("season").agg(F.count("core").alias("n"), F.avg("core").alias("core"), F.avg("FIP").alias("whole"), F.min("diff").alias("least"), F.max("diff").alias("most")))
+
+
+@query()
+def reliability_of_all(spark, d):
+    """The reliability table of all statistics that the study names. Without SQL: reliability_table is the same operator on three of them."""
+    from formline.plans import studies
+
+    return rounded(studies.reliability_table(_starts(spark, d)))
+
+
 # --- audits ---------------------------------------------------------------------------------------------------------------------
 
 

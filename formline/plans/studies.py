@@ -1,4 +1,4 @@
-"""The stabilisation study to files: python -m formline.plans.studies pitcher|batter|pitch_type."""
+"""The studies to files: python -m formline.plans.studies pitcher|batter|pitch_type|reliability."""
 
 from __future__ import annotations
 
@@ -34,6 +34,24 @@ def development_frame(df: DataFrame, seasons: Sequence[int] = SEASONS) -> DataFr
     return out
 
 
+def reliability_table(starts: DataFrame, window: int = 10) -> DataFrame:
+    """One row for each of the study's statistics that the starts have."""
+    return reliability.reliability_table(starts, dict.fromkeys(vocab.RATE_STATS, True) | dict.fromkeys(vocab.MEAN_STATS, False), window, "pitcher")
+
+
+def run_reliability(spark: SparkSession, paths: Paths, seasons: Sequence[int] = SEASONS) -> DataFrame:
+    """Writes the table of all statistics, their curves over starts and those over appearances and pitches, and returns the table."""
+    frame = development_frame(spark.read.parquet(paths.artifact("pitcher_games")), seasons)
+    place = f"{paths.output}/reliability"
+    stats = dict.fromkeys(vocab.RATE_STATS, True) | dict.fromkeys(vocab.MEAN_STATS, False)
+    table = reliability_table(frame)
+    files.write_csv(table, f"{place}/table")
+    files.write_csv(reliability.stabilization_curve(frame, stats, player="pitcher"), f"{place}/by_starts")
+    files.write_csv(reliability.stabilization_by_denominator(frame, vocab.PA_PLAN, range(25, 1001, 25), "pitcher"), f"{place}/by_appearances")
+    files.write_csv(reliability.stabilization_by_denominator(frame, vocab.PITCH_PLAN, range(100, 5001, 100), "pitcher"), f"{place}/by_pitches")
+    return table
+
+
 def run(spark: SparkSession, paths: Paths, population: str, seasons: Sequence[int] = SEASONS, n_boot: int = 300) -> DataFrame:
     """Writes the curves with their intervals and the summary as CSV and returns the summary."""
     artifact, player, table, by = POPULATIONS[population]
@@ -52,8 +70,9 @@ def main(args: Sequence[str] | None = None) -> None:
     from formline.session import session
 
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("population", choices=POPULATIONS)
-    run(session(), Paths.from_environment(), parser.parse_args(args).population).show(100, truncate=False)
+    parser.add_argument("study", choices=[*POPULATIONS, "reliability"])
+    spark, paths, study = session(), Paths.from_environment(), parser.parse_args(args).study
+    (run_reliability(spark, paths) if study == "reliability" else run(spark, paths, study)).show(200, truncate=False)
 
 
 if __name__ == "__main__":

@@ -207,5 +207,8 @@ def test_levels_end_to_end(spark, tmp_path):
     assert found.count() == 2 * len(vocab.PITCHER_SPECS) or found.count() == 0
     with pytest.raises(ValueError):
         studies.run(spark, paths, "pitcher", [2023, 2024])
+    table = studies.run_reliability(spark, paths, [2024])
+    assert {"K", "Whiffs", "xFIP", "ff_velo"} <= {r["stat"] for r in table.collect()} or table.count() == 0  # no player has twenty starts here
+    assert (tmp_path / "out" / "reliability" / "by_pitches" / "_SUCCESS").exists()
     some = files.load_seasons(spark, paths.data, [2024], ["pitcher", "not_there"])
     assert some.columns == ["pitcher", "game_pk", "game_date", "game_year"]
