@@ -5,13 +5,20 @@ Statistics become rows (unpivot), so a study of many statistics, targets or resa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formline.functions import expr as X
 
+#: Tasks that groups of pairs are dealt to for their resamples, which are much work on few bytes.
+GROUP_TASKS = 200
+
 
 def pearson(a: Column | str, b: Column | str, least: float = 1e-9, sample: bool = False) -> Column:
     """Aggregate: correlation of complete pairs; null below two pairs or if a standard deviation is under `least` (population, or sample)."""
@@ -116,6 +123,12 @@ def reliability_table(df: DataFrame, stats: Mapping[str, bool], window: int = 10
     return out.select("stat", "pearson", "spearman", "icc2", "yoy", "sem", "slope", "n", "tier").orderBy(F.desc_nulls_last("yoy"), "stat")
 
 
+def _passed(goals: Sequence[int], spec: int, den: int, before: Column, upto: Column, num: Column) -> Column:
+    """The goals that a running sum passes in a row, with the sums there."""
+    of = lambda t: F.struct(F.lit(spec).alias("spec"), F.lit(den).alias("den"), t.alias("target"), upto.alias("den1"), num.alias("num1"))
+    return F.transform(F.filter(F.array(*[F.lit(t) for t in goals]), lambda t: (t > before) & (t <= upto)), of)
+
+
 def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targets: Sequence[int] | Mapping[tuple[str, str], Sequence[int]], player: str = "player_name", strict: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """(by, stat, denom, player, target, a, b): a player's rows up to the one that reaches the target denominator, against the next ones that reach it again.
 
@@ -123,28 +136,47 @@ def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targe
     denominator are left out instead of dividing by 1. targets: the same for all of the plan, or each one's own. by: columns whose values are studied apart.
     """
     have = [(s, d, r) for (s, d), r in plan.items() if s in df.columns and d in df.columns]
-    goals = lambda s, d: F.array(*[F.lit(int(t)) for t in (targets[s, d] if isinstance(targets, Mapping) else targets)])
-    specs = [F.struct(F.lit(s).alias("stat"), F.lit(d).alias("denom"), (F.col(s) * (F.lit(1.0) if r else F.col(d))).cast("double").alias("num"), F.col(d).cast("double").alias("den"), goals(s, d).alias("goals")) for s, d, r in have]
     tie = F.col("game_pk") if "game_pk" in df.columns else F.lit(0)
-    rows = df.select(*by, F.col(player).alias("player"), "game_date", tie.alias("tie"), F.explode(F.array(*specs)).alias("s")).select(*by, "player", "game_date", "tie", "s.*")
-    rows = rows.where(F.col("num").isNotNull() & F.col("den").isNotNull() & ~F.isnan("num") & ~F.isnan("den"))
-    key = [*by, "stat", "denom", "player"]
-    order = Window.partitionBy(*key).orderBy("game_date", "tie")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select(*key, "goals", "den", F.row_number().over(order).alias("rn"), F.sum("den").over(upto).alias("cs"), F.sum("num").over(upto).alias("cn"))
-    # a target is first reached by the one row whose running sum passes it
-    passed = F.filter("goals", lambda t: (t > F.col("cs") - F.col("den")) & (t <= F.col("cs")))
-    one = rows.where(F.size(passed) > 0).select(*key, F.explode(passed).alias("target"), F.col("cs").alias("den1"), F.col("cn").alias("num1"))
-    # where it is reached again: the first row from den1 + target on, found by standing the wanted sums among the rows, largest first
-    wanted = one.select(*key, (F.col("den1") + F.col("target")).alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("rn"), "target", "den1", "num1", F.lit(None).cast("double").alias("cs"), F.lit(None).cast("double").alias("cn"))
-    there = rows.select(*key, F.col("cs").alias("at"), F.lit(0).alias("kind"), "rn", F.lit(None).cast("int").alias("target"), *[F.lit(None).cast("double").alias(c) for c in ("den1", "num1")], "cs", "cn")
-    latest = Window.partitionBy(*key).orderBy(F.desc("at"), "kind", F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    both = wanted.unionByName(there).withColumns({c: F.last(c, ignorenulls=True).over(latest) for c in ("cs", "cn")}).where("kind = 1 and cs is not null")
-    sums = both.select(*key, "target", "den1", "num1", (F.col("cs") - F.col("den1")).alias("den2"), (F.col("cn") - F.col("num1")).alias("num2"))
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    sure = {f.name for f in df.schema.fields if not f.nullable} & whole
+    key = [*by, "player"]
+    known = lambda s, d: F.col(s).isNotNull() & F.col(d).isNotNull() & ~F.isnan(F.col(s).cast("double")) & ~F.isnan(F.col(d).cast("double"))
+    # statistics that have no nulls share the running sums of their denominator
+    dens = list(dict.fromkeys((s if s not in sure else "", d) for s, d, _ in have))
+    den = [dens.index((s if s not in sure else "", d)) for s, d, _ in have]
+    # one exchange, by a hash of the player
+    hashed = df.select(*by, F.col(player).alias("player"), "game_date", tie.alias("tie"), *dict.fromkeys(c for s, d, _ in have for c in (s, d))).withColumn("_h", F.xxhash64(F.lit(1), *key)).repartition("_h")
+    value = {f"_d{i}": F.when(known(s or d, d), F.col(d).cast("double")).otherwise(0.0) for i, (s, d) in enumerate(dens)}
+    value |= {f"_n{i}": F.when(known(s, d), (F.col(s) * (F.lit(1.0) if r else F.col(d))).cast("double")).otherwise(0.0) for i, (s, d, r) in enumerate(have)}
+    order = Window.partitionBy("_h", *key).orderBy("game_date", "tie")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = hashed.select("_h", *key, "game_date", "tie", *[c.alias(n) for n, c in value.items()])
+    # sums of doubles before a row are taken as they were there, not by subtraction
+    ahead = lambda i, d: F.col(f"_c{i}") - F.col(f"_d{i}") if d in whole else F.coalesce(F.col(f"_p{i}"), F.lit(0.0))
+    rows = rows.select(
+        "_h", *key, *[f"_d{i}" for i in range(len(dens))], *[F.sum(f"_d{i}").over(upto).alias(f"_c{i}") for i in range(len(dens))], *[F.sum(f"_d{i}").over(before).alias(f"_p{i}") for i, (_, d) in enumerate(dens) if d not in whole],
+        *[F.sum(f"_n{i}").over(upto).alias(f"_s{i}") for i in range(len(have))],
+    )
+    rows = rows.select("_h", *key, F.array(*[f"_c{i}" for i in range(len(dens))]).alias("c"), F.array(*[ahead(i, d) for i, (_, d) in enumerate(dens)]).alias("p"), F.array(*[f"_s{i}" for i in range(len(have))]).alias("s"))
+    # a target is first reached by the one row whose running sum passes it; all targets are multiples of a step, and most rows pass none
+    goals = [sorted({int(t) for t in (targets[s, d] if isinstance(targets, Mapping) else targets)}) for s, d, _ in have]
+    step = [min(float(math.gcd(*g)) for g, j in zip(goals, den, strict=True) if j == i) for i in range(len(dens))]
+    c, p = (lambda i: F.get("c", F.lit(i))), (lambda i: F.get("p", F.lit(i)))
+    passing = [F.floor(c(i) / x) > F.floor(p(i) / x) for i, x in enumerate(step)]
+    found = [F.when(passing[j], _passed(g, i, j, p(j), c(j), F.get("s", F.lit(i)))).otherwise(F.array()) for i, (g, j) in enumerate(zip(goals, den, strict=True))]
+    one = rows.where(reduce(or_, passing)).select(F.col("_h").alias("_g"), *[F.col(k).alias(f"_of_{k}") for k in key], F.explode(F.flatten(F.array(*found))).alias("w"))
+    one = one.select(*one.columns[:-1], "w.*").withColumn("at", F.col("den1") + F.col("target"))
+    # where it is reached again: the one row whose running sum passes den1 + target
+    again = (F.col("at") <= F.get("c", F.col("den"))) & (F.col("at") > F.get("p", F.col("den")))
+    # equal or both null, in a form that is no key of the join: both sides stand by their hash already
+    same = [F.coalesce(F.col(k) == F.col(f"_of_{k}"), F.col(k).isNull() & F.col(f"_of_{k}").isNull()) for k in key]
+    both = rows.join(one, reduce(and_, same, (F.col("_h") == F.col("_g")) & again))
+    name = lambda i: F.get(F.array(*[F.lit(h[i]) for h in have]), F.col("spec"))
+    sums = both.select(*key, name(0).alias("stat"), name(1).alias("denom"), "target", "den1", "num1", (F.get("c", F.col("den")) - F.col("den1")).alias("den2"), (F.get("s", F.col("spec")) - F.col("num1")).alias("num2"))
     if strict:
         sums = sums.where("den1 > 0 and den2 > 0")
     part = lambda i: (F.col(f"num{i}") / F.greatest(F.col(f"den{i}"), F.lit(1e-300 if strict else 1.0)))
-    return sums.select(*key, "target", part(1).alias("a"), part(2).alias("b"))
+    return sums.select(*by, "stat", "denom", "player", "target", part(1).alias("a"), part(2).alias("b"))
 
 
 def stabilization_by_denominator(df: DataFrame, plan: Mapping[tuple[str, str], bool], targets: Sequence[int], player: str = "player_name", least: int = 50) -> DataFrame:
@@ -157,42 +189,51 @@ def bootstrap(pairs: DataFrame, n_boot: int = 300, least: int = 20, seed: int =
     """(by, target, median, low, high, valid): quantiles of r over resamples of players, duplicates kept.
 
     Each resample draws as many players as there are, by a hash of seed, resample and place, so reruns agree. Resamples are rows, all at
-    once; a draw meets its player by an equi-join on its number.
+    once; a draw meets its player by its place in the group's array.
     """
-    group = [*by, "target"]
-    numbered = pairs.select(*group, "a", "b", F.row_number().over(Window.partitionBy(*group).orderBy("player")).alias("i"), F.count("*").over(Window.partitionBy(*group)).alias("players"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "boot", "i"), F.col("players")) + 1
-    draws = numbered.select(*group, "players", "i", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).select(*group, "players", "boot", draw.alias("i"))
-    tried = draws.join(numbered.select(*group, "i", "a", "b"), [*group, "i"]).withColumn("w", F.lit(1))
-    key = [*by, "target", "boot"]
-    w, a, b = F.col("w"), F.col("a"), F.col("b")
-    m = tried.groupBy(*key).agg(F.count("*").alias("players"), F.sum(w).alias("n"), *[F.sum(w * x).alias(f"s{i}") for i, x in enumerate((a, b, a * a, b * b, a * b))])
+    groups = _grouped(pairs, [*by, "target"], F.lit(None).cast("double").alias("r"))
+    return _resampled(groups, [*by, "target"], n_boot, least, seed).drop("n", "r")
+
+
+def _grouped(pairs: DataFrame, group: Sequence[str], r: Column) -> DataFrame:
+    """(group, n, r, x): the pairs of each group as one array, in the players' order."""
+    # each group is its own piece of work, many resamples of few bytes
+    return pairs.repartition(GROUP_TASKS, *group).groupBy(*group).agg(F.count("*").alias("n"), r, F.sort_array(F.collect_list(F.struct("player", "a", "b"))).alias("x"))
+
+
+def _resampled(groups: DataFrame, group: Sequence[str], n_boot: int, least: int, seed: int = 42) -> DataFrame:
+    """(group, n, r, median, low, high, valid). Draws find their players by place in the group's array, so only sums over whole resamples are exchanged."""
+    arrays = groups.select(*group, "n", "r", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    tried = arrays.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "boot", "i"), F.col("n")).cast("int")
+    tried = tried.select(*group, "n", "r", "boot", F.get("a", draw).alias("a"), F.get("b", draw).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    m = tried.groupBy(*group, "n", "r", "boot").agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate((a, b, a * a, b * b, a * b))])
     va, vb = (F.col(f"s{i + 2}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) ** 2 for i in (0, 1))
     cov = F.col("s4") / F.col("n") - F.col("s0") * F.col("s1") / F.col("n") ** 2
     good = (F.col("n") >= least) & (va > 1e-15) & (vb > 1e-15)
-    r = m.select(*by, "target", F.when(good, cov / F.sqrt(va * vb)).alias("r")).groupBy(*by, "target")
-    return r.agg(F.percentile("r", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"), F.count("r").alias("valid")).select(*by, "target", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("low"), F.get("q", F.lit(2)).alias("high"), "valid")
+    q = m.select(*group, "n", "r", F.when(good, cov / F.sqrt(va * vb)).alias("q")).groupBy(*group, "n", "r")
+    return q.agg(F.percentile("q", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"), F.count("q").alias("valid")).select(*group, "n", "r", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(("median", "low", "high"))], "valid")
 
 
 def study(df: DataFrame, specs: Mapping[str, tuple[str, str, Sequence[int]]], player: str = "player_name", by: Sequence[str] = (), least: int = 50) -> DataFrame:
     """(by, stat, denom, crossings of r, low and high): counts over denominators, each up to targets of its own, with intervals over resamples of players."""
     targets = {(num, den): goals for num, den, goals in specs.values()}
     plan, key = dict.fromkeys(targets, True), [*by, "stat", "denom"]
-    curve = denominator_pairs(df, plan, targets, player, by=by).groupBy(*key, "target").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("a", "b")).alias("r"))
-    interval = bootstrap(denominator_pairs(df, plan, targets, player, strict=True, by=by), by=key).select(*key, "target", "low", "high")
-    return crossings(curve.join(interval, [*key, "target"], "left"), key, least)
+    # where a positive target is reached no denominator is empty: strict pairs and others are the same
+    groups = _grouped(denominator_pairs(df, plan, targets, player, strict=True, by=by), [*key, "target"], F.when(F.count("*") >= least, pearson("a", "b")).alias("r"))
+    return crossings(_resampled(groups, [*key, "target"], 300, 20), key, least)
 
 
 def curves(df: DataFrame, specs: Mapping[str, tuple[str, str, Sequence[int]]], player: str = "player_name", by: Sequence[str] = (), n_boot: int = 300, least: int = 50) -> DataFrame:
     """(by, stat, denom, target, observed_r, n_qualified_players, median, low, high, valid, median_denominator, typical_starts): the study's curve of each statistic at each target."""
     targets = {(num, den): goals for num, den, goals in specs.values()}
     plan, key = dict.fromkeys(targets, True), [*by, "stat", "denom"]
-    seen = denominator_pairs(df, plan, targets, player, by=by).groupBy(*key, "target").agg(F.when(F.count("*") >= least, pearson("a", "b")).alias("observed_r"))
-    strict = denominator_pairs(df, plan, targets, player, strict=True, by=by)
-    qualified = strict.groupBy(*key, "target").agg(F.count("*").alias("n_qualified_players"))
+    groups = _grouped(denominator_pairs(df, plan, targets, player, strict=True, by=by), [*key, "target"], F.when(F.count("*") >= least, pearson("a", "b")).alias("r"))
     denominators = F.array(*[F.struct(F.lit(d).alias("denom"), F.col(d).cast("double").alias("x")) for d in dict.fromkeys(d for _, d in targets)])
-    median = df.select(*by, F.explode(denominators).alias("d")).groupBy(*by, "d.denom").agg(F.percentile("d.x", 0.5).alias("median_denominator"))
-    out = qualified.join(seen, [*key, "target"], "left").join(bootstrap(strict, n_boot, by=key), [*key, "target"], "left").join(median, [*by, "denom"], "left")
+    counted = df.select(*by, F.explode(denominators).alias("d")).groupBy(*by, "d.denom", "d.x").agg(F.count("*").alias("times"))
+    median = counted.groupBy(*by, "denom").agg(F.percentile("x", 0.5, F.col("times")).alias("median_denominator"))
+    out = _resampled(groups, [*key, "target"], n_boot, 20).withColumnsRenamed({"n": "n_qualified_players", "r": "observed_r"}).join(median, [*by, "denom"], "left")
     return out.withColumn("typical_starts", F.try_divide("target", "median_denominator")).select(*key, "target", "observed_r", "n_qualified_players", "median", "low", "high", "valid", "median_denominator", "typical_starts")
 
 

@@ -16,7 +16,8 @@ def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     q = F.col("l_quantity").cast("int")
-    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    # the narrow tables first: line items, the many, move once, by their game
+    df = lines.join(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     none = F.lit(None).cast("string")
     played = F.col("l_returnflag") == "N"
     event = (
