@@ -72,3 +72,15 @@ def test_rows_of_a_study_move_once(spark):
     out = reliability.study(df, specs, "player")
     assert not re.search(r"Exchange hashpartitioning\(stat#\d+, denom#\d+, player", plan(out))
     assert out.count() == 2
+
+
+def test_curves_read_their_rows_once(spark):
+    """study_summary exchanged a row for each statistic of a game, for pairs of both kinds; medians held every row's denominator."""
+    rng = np.random.default_rng(7)
+    rows = [(p, p * 100 + g, date(2024, 4, 1) + timedelta(g), None if g == 3 else int(rng.integers(1, 9)), p % 4, 3) for p in range(60) for g in range(13)]
+    df = spark.createDataFrame(rows, "player long, game_pk long, game_date date, PA long, K long, W long").localCheckpoint()
+    out = reliability.curves(df, {"k": ("K", "PA", range(10, 31, 10)), "w": ("W", "PA", range(10, 31, 10))}, "player", n_boot=5)
+    assert not re.search(r"Exchange hashpartitioning\(stat#\d+, denom#\d+, player", plan(out))
+    got = out.collect()
+    assert len(got) == 6 and {r["median_denominator"] for r in got} == {float(np.median([r[3] for r in rows if r[3] is not None]))}
+    assert all(r["n_qualified_players"] == len([p for p in range(60) if buckets([(x[3], x[4]) for x in rows if x[0] == p and x[3] is not None], r["target"])]) for r in got)
