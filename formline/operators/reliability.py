@@ -46,80 +46,106 @@ def tier(r: Column) -> Column:
     return F.when(r.isNull() | F.isnan(r), "Unknown").when(r >= 0.7, "Tier 1").when(r >= 0.5, "Tier 2").otherwise("Tier 3")
 
 
-def long(df: DataFrame, stats: Mapping[str, bool], player: str, pa: str = "PA") -> DataFrame:
-    """(player, game_date, tie, stat, value, weight, is_rate): a row for each statistic that is not null. stats says which are counts per weight."""
+def _moved(df: DataFrame, stats: Mapping[str, bool], player: str, pa: str = "PA") -> tuple[DataFrame, dict[str, bool]]:
+    """(player, game_date, tie, weight, _v0, _v1, ...) in one exchange by player, and which statistics there are. Values that are not numbers are null."""
     have = {s: r for s, r in stats.items() if s in df.columns}
-    rows = [F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value"), F.lit(r).alias("is_rate")) for s, r in have.items()]
-    weight = F.col(pa).cast("double") if pa in df.columns else F.lit(1.0)
     tie = F.col("game_pk") if "game_pk" in df.columns else F.lit(0)
-    out = df.select(F.col(player).alias("player"), "game_date", tie.alias("tie"), weight.alias("weight"), F.explode(F.array(*rows)).alias("s"))
-    return out.select("player", "game_date", "tie", "weight", "s.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    weight = F.col(pa).cast("double") if pa in df.columns else F.lit(1.0)
+    values = [F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias(f"_v{i}") for i, s in enumerate(have)]
+    return df.select(F.col(player).alias("player"), "game_date", tie.alias("tie"), weight.alias("weight"), *values).repartition("player"), have
 
 
-def _bucket(mask: Column) -> Column:
-    """Aggregate: sum of a count over at least 1 of weight, or the mean of a measure, where mask holds."""
-    count = F.sum(F.when(mask, F.col("value"))) / F.greatest(F.sum(F.when(mask, F.col("weight"))), F.lit(1.0))
-    return F.when(F.first("is_rate"), count).otherwise(F.avg(F.when(mask, F.col("value"))))
+def _weighed(i: int) -> Column:
+    """The weight where a statistic is known."""
+    return F.when(F.col(f"_v{i}").isNotNull(), F.col("weight"))
 
 
-def half_pairs(rows: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """(stat, window, player, a, b): the first `window` rows against the next, for players with twice as many rows."""
-    key = ["stat", "player"]
-    order = Window.partitionBy(*key).orderBy("game_date", "tie")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select(*key, "is_rate", F.row_number().over(order).alias("rn"), F.sum("value").over(upto).alias("v"), F.sum("weight").over(upto).alias("w"))
+def half_pairs(df: DataFrame, stats: Mapping[str, bool], windows: Sequence[int], player: str) -> DataFrame:
+    """(stat, window, player, a, b): the first `window` rows of a statistic that are known against the next, for players with twice as many."""
+    rows, have = _moved(df, stats, player)
+    at = range(len(have))
+    rates = [i for i, r in enumerate(have.values()) if r]
+    upto = Window.partitionBy("player").orderBy("game_date", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(
+        "player", *[F.when(F.col(f"_v{i}").isNotNull(), F.count(f"_v{i}").over(upto)).alias(f"_k{i}") for i in at], *[F.sum(f"_v{i}").over(upto).alias(f"_s{i}") for i in at], *[F.sum(_weighed(i)).over(upto).alias(f"_w{i}") for i in rates]
+    )
     # of each window the running sums at its end and at the end of the next one are enough: a row stands for few windows
-    ends = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: (w == F.col("rn")) | (2 * w == F.col("rn")))
-    sums = sums.where(F.size(ends) > 0).select("*", F.explode(ends).alias("window"))
+    rows = rows.select("player", *[F.array(*[f"_{c}{i}" if c != "w" or i in rates else F.lit(None).cast("double") for i in at]).alias(c) for c in "ksw"])
+    # the few places are found before the arrays are copied for each of them
+    ends = {m * w for w in windows for m in (1, 2)}
+    rows = rows.select("*", F.explode(F.filter(F.array(*[F.lit(i) for i in at]), lambda i: F.get("k", i).isin(*ends))).alias("i"))
+    rows = rows.select("player", "i", *[F.get(c, F.col("i")).alias(n) for c, n in (("k", "rn"), ("s", "v"), ("w", "w"))])
+    rows = rows.select("*", F.explode(F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: (w == F.col("rn")) | (2 * w == F.col("rn")))).alias("window"))
     first, second = F.col("rn") == F.col("window"), F.col("rn") == 2 * F.col("window")
-    at = lambda c, m: F.max(F.when(m, F.col(c)))
-    out = sums.groupBy("stat", "window", "player").agg(F.first("is_rate").alias("is_rate"), *[at(c, m).alias(f"{c}{i}") for c in "vw" for i, m in ((1, first), (2, second))]).where("v2 is not null")
-    part = lambda v, w: F.when(F.col("is_rate"), v / F.greatest(w, F.lit(1.0))).otherwise(v / F.col("window"))
-    return out.select("stat", "window", "player", part(F.col("v1"), F.col("w1")).alias("a"), part(F.col("v2") - F.col("v1"), F.col("w2") - F.col("w1")).alias("b"))
+    pick = lambda c, m: F.max(F.when(m, F.col(c)))
+    out = rows.groupBy("player", "i", "window").agg(*[pick(c, m).alias(f"{c}{i}") for c in "vw" for i, m in ((1, first), (2, second))]).where("v2 is not null")
+    of = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("i"))
+    part = lambda v, w: F.when(of(have.values()), v / F.greatest(w, F.lit(1.0))).otherwise(v / F.col("window"))
+    return out.select(of(have).alias("stat"), "window", "player", part(F.col("v1"), F.col("w1")).alias("a"), part(F.col("v2") - F.col("v1"), F.col("w2") - F.col("w1")).alias("b"))
 
 
 def split_half(df: DataFrame, stats: Mapping[str, bool], window: int, player: str = "player_name", least: int = 50) -> DataFrame:
     """(stat, n, pearson, spearman, sem, slope); correlations null below `least` players or with hardly any spread (sample)."""
-    pairs = half_pairs(long(df, stats, player), [window])
+    out = _halves(half_pairs(df, stats, [window], player))
+    enough = F.col("n") >= least
+    return out.select("stat", "n", *[F.when(enough, F.col(c)).alias(c) for c in ("pearson", "spearman")], F.when(enough, F.col("sd_samp") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("pearson")))).alias("sem"), F.when(enough, F.col("slope")).alias("slope"))
+
+
+def _halves(pairs: DataFrame) -> DataFrame:
+    """(stat, n, pearson, spearman, slope, sd_samp, sd_pop, icc2) of pairs (stat, a, b), in one pass after the ranks."""
     # running sums are not exact: what agrees to nine places is a tie
     ranked = pairs.withColumns({"qa": F.round("a", 9), "qb": F.round("b", 9)}).withColumns({"ra": average_rank("qa", ["stat"]), "rb": average_rank("qb", ["stat"])})
-    out = ranked.groupBy("stat").agg(F.count("*").alias("n"), pearson("a", "b", 1e-6, True).alias("pearson"), pearson("ra", "rb").alias("spearman"), F.stddev_samp("a").alias("_sd"), slope("a", "b").alias("slope"))
-    enough = F.col("n") >= least
-    return out.select("stat", "n", *[F.when(enough, F.col(c)).alias(c) for c in ("pearson", "spearman")], F.when(enough, F.col("_sd") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("pearson")))).alias("sem"), F.when(enough, F.col("slope")).alias("slope"))
+    out = ranked.groupBy("stat").agg(F.count("*").alias("n"), pearson("a", "b", 1e-6, True).alias("pearson"), pearson("ra", "rb").alias("spearman"), slope("a", "b").alias("slope"), F.stddev_samp("a").alias("sd_samp"), F.stddev_pop("a").alias("sd_pop"), *_mean_squares())
+    return out.withColumn("icc2", _icc2())
 
 
 def stabilization_curve(df: DataFrame, stats: Mapping[str, bool], windows: Sequence[int] = range(1, 40), player: str = "player_name", least: int = 50) -> DataFrame:
     """(stat, window, n, r) for every window at once; population spread under 1e-6 gives null."""
-    pairs = half_pairs(long(df, stats, player), list(windows))
+    pairs = half_pairs(df, stats, list(windows), player)
     out = pairs.groupBy("stat", "window").agg(F.count("*").alias("n"), pearson("a", "b", 1e-6).alias("r"))
     return out.withColumn("r", F.when(F.col("n") >= least, F.col("r")))
 
 
 def year_over_year(df: DataFrame, stats: Mapping[str, bool], player: str = "player_name", least_pairs: int = 30, least_starts: int = 5) -> DataFrame:
     """(stat, n, yoy): a player's season against the next one, both of least_starts rows or more."""
-    rows = long(df, stats, player).withColumn("season", F.year("game_date"))
-    by = rows.groupBy("stat", "player", "season").agg(F.count("*").alias("starts"), _bucket(F.lit(True)).alias("v")).where(F.col("starts") >= least_starts)
-    nxt = by.select("stat", "player", (F.col("season") - 1).alias("season"), F.col("v").alias("w"))
-    out = by.join(nxt, ["stat", "player", "season"]).groupBy("stat").agg(F.count("*").alias("n"), pearson("v", "w").alias("yoy"))
+    rows, have = _moved(df, stats, player)
+    at = range(len(have))
+    rows = rows.withColumn("season", F.year("game_date"))
+    value = lambda i, r: F.sum(f"_v{i}") / F.greatest(F.sum(_weighed(i)), F.lit(1.0)) if r else F.avg(f"_v{i}")
+    # tie is counted, though any count will do, so that the exchange is the one of half_pairs
+    by = rows.groupBy("player", "season").agg(F.count("tie").alias("_t"), *[F.when(F.count(f"_v{i}") >= least_starts, value(i, r)).alias(f"_y{i}") for i, r in enumerate(have.values())]).where("_t >= 0")
+    name = F.get(F.array(*[F.lit(s) for s in have]), F.col("i"))
+    by = by.select("player", "season", F.posexplode(F.array(*[f"_y{i}" for i in at])).alias("i", "v")).where("v is not null")
+    after = Window.partitionBy("player", "i").orderBy("season")
+    both = by.select("player", name.alias("stat"), "v", (F.lead("season").over(after) == F.col("season") + 1).alias("next"), F.lead("v").over(after).alias("w")).where("next and player is not null")
+    out = both.groupBy("stat").agg(F.count("*").alias("n"), pearson("v", "w").alias("yoy"))
     return out.withColumn("yoy", F.when(F.col("n") >= least_pairs, F.col("yoy")))
 
 
-def icc2(pairs: DataFrame, least: int = 50) -> DataFrame:
-    """(stat, icc2) of pairs (stat, a, b): two-way random effects, single measures, for two ratings, from mean squares."""
-    s = pairs.groupBy("stat").agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_samp((F.col("a") + F.col("b")) / 2).alias("vm"), F.var_samp(F.col("a") - F.col("b")).alias("vd"))
+def _mean_squares() -> list[Column]:
+    """Aggregates that _icc2 stands on."""
+    return [F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_samp((F.col("a") + F.col("b")) / 2).alias("vm"), F.var_samp(F.col("a") - F.col("b")).alias("vd")]
+
+
+def _icc2() -> Column:
     msr, mse = 2 * F.col("vm"), F.col("vd") / 2
     grand = (F.col("ma") + F.col("mb")) / 2
     msc = F.col("n") * ((F.col("ma") - grand) ** 2 + (F.col("mb") - grand) ** 2)
-    return s.select("stat", F.when(F.col("n") >= least, F.try_divide(msr - mse, msr + mse + 2 * (msc - mse) / F.col("n"))).alias("icc2"))
+    return F.try_divide(msr - mse, msr + mse + 2 * (msc - mse) / F.col("n"))
+
+
+def icc2(pairs: DataFrame, least: int = 50) -> DataFrame:
+    """(stat, icc2) of pairs (stat, a, b): two-way random effects, single measures, for two ratings, from mean squares."""
+    s = pairs.groupBy("stat").agg(F.count("*").alias("n"), *_mean_squares())
+    return s.select("stat", F.when(F.col("n") >= least, _icc2()).alias("icc2"))
 
 
 def reliability_table(df: DataFrame, stats: Mapping[str, bool], window: int = 10, player: str = "player_name", least: int = 50, least_pairs: int = 30, least_starts: int = 5) -> DataFrame:
     """One row a statistic: r, rho, icc2, yoy, sem (population spread), slope, n, tier; highest yoy first, nulls last."""
-    pairs = half_pairs(long(df, stats, player), [window])
-    halves = split_half(df, stats, window, player, least).drop("sem")
-    spread = pairs.groupBy("stat").agg(F.stddev_pop("a").alias("_sd"))
-    out = halves.join(spread, "stat").join(icc2(pairs, least), "stat", "left").join(year_over_year(df, stats, player, least_pairs, least_starts).drop("n"), "stat", "left")
-    out = out.withColumns({"sem": F.when(F.col("pearson").isNotNull(), F.col("_sd") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("pearson")))), "tier": tier(F.col("yoy"))})
+    enough = F.col("n") >= least
+    halves = _halves(half_pairs(df, stats, [window], player)).select("stat", "n", "sd_pop", *[F.when(enough, F.col(c)).alias(c) for c in ("pearson", "spearman", "icc2", "slope")])
+    out = halves.join(year_over_year(df, stats, player, least_pairs, least_starts).drop("n"), "stat", "left")
+    out = out.withColumns({"sem": F.when(F.col("pearson").isNotNull(), F.col("sd_pop") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("pearson")))), "tier": tier(F.col("yoy"))})
     return out.select("stat", "pearson", "spearman", "icc2", "yoy", "sem", "slope", "n", "tier").orderBy(F.desc_nulls_last("yoy"), "stat")
 
 

@@ -523,7 +523,7 @@ def yoy_correlation(spark, d):
     SELECT stat, round((msr - mse) / (msr + mse + 2 * (n * ((ma - mb) ** 2) / 2 - mse) / n), 6) AS icc2 FROM m"""
 )
 def icc2(spark, d):
-    return rounded(reliability.icc2(reliability.half_pairs(reliability.long(_half_df(spark, d), _STATS, "pitcher"), [10]), 10))
+    return rounded(reliability.icc2(reliability.half_pairs(_half_df(spark, d), _STATS, [10], "pitcher"), 10))
 
 
 _DENOM = f"""{_COUNTED}, c AS (SELECT pitcher AS player, K::DOUBLE AS num, PA::DOUBLE AS den, row_number() OVER o AS rn, sum(PA) OVER o AS cs, sum(PA) OVER (PARTITION BY pitcher) AS most FROM counted WINDOW o AS (PARTITION BY pitcher ORDER BY game_date, game_pk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),

@@ -84,3 +84,22 @@ def test_curves_read_their_rows_once(spark):
     got = out.collect()
     assert len(got) == 6 and {r["median_denominator"] for r in got} == {float(np.median([r[3] for r in rows if r[3] is not None]))}
     assert all(r["n_qualified_players"] == len([p for p in range(60) if buckets([(x[3], x[4]) for x in rows if x[0] == p and x[3] is not None], r["target"])]) for r in got)
+
+
+def test_table_reads_its_rows_once(spark):
+    """The reliability table exchanged a row for each statistic of a start, and made the pairs three times."""
+    rng = np.random.default_rng(8)
+    rows = [(p, date(2022 + g // 8, 4, 1) + timedelta(g), g, 20, int(rng.integers(0, 9)), float(rng.normal()) if rng.random() > 0.2 else (None if p % 2 else float("nan"))) for p in range(30) for g in range(24)]
+    df = spark.createDataFrame(rows, "player long, game_date date, game_pk int, PA long, K long, velo double").localCheckpoint()
+    out = reliability.reliability_table(df, {"K": True, "velo": False}, 5, "player", 10, 5, 3)
+    assert "Exchange hashpartitioning(stat" in plan(out) and not re.search(r"Exchange hashpartitioning\(stat#\d+, player", plan(out))
+    got = {r["stat"]: r for r in out.collect()}
+    mine = {p: sorted((r for r in rows if r[0] == p), key=lambda r: r[1]) for p in range(30)}
+    velo = [[r[5] for r in x if r[5] is not None and r[5] == r[5]] for x in mine.values()]
+    halves = np.array([(np.mean(v[:5]), np.mean(v[5:10])) for v in velo if len(v) >= 10])
+    assert got["velo"]["n"] == len(halves) and got["velo"]["pearson"] == pytest.approx(np.corrcoef(halves.T)[0, 1])
+    years = []
+    for x in mine.values():
+        by = {y: [r[5] for r in x if r[1].year == y and r[5] is not None and r[5] == r[5]] for y in (2022, 2023, 2024)}
+        years += [(np.mean(by[y]), np.mean(by[y + 1])) for y in (2022, 2023) if len(by[y]) >= 3 and len(by[y + 1]) >= 3]
+    assert got["velo"]["yoy"] == pytest.approx(np.corrcoef(np.array(years).T)[0, 1])
