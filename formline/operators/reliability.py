@@ -161,8 +161,23 @@ def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targe
     Buckets are told by row numbers, so rows of denominator 0 stay with the second. Measures (plan: False) are weighted by their denominator. strict: pairs with an empty
     denominator are left out instead of dividing by 1. targets: the same for all of the plan, or each one's own. by: columns whose values are studied apart.
     """
-    have = [(s, d, r) for (s, d), r in plan.items() if s in df.columns and d in df.columns]
+    have = _there(df, plan)
+    return _pairs_of(_hashed(df, have, player, by), df, have, targets, strict, by)
+
+
+def _there(df: DataFrame, plan: Mapping[tuple[str, str], bool]) -> list[tuple[str, str, bool]]:
+    return [(s, d, r) for (s, d), r in plan.items() if s in df.columns and d in df.columns]
+
+
+def _hashed(df: DataFrame, have: Sequence[tuple[str, str, bool]], player: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, player, game_date, tie, statistics and denominators, _h) in one exchange, by a number that stands for the player: the id itself where it is one, as it packs better than a hash."""
     tie = F.col("game_pk") if "game_pk" in df.columns else F.lit(0)
+    rows = df.select(*by, F.col(player).alias("player"), "game_date", tie.alias("tie"), *dict.fromkeys(c for s, d, _ in have for c in (s, d)))
+    number = not by and isinstance(rows.schema["player"].dataType, T.IntegralType)
+    return rows.withColumn("_h", F.coalesce(F.col("player").cast("long"), F.lit(0)) if number else F.xxhash64(F.lit(1), *by, "player")).repartition("_h")
+
+
+def _pairs_of(hashed: DataFrame, df: DataFrame, have: Sequence[tuple[str, str, bool]], targets: Sequence[int] | Mapping[tuple[str, str], Sequence[int]], strict: bool, by: Sequence[str]) -> DataFrame:
     whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
     sure = {f.name for f in df.schema.fields if not f.nullable} & whole
     key = [*by, "player"]
@@ -170,8 +185,6 @@ def denominator_pairs(df: DataFrame, plan: Mapping[tuple[str, str], bool], targe
     # statistics that have no nulls share the running sums of their denominator
     dens = list(dict.fromkeys((s if s not in sure else "", d) for s, d, _ in have))
     den = [dens.index((s if s not in sure else "", d)) for s, d, _ in have]
-    # one exchange, by a hash of the player
-    hashed = df.select(*by, F.col(player).alias("player"), "game_date", tie.alias("tie"), *dict.fromkeys(c for s, d, _ in have for c in (s, d))).withColumn("_h", F.xxhash64(F.lit(1), *key)).repartition("_h")
     value = {f"_d{i}": F.when(known(s or d, d), F.col(d).cast("double")).otherwise(0.0) for i, (s, d) in enumerate(dens)}
     value |= {f"_n{i}": F.when(known(s, d), (F.col(s) * (F.lit(1.0) if r else F.col(d))).cast("double")).otherwise(0.0) for i, (s, d, r) in enumerate(have)}
     order = Window.partitionBy("_h", *key).orderBy("game_date", "tie")
@@ -255,9 +268,12 @@ def curves(df: DataFrame, specs: Mapping[str, tuple[str, str, Sequence[int]]], p
     """(by, stat, denom, target, observed_r, n_qualified_players, median, low, high, valid, median_denominator, typical_starts): the study's curve of each statistic at each target."""
     targets = {(num, den): goals for num, den, goals in specs.values()}
     plan, key = dict.fromkeys(targets, True), [*by, "stat", "denom"]
-    groups = _grouped(denominator_pairs(df, plan, targets, player, strict=True, by=by), [*key, "target"], F.when(F.count("*") >= least, pearson("a", "b")).alias("r"))
-    denominators = F.array(*[F.struct(F.lit(d).alias("denom"), F.col(d).cast("double").alias("x")) for d in dict.fromkeys(d for _, d in targets)])
-    counted = df.select(*by, F.explode(denominators).alias("d")).groupBy(*by, "d.denom", "d.x").agg(F.count("*").alias("times"))
+    have = _there(df, plan)
+    hashed = _hashed(df, have, player, by)
+    groups = _grouped(_pairs_of(hashed, df, have, targets, True, by), [*key, "target"], F.when(F.count("*") >= least, pearson("a", "b")).alias("r"))
+    denominators = F.array(*[F.struct(F.lit(d).alias("denom"), F.col(d).cast("double").alias("x")) for d in dict.fromkeys(d for _, d, _ in have)])
+    # all columns are read, though few will do, so that the exchange is the one of the pairs and the games are not made again
+    counted = hashed.select(*by, F.xxhash64(*hashed.columns).alias("_all"), F.explode(denominators).alias("d")).groupBy(*by, "d.denom", "d.x").agg(F.count("*").alias("times"), F.max("_all").alias("_all")).where("_all is not null")
     median = counted.groupBy(*by, "denom").agg(F.percentile("x", 0.5, F.col("times")).alias("median_denominator"))
     out = _resampled(groups, [*key, "target"], n_boot, 20).withColumnsRenamed({"n": "n_qualified_players", "r": "observed_r"}).join(median, [*by, "denom"], "left")
     return out.withColumn("typical_starts", F.try_divide("target", "median_denominator")).select(*key, "target", "observed_r", "n_qualified_players", "median", "low", "high", "valid", "median_denominator", "typical_starts")

@@ -103,3 +103,18 @@ def test_table_reads_its_rows_once(spark):
         by = {y: [r[5] for r in x if r[1].year == y and r[5] is not None and r[5] == r[5]] for y in (2022, 2023, 2024)}
         years += [(np.mean(by[y]), np.mean(by[y + 1])) for y in (2022, 2023) if len(by[y]) >= 3 and len(by[y + 1]) >= 3]
     assert got["velo"]["yoy"] == pytest.approx(np.corrcoef(np.array(years).T)[0, 1])
+
+
+def test_curves_make_their_games_once(spark):
+    """study_summary made the games twice, once for the pairs and once for the medians, each time with all that moves before them."""
+    rows = [(p if p < 59 else None, p * 100 + g, date(2024, 4, 1) + timedelta(g), 1 + (p + g) % 8, p % 4, 3) for p in range(60) for g in range(13)]
+    df = spark.createDataFrame(rows, "player long, game_pk long, game_date date, PA long, K long, W long").localCheckpoint()
+    games = df.groupBy("game_pk", "player").agg(F.min("game_date").alias("game_date"), *[F.sum(c).alias(c) for c in ("PA", "K", "W")])
+    out = reliability.curves(games, {"k": ("K", "PA", range(10, 31, 10)), "w": ("W", "PA", range(10, 31, 10))}, "player", n_boot=5)
+    got = out.collect()
+    final = plan(out).split("== Initial Plan ==")[0]
+    assert final.count("Scan ExistingRDD") == 1 and final.count("ReusedExchange") >= 2
+    # the one player without an id and the one whose id is 0 stay apart
+    players = {p: [(x[3], x[4]) for x in rows if x[0] == p] for p in [*range(59), None]}
+    assert {r["n_qualified_players"] for r in got if r["target"] == 10} == {60 - sum(buckets(x, 10) is None for x in players.values())}
+    assert {r["median_denominator"] for r in got} == {float(np.median([r[3] for r in rows]))}
