@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline import vocab
+from formline.operators import boosting
+from formline.operators.boosting import best_round  # noqa: F401  its callers find it here
 
 TARGET = "k_rate"
 
@@ -61,9 +62,14 @@ def mean_baseline(df: DataFrame, target: str = TARGET) -> DataFrame:
     return df.join(F.broadcast(mean))
 
 
-def _filled(df: DataFrame, features: Sequence[str], indicators: bool = False) -> tuple[DataFrame, list[str]]:
+def _medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
+    """The training rows' exact medians."""
+    return df.where("split = 'train'").agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in features]).first().asDict()
+
+
+def _filled(df: DataFrame, features: Sequence[str], indicators: bool = False, medians: Mapping[str, float | None] | None = None) -> tuple[DataFrame, list[str]]:
     """df with nulls of features replaced by the training rows' exact medians (0 without any), and 0/1 columns for what was missing if asked for."""
-    medians = df.where("split = 'train'").agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in features]).first()
+    medians = medians or _medians(df, features)
     fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0 if medians[c] is None else float(medians[c]))) for c in features}
     names = [f"_x{i}" for i in range(len(features))]
     new = {n: fill[c] for n, c in zip(names, features, strict=True)}
@@ -110,44 +116,26 @@ def best_round(errors: Sequence[float], patience: int) -> int | None:
     return None
 
 
-def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 5000, rate: float = 0.03, depth: int = 5, seed: int = 42, patience: int | None = 200) -> DataFrame:
+def boosted(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 5000, rate: float = 0.03, depth: int = 5, patience: int | None = 200) -> DataFrame:
     """df with prediction of boosted trees, cut where the squared error of the validation rows is least. Nulls become medians with indicators, as the trees take none.
 
-    Spark's own stop has no patience and its fits cannot be continued, so the fit is repeated with twice the trees until `patience`
-    rounds bring no smaller error, or with all `trees`. A tree depends on the ones before it alone: a shorter fit is the start of a longer one.
-    Without patience all `trees` are fitted and taken, and no validation rows are wanted.
+    Trees are added until `patience` rounds bring no smaller error, or up to all `trees`. Without patience all `trees` are fitted and taken, and no
+    validation rows are wanted.
     """
-    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-
-    filled, names = _filled(df, features, indicators=True)
-    data = _assembled(filled, names)
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None and sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="formline-"))  # else the plan of each tree holds all earlier ones
-    if patience is None:
-        model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed).fit(data.where("split = 'train'").select("_features", target))
-        return model.transform(data).withColumn("prediction", clip(F.col("prediction"))).drop("_features", *names)
-    train, validation = (data.where(F.col("split") == part).select("_features", target).persist() for part in ("train", "validation"))
+    mine = ["train"] if patience is None else ["train", "validation"]
+    rows = df.where(F.col("split").isin(mine)).select("split", F.col(target).cast("double").alias("_y"), *features).where("_y is not null").persist()
     try:
-        n, best = min(trees, 2 * patience), None
-        while True:
-            model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=n, stepSize=rate, maxDepth=depth, seed=seed).fit(train)
-            errors = model.evaluateEachIteration(validation, "squared")
-            best = best_round(errors, patience)
-            if best or n == trees:
-                break
-            n = min(trees, 2 * n)
+        medians = _medians(rows, features)
+        filled, names = _filled(rows, features, True, medians)
+        parts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}
+        if not parts.get("train"):
+            raise ValueError("no training rows")
+        cuts = boosting.thresholds(filled.where("split = 'train'"), names, parts["train"])
+        made = boosting.fit(boosting.cells(filled, names, "_y", cuts), sum(parts.values()), cuts, trees, rate, depth, patience)
     finally:
-        train.unpersist()
-        validation.unpersist()
-    best = best or min(range(n), key=errors.__getitem__) + 1
-    java, jvm, gateway = model._java_obj, sc._jvm, sc._gateway
-    kept, weights = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, best), gateway.new_array(jvm.double, best)
-    all_trees, all_weights = java.trees(), java.treeWeights()
-    for i in range(best):
-        kept[i], weights[i] = all_trees[i], all_weights[i]
-    short = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, weights)).setFeaturesCol("_features")
-    return short.transform(data).withColumn("prediction", clip(F.col("prediction"))).drop("_features", *names)
+        rows.unpersist()
+    filled, names = _filled(df, features, True, medians)
+    return boosting.scored(filled, names, cuts, made).withColumn("prediction", clip(F.col("prediction"))).drop(*names)
 
 
 def configurations(names: Sequence[str], families: Mapping[str, str]) -> dict[str, list[str]]:

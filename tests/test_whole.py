@@ -5,10 +5,12 @@ import unicodedata
 from datetime import date, timedelta
 
 import numpy as np
+import pytest
+from pyspark.ml.regression import GBTRegressor
 
 from formline import vocab
 from formline.functions import expr as X
-from formline.operators import modelling, reliability
+from formline.operators import boosting, modelling, reliability
 from formline.plans import registry
 
 
@@ -59,3 +61,36 @@ def test_registered_study_has_all_specs(spark):
     out = reliability.denominator_pairs(registry._study_df(spark, "/root/testdata/sf0.01"), {("K", "PA"): True}, {("K", "PA"): range(25, 1001, 25)}, "pitcher")
     assert out.agg({"target": "max"}).first()[0] > 100
     assert len(registry._specs(vocab.PITCHER_SPECS)) == 9 and len(vocab.PITCH_TYPE_SPECS) == 12
+
+
+def test_boosting_is_sparks_in_one_stage(spark):
+    """Trees used to be fitted by Spark's jobs, some five a tree. They are the same trees, and more of them take no more jobs."""
+    rng = np.random.default_rng(3)
+    a, b, c = rng.random(3000), rng.integers(0, 9, 3000), rng.normal(size=3000)
+    y = 0.25 + 0.1 * np.sin(6 * a) + 0.02 * b * (c > 0) + rng.normal(scale=0.05, size=3000)
+    rows = [("train" if i < 2000 else "validation" if i < 2500 else "test", None if i % 17 == 0 else float(a[i]), int(b[i]), float(c[i]), float(y[i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "split string, a double, b int, c double, k_rate double").localCheckpoint()
+    data = modelling._assembled(*modelling._filled(df, ["a", "b", "c"], True))
+    model = GBTRegressor(featuresCol="_features", labelCol="k_rate", maxIter=12, stepSize=0.3, maxDepth=4).fit(data.where("split = 'train'"))
+    want = [min(max(r["prediction"], 0.0), 1.0) for r in model.transform(data).collect()]
+    jobs = {}
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"boosted {trees}", "")
+        out = modelling.boosted(df, ["a", "b", "c"], trees=trees, rate=0.3, depth=4, patience=None)
+        jobs[trees] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosted {trees}"))
+    assert [r["prediction"] for r in out.collect()] == pytest.approx(want, abs=1e-12)
+    assert jobs[2] == jobs[12]
+    errors = model.evaluateEachIteration(data.where("split = 'validation'"), "squared")
+    best = modelling.best_round(errors, 2)
+    short = modelling.boosted(df, ["a", "b", "c"], trees=12, rate=0.3, depth=4, patience=2)
+    whole = modelling.boosted(df, ["a", "b", "c"], trees=best, rate=0.3, depth=4, patience=None)
+    assert best and [r["prediction"] for r in short.collect()] == pytest.approx([r["prediction"] for r in whole.collect()], abs=1e-12)
+
+
+def test_boosting_over_tasks_is_that_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [("train" if i % 3 else "validation", float(x), float(z), float(x * z)) for i, (x, z) in enumerate(rng.random((900, 2)))]
+    df = spark.createDataFrame(rows, "split string, a double, b double, k_rate double").localCheckpoint()
+    one = [r["prediction"] for r in modelling.boosted(df, ["a", "b"], trees=20, patience=5).collect()]
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    assert [r["prediction"] for r in modelling.boosted(df, ["a", "b"], trees=20, patience=5).collect()] == pytest.approx(one, abs=1e-12)
